@@ -129,8 +129,8 @@ WITH RECURSIVE crc_table AS (
   SELECT row_number() OVER () AS rid, coalesce(doc_id, 0) AS k, doc_id, coalesce(text, '') AS text FROM documents
 ), sized AS (
   SELECT rid, k, doc_id, octet_length(encode(text)) + 1 AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(text))),
-      lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)),
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+      lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32
   FROM d, crc_table
 ), jump AS (
