@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from cardloom.llm import exact_dedup, sharding
+from cardloom.llm import chat_format, exact_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_sharding": sharding.ORACLE,
+    "op4_chat_format": chat_format.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
 }
