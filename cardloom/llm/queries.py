@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cardloom.llm import chat_format, exact_dedup, quality_rules, sharding
+from cardloom.llm import bpe, chat_format, exact_dedup, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
