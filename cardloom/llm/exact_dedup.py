@@ -112,7 +112,9 @@ def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: s
     same = lambda right: keyed[id_col].eqNullSafe(right["drop_id"]) & (keyed["__digest"] == right["drop_digest"])
     named = [F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_digest")]
     gone = stage(pairs.where("NOT kept OR n > 1").select(*named, "kept"), "dropped")
-    out = keyed.join(gone, same(gone), "left_anti")
+    # the same join at every size: what is dropped grows with the corpus, so it is never broadcast
+    merged = gone.hint("merge")
+    out = keyed.join(merged, same(merged), "left_anti")
     repeated = gone.where("kept")
     if not repeated.isEmpty():
         out = out.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__digest"]))

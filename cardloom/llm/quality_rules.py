@@ -122,6 +122,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """
     verdict = judge(docs, id_col, text_col, host_col, limit)
     gone = stage(verdict.where("NOT kept").select(F.col("doc_id").alias("gone_id"), "host", "n_words", "word_chars").distinct(), "rejected")
+    gone = gone.hint("merge")  # grows with the corpus: never broadcast
     text = F.coalesce(docs[text_col], F.lit(""))
     same = (
         docs[id_col].eqNullSafe(gone["gone_id"])

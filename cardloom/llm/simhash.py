@@ -250,7 +250,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     """Rows of ``docs`` that are the smallest id of their group, with their columns; rows that share an id stay or go together."""
     groups = near_groups(docs, id_col, text_col, bits)
     gone = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = stage(gone, "near-copies")
+    gone = stage(gone, "near-copies").hint("merge")  # grows with the corpus: never broadcast
     return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
