@@ -19,6 +19,24 @@ kavling ckr cikaret sei sungai komp metro jaya polda polri
 driving licence license surat izin mengemudi sim kab mhs
 """.split()
 
+# Words of lines behind an identity number that hold no name.
+NUMBER_STOPWORDS = """
+kabupaten kota kecamatan kelurahan desa
+pelajar mahasiswa status perkawinan pekerjaan
+kewarganegaraan wni alamat darah berlaku
+nama tempat lahir provinsi republik indonesia
+""".split()
+
+# Words of lines in capitals that hold no name.
+CAPITAL_STOPWORDS = """
+kabupaten kota kecamatan kelurahan desa provinsi
+republik indonesia pelajar mahasiswa pekerjaan
+perkawinan kewarganegaraan wni berlaku bekasi
+jakarta bandung surabaya medan tangerang depok
+bogor semarang karawang jawa barat timur
+tengah selatan utara sulawesi sumatera kalimantan
+""".split()
+
 # Cities for the birth place, in the order in which they are tried.
 CITIES = """
 bekasi jakarta bandung surabaya medan tangerang
@@ -101,7 +119,7 @@ KTP_PATTERNS = (
 RELEVANT_FIELDS = {
     "ktp": ("nama", "nik", "tempat_lahir", "tanggal_lahir", "jenis_kelamin", "alamat"),
     "kk": ("nomor_kk", "nama_kepala", "desa_kelurahan", "kecamatan", "kabupaten_kota", "provinsi", "rtrw", "alamat"),
-    "sim": ("nama", "tempat_lahir", "tanggal_lahir", "no_sim"),
+    "sim": ("no_sim", "nama", "tanggal_lahir", "alamat"),
 }
 MANUAL_SECONDS = {"ktp": 82, "kk": 78, "sim": 74, "unknown": 78}
 MANUAL_SECONDS_DEFAULT = 40

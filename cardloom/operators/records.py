@@ -1,29 +1,30 @@
 """One record per document from the text variants that OCR gives.
 
 The stages are those of a batch: score each variant, take the best, clean, tell the kind, read fields in every variant, settle
-them by votes in which the best text counts twice, and judge the result.  Variants meet in one shuffle by document.
+them by votes in which the best text counts twice, and judge the result.  The texts are shuffled once, by document; windows,
+votes and the record all keep that partitioning, and no list of variants is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions import addresses as ax
 from cardloom.functions import fields as fx
-from cardloom.functions.text import clean_text, quality_score, strip
+from cardloom.functions import names as nx
+from cardloom.functions.text import clean_text, first_of, quality_score, strip
 from cardloom.operators import evaluate, vote
 
-#: Fields that are settled by a plain vote, and how each is read.
-VOTED = {
-    "nik": fx.nik,
-    "tempat_lahir": fx.birth_place,
-    "tanggal_lahir": fx.birth_date,
-    "no_sim": fx.licence_number,
+#: Fields that are settled by a plain vote, and how each is read: on family cards, and on others.
+FAMILY = {
     "nomor_kk": fx.family_number,
     "nama_kepala": fx.family_head,
     "rtrw": fx.rt_rw,
+    "alamat_kk": ax.family_address,
     **{f: (lambda text, f=f: fx.header_field(text, f)) for f in fx.HEADER_PATTERNS},
 }
+OTHERS = {"nik": fx.nik, "tempat_lahir": fx.birth_place, "tanggal_lahir": fx.birth_date}
 FAMILY_ONLY = ("nomor_kk", "nama_kepala", "desa_kelurahan", "kecamatan", "kabupaten_kota", "provinsi", "rtrw")
 
 
@@ -32,33 +33,75 @@ def score_variants(texts: DataFrame) -> DataFrame:
     return texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("score", quality_score(F.col("text")))
 
 
-def variant_fields(rows: DataFrame) -> DataFrame:
-    """Every field read in every row's ``text``, in one pass."""
-    read = {f: get(F.col("text")) for f, get in VOTED.items()} | {"nama": fx.plausible(fx.name_from_label(F.col("text"))), "jenis_kelamin": fx.gender(F.col("text"))}
-    return rows.select("doc_id", "ord", *[x.alias(f) for f, x in read.items()])
+def best_and_kind(scored: DataFrame) -> DataFrame:
+    """``doc_id, ord, text, kind``: cleaned variants from ``ord`` 1, the best, on, with the kind that the best one tells."""
+    ranked = vote.rank_variants(scored, "doc_id", ["score", "label", "psm", "text"])
+    cleaned = ranked.select("doc_id", F.col("rank").cast("long").alias("ord"), clean_text(F.col("text")).alias("text"))
+    told = F.when(strip(F.col("text")) == "", "unknown").otherwise(fx.classify(F.col("text")))
+    return cleaned.withColumn("kind", F.max(F.when(F.col("ord") == 1, told)).over(Window.partitionBy("doc_id")))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """``doc_id, field, value, ord, weight`` of what each variant gives for each field of its kind; the best text weighs two."""
+    text, kind, order = F.col("text"), F.col("kind"), F.col("ord")
+    kk, sim, best = kind == "kk", kind == "sim", F.col("ord") == 1
+    below = F.when(sim, ax.licence_address_below_gender(text)).otherwise("")
+    rows = rows.withColumn("below", below).withColumn("beside", F.when(sim & (F.col("below") == ""), ax.licence_address_elsewhere(text)).otherwise(""))
+    # an address from elsewhere counts once, and only if no better text has any
+    any_ = first_of(F.col("below"), F.col("beside"))
+    rows = rows.withColumn("since", F.min(F.when(any_ != "", order)).over(Window.partitionBy("doc_id")))
+    elsewhere = F.col("below") == ""
+    weight = F.when(best, 2).otherwise(1)
+
+    def one(field: str, value: Column, at: Column = order * 2, n: Column = weight) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("value"), at.cast("long").alias("ord"), n.cast("long").alias("weight"))
+
+    found = [one(f, F.when(kk, read(text))) for f, read in FAMILY.items()]
+    found += [one(f, F.when(~kk, read(text))) for f, read in OTHERS.items() if f != "tempat_lahir"]
+    place = F.when(~kk, fx.birth_place(text))
+    found += [
+        one("tempat_lahir", F.when(F.length(place) > 2, place)),
+        one("no_sim", F.when(sim, fx.licence_number(text))),
+        one("nama", F.when(~kk, nx.plausible(fx.name_from_label(text)))),
+        one("nama", nx.unlabelled_name(text, kind), order * 2 + 1),
+        one("alamat_sim", F.when(elsewhere & (order > F.col("since")), "").otherwise(any_), n=F.when(elsewhere, 1).otherwise(weight)),
+        one("alamat", F.when(best & ~kk, fx.address(text))),
+        one("jenis_dokumen", F.when(best, kind)),
+        one("jenis_kelamin", F.when(best & ~kk, fx.gender(text))),
+    ]
+    return rows.select("doc_id", F.inline(F.array(*found))).where("value <> ''")
+
+
+def settle(found: DataFrame) -> DataFrame:
+    """One row per document: of each field the value of the greatest weight.  Ties go to the name of most words, then the longest;
+    to the shortest licence address, of those with an address word where there are any; else to the one seen first."""
+    counts = found.groupBy("doc_id", "field", "value").agg(F.sum("weight").alias("n"), F.min("ord").alias("first"))
+    name, licence = F.col("field") == "nama", F.col("field") == "alamat_sim"
+    length = F.length("value")
+    rank = F.struct(
+        (licence & F.col("value").rlike(ax.LICENCE_WORD)).alias("word"),
+        "n",
+        F.when(name, F.size(F.split("value", "_", -1))).when(licence, -length).otherwise(0).alias("t0"),
+        F.when(name, length).otherwise(0).alias("t1"),
+        (-F.col("first")).alias("first"),
+    )
+    names = [*FAMILY, *OTHERS, "no_sim", "nama", "alamat_sim", "alamat", "jenis_dokumen", "jenis_kelamin"]
+    return counts.groupBy("doc_id").pivot("field", names).agg(F.max_by("value", rank)).na.fill("", names)
 
 
 def build_records(texts: DataFrame) -> DataFrame:
     """Records of the documents in ``texts`` (``doc_id, label, psm, text``); a document without any text is an ``ERROR`` of kind ``unknown``."""
-    scored = score_variants(texts)
-    ranked = vote.rank_variants(scored, "doc_id", ["score", "label", "psm", "text"])
-    cleaned = ranked.select("doc_id", F.col("rank").cast("long").alias("ord"), clean_text(F.col("text")).alias("text"))
-    best = cleaned.where("ord = 1").select("doc_id", "text")
-    pool = variant_fields(vote.with_best_first(cleaned, best, "doc_id", "text", "ord"))
-
-    # all plain votes in one aggregation over (document, field, value)
-    names = list(VOTED)
-    long = pool.unpivot(["doc_id", "ord"], names, "field", "value").where("value <> ''")
-    counts = long.groupBy("doc_id", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
-    voted = counts.groupBy("doc_id").pivot("field", names).agg(F.max_by("value", F.struct("n", -F.col("first"))))
-    named = vote.vote_name(pool, "doc_id", "nama", "ord").select("doc_id", "nama")
-    head = best.select("doc_id", F.when(strip(F.col("text")) == "", "unknown").otherwise(fx.classify(F.col("text"))).alias("jenis_dokumen"), fx.gender(F.col("text")).alias("jenis_kelamin"), fx.address(F.col("text")).alias("alamat"))
-
-    out = head.join(voted, "doc_id", "left").join(named, "doc_id", "left").na.fill("", [*names, "nama"])
+    out = settle(candidates(best_and_kind(score_variants(texts))))
     kk = F.col("jenis_dokumen") == "kk"
-    out = out.withColumns({f: F.when(kk, F.col(f)).otherwise("") for f in FAMILY_ONLY} | {"no_sim": F.when(F.col("jenis_dokumen") == "sim", F.col("no_sim")).otherwise("")})
-    birth = {f: F.when(kk, "").otherwise(F.col(f)) for f in ("tempat_lahir", "tanggal_lahir", "jenis_kelamin")}
-    out = out.withColumns(birth | {"nama": F.when(kk, F.col("nama_kepala")).otherwise(F.col("nama")), "nik": F.when(kk, F.col("nomor_kk")).otherwise(F.col("nik"))})
+    out = out.select(
+        "doc_id",
+        "jenis_dokumen",
+        "jenis_kelamin",
+        F.when(kk, F.col("alamat_kk")).otherwise(first_of(F.col("alamat"), F.left("alamat_sim", F.lit(200)))).alias("alamat"),
+        F.when(kk, F.col("nomor_kk")).otherwise(F.col("nik")).alias("nik"),
+        *["tempat_lahir", "tanggal_lahir", "no_sim", *FAMILY_ONLY],
+        F.when(kk, F.col("nama_kepala")).otherwise(F.col("nama")).alias("nama"),
+    )
     ok = (F.col("jenis_dokumen") != "unknown") & (F.col("nama") != "")
     return evaluate.completeness(out.withColumn("status", F.when(ok, "VALID").otherwise("ERROR")))
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cardloom.functions import addresses as ax
 from cardloom.functions import fields as fx
+from cardloom.functions import names as nx
 from cardloom.functions import text as tx
 from cardloom.operators import evaluate, naming, records, vote
 from cardloom.sources import files, sinks
@@ -39,6 +41,44 @@ def test_golden(spark, function, pairs):
     assert values(spark, pairs, function) == list(pairs.values())
 
 
+@pytest.mark.parametrize(
+    ("function", "pairs"),
+    [
+        (
+            nx.name_after_number,
+            {
+                "3216082501030001\n::: 12 -- 9\nPROVINSI BALI\nDIPCA ANUGRAH": "dipca_anugrah",
+                "NIK\n1\n2\n3\n4\nBudi Santoso": "budi_santoso",
+                "NIK\n1\n2\n3\n4\n5\nBudi Santoso": "",
+                "Budi Santoso\n3216082501030001": "",
+                "": "",
+            },
+        ),
+        (nx.name_in_capitals, {'\"DIPCA ANUGRAH\nx': "dipca_anugrah", "Dipca Anugrah": "", "JAWA BARAT\nBUDI SANTOSO 1": "", "x\n" * 15 + "DIPCA ANUGRAH": ""}),
+        (
+            nx.name_on_licence,
+            {"1223-0301-000680\n12 - 3\nDIPCA ANUGRAH": "dipca_anugrah", "x\n1. SRI REJEKI": "sri_rejeki", "POLRI\n2. Foo Barita\nBudi Santoso": "budi_santoso", "Budi Santoso": ""},
+        ),
+        (ax.clean_licence_address, {"4. JL. MERDEKA NO.54": "JL. MERDEKA NO.54", "5) KP RAWA | BANTENG 12": "KP RAWA BANTENG", "JALAN ANU XX": "JALAN ANU"}),
+        (ax.licence_address_below_gender, {"PRIA\nKP RAWA BANTENG\nRT.05/01 CKR BARAT\nKAB. BEKASI": "KP RAWA BANTENG RT.05/01 CKR BARAT", "WANITA\nKAB. BEKASI\nJL ANU": "", "JL ANU": ""}),
+        (ax.licence_address_elsewhere, {"4. JL. MERDEKA NO.54\n5. RT.001/RW.004 DESA KEDIRI": "JL. MERDEKA NO.54 RT.001/RW.004 DESA KEDIRI", "x\nKP RAWA\nBLOK A5": "KP RAWA BLOK A5", "POLDA JL": ""}),
+        (ax.family_address, {"Alamat : PERUM GRIYA 5 Kecamatan X": "PERUM GRIYA 5", "Alamat\nJL. ANU*1": "JL. ANU 1", "Alamat : abc": "", "a\nDSN MAWAR": "DSN MAWAR", "": ""}),
+    ],
+)
+def test_unlabelled_values(spark, function, pairs):
+    assert values(spark, pairs, function) == list(pairs.values())
+
+
+def test_licence_address_of_later_variants(spark):
+    """The first variant has none below a gender, so its numbered line counts; later ones only add what is below a gender."""
+    head = "SURAT IZIN MENGEMUDI\nPOLRI\nGOLONGAN A\n"
+    rows = [(1, 1, head + "4. JL. SATU", "sim"), (1, 2, head + "4. JL. DUA", "sim"), (1, 3, head + "PRIA\nJL. TIGA LIMA", "sim")]
+    found = records.candidates(spark.createDataFrame(rows, "doc_id long, ord long, text string, kind string"))
+    addresses = found.where("field = 'alamat_sim'").orderBy("ord").select("value", "weight").collect()
+    assert [tuple(r) for r in addresses] == [("JL. SATU", 1), ("JL. TIGA LIMA", 1)]
+    assert records.settle(found).first().alamat_sim == "JL. SATU"
+
+
 def test_demo_scores(spark):
     assert values(spark, DEMO.values(), tx.quality_score) == [168, 86, 130, 35]
 
