@@ -91,7 +91,9 @@ def settle(found: DataFrame) -> DataFrame:
 
 def build_records(texts: DataFrame) -> DataFrame:
     """Records of the documents in ``texts`` (``doc_id, label, psm, text``); a document without any text is an ``ERROR`` of kind ``unknown``."""
-    out = settle(candidates(best_and_kind(score_variants(texts))))
+    # by number, so that AQE doesn't merge partitions that are small in bytes but long to read
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = settle(candidates(best_and_kind(score_variants(texts.repartition(parts, "doc_id")))))
     kk = F.col("jenis_dokumen") == "kk"
     out = out.select(
         "doc_id",

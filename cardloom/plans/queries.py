@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.functions import addresses as ax
 from cardloom.functions import fields as fx
 from cardloom.functions import lexicon as lx
+from cardloom.functions import names as nx
 from cardloom.functions import text as tx
 from cardloom.operators import evaluate, naming, records, vote
 from cardloom.plans import cards as plan
@@ -232,6 +234,61 @@ def licence_and_rtrw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.licence_number(F.col("text")).alias("no_sim"), fx.rt_rw(F.col("text")).alias("rtrw"), fx.family_head(F.col("text")).alias("nama_kepala"))
 
 
+# lines of cards as rows: x at place i, y the line behind
+LINE_ROWS = f"""{CARDS}, cut AS (SELECT doc_id, variant, list_filter(list_transform({lines_sql()}, lambda x: {strip_sql('x')}), lambda x: x <> '') AS ls FROM cards),
+l AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY doc_id, variant ORDER BY i), '') AS y FROM (SELECT doc_id, variant, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM cut))"""
+
+
+def first_line_sql(value: str, source: str, where: str) -> str:
+    """Value of the first row for every variant, empty without one."""
+    return f"SELECT doc_id, variant, coalesce(v, '') AS {value} FROM cut LEFT JOIN (SELECT doc_id, variant, arg_min(v, i) AS v FROM {source} WHERE {where} GROUP BY ALL) USING (doc_id, variant)"
+
+
+_PLAIN = r"regexp_replace(x, '[\s\-]', '', 'g')"
+_NUMBER = rf"((length({_PLAIN}) >= 14 AND length({digits_sql(_PLAIN, lx.NIK_DIGITS)}) >= 13) OR regexp_matches(upper(x), '\bN\s*[I1]\s*K\b'))"
+_QUIET = r"length(regexp_replace(x, '[A-Za-z\s]', '', 'g')) <= 0.40::DOUBLE * length(x) AND regexp_matches(x, '[A-Za-z]')"
+_FREE = f"len(list_intersect(list_transform(regexp_extract_all(x, '[A-Za-z]{{2,}}'), lambda w: lower(w)), {words_list(lx.NUMBER_STOPWORDS)})) = 0"
+
+
+@query(f"""{LINE_ROWS}, n AS (SELECT *, max(number) OVER (PARTITION BY doc_id, variant ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS near
+  FROM (SELECT doc_id, variant, i, x, {_NUMBER}::INT AS number, CASE WHEN {_QUIET} AND {_FREE} THEN {clean_name_sql('x')} ELSE '' END AS v FROM l))
+{first_line_sql('nama', 'n', f"near = 1 AND v <> '' AND {plausible_sql('v')}")}""")
+def name_behind_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", nx.name_after_number(F.col("text")).alias("nama"))
+
+
+@query(f"""{LINE_ROWS}, w AS (SELECT *, lower(array_to_string(ps, '_')) AS v FROM (SELECT *, regexp_extract_all(x, '[A-Za-z]{{3,}}') AS ps FROM l WHERE i <= 15))
+{first_line_sql('nama', 'w', f"len(ps) BETWEEN 2 AND 4 AND NOT regexp_matches(regexp_replace(x, '^[^A-Za-z]+', ''), '[0-9]') AND upper(array_to_string(ps, '')) = array_to_string(ps, '') AND len(list_intersect(string_split(v, '_'), {words_list(lx.CAPITAL_STOPWORDS)})) = 0 AND {plausible_sql('v')}")}""")
+def name_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", nx.name_in_capitals(F.col("text")).alias("nama"))
+
+
+@query()
+def licence_name_and_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    values = [nx.name_on_licence(text).alias("nama"), ax.licence_address_below_gender(text).alias("below"), ax.licence_address_elsewhere(text).alias("elsewhere")]
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", *values)
+
+
+_BEHIND = r"regexp_extract(x, '(?i)Alamat\s*:?\s*(.*)$', 1)"
+_RAW = rf"CASE WHEN label THEN CASE WHEN length({strip_sql(_BEHIND)}) > 3 THEN {_BEHIND} ELSE y END WHEN regexp_matches(x, '(?i){ax.FAMILY_WORD}|BLOK') THEN x ELSE '' END"
+_WORDED = f"regexp_extract(raw, '(?i)(?:{ax.FAMILY_WORD}).+')"
+
+
+def _address_sql(x: str) -> str:
+    return strip_sql(rf"regexp_replace({x}, '[^A-Za-z0-9\s./]', ' ', 'g')")
+
+
+_CUT = rf"regexp_replace({_WORDED}, '(?is)\s+(?:Kecamatan|Kelurahan|Kabupaten|Kota).*$', '')"
+
+
+@query(rf"""{LINE_ROWS}, r AS (SELECT *, {_RAW} AS raw FROM (SELECT *, regexp_matches(x, '(?i)\bAlamat\b') AS label FROM l)),
+a AS (SELECT doc_id, variant, i, label, CASE WHEN {_WORDED} <> '' THEN {_address_sql(_CUT)} WHEN length({_address_sql('raw')}) >= 5 THEN {_address_sql('raw')} ELSE '' END AS v FROM r)
+{first_line_sql('alamat', 'a', "label OR v <> ''")}""")
+def family_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", ax.family_address(F.col("text")).alias("alamat"))
+
+
 # -- decisions -----------------------------------------------------------------
 
 
