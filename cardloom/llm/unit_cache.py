@@ -72,13 +72,21 @@ class UnitIds:
             self.known = {"": b""}
         if len(self.words) > CACHE:
             self.words = {}
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for units in cut:
-            new.update(units)
-        self._learn(list(new - self.known.keys()))
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        known = self.known
+        get = known.__getitem__
+        out, later, new = [], [], set()
+        for t in texts:  # a text's units are looked up while the processor's caches hold them
+            units = (t or "").replace("\n", " ").split(" ")
+            try:
+                out.append(b"".join(map(get, units)))
+            except KeyError:
+                new.update([u for u in units if u not in known])
+                later.append((len(out), units))
+                out.append(b"")
+        self._learn(list(new))
+        for i, units in later:
+            out[i] = b"".join(map(get, units))
+        return out
 
 
 _ENCODERS: dict[str, UnitIds] = {}
