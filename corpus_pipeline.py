@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import best_fit, exact_dedup, quality_rules, simhash
+from cardloom.llm import best_fit, exact_dedup, near_copies, quality_rules
 from cardloom.llm.scratch import stage
 
 
@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
