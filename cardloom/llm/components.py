@@ -9,7 +9,7 @@ of it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.scratch import stage
@@ -40,3 +40,22 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return ordered.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
+
+
+def text_hash(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` that come first in their group, with their columns.
+
+    ``groups`` has ``doc_id, text_hash, root`` of each row.  The smallest id is first, null ids last, and of texts that share it the smaller
+    hash; a row is dropped by its id and its text, so no other row of its id goes with it.
+    """
+    groups = stage(groups.select("doc_id", "text_hash", "root"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    firsts = groups.groupBy("root").agg(F.min(place).alias("first"))
+    later = groups.join(firsts.hint("merge"), "root").where(~place.eqNullSafe(F.col("first")))
+    gone = stage(later.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct(), "near-copies")
+    gone = gone.hint("merge")  # grows with the corpus: never broadcast
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_hash(docs[text_col]) == gone["gone_text"]), "left_anti")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.components import components
+from cardloom.llm.components import components, keep_first, text_hash
 from cardloom.llm.scratch import stage
 from cardloom.llm.simhash import _LOWER, SEED
 
@@ -142,16 +142,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
-def text_hash(text) -> F.Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without near copies of a row that comes first in its group, with their columns."""
-    groups = stage(near_groups(docs, id_col, text_col), "near-groups")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
-    firsts = groups.groupBy("root").agg(F.min(place).alias("first"))
-    later = groups.join(firsts.hint("merge"), "root").where(~place.eqNullSafe(F.col("first")))
-    gone = stage(later.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_text")).distinct(), "near-copies")
-    gone = gone.hint("merge")  # grows with the corpus: never broadcast
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_hash(docs[text_col]) == gone["gone_text"]), "left_anti")
+    return keep_first(docs, near_groups(docs, id_col, text_col).withColumnRenamed("node", "text_hash"), id_col, text_col)

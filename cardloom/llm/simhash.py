@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.components import components
+from cardloom.llm.components import components, keep_first, text_hash
 from cardloom.llm.scratch import stage
 
 SHINGLE = 4
@@ -64,16 +64,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) of each row, and ``text_hash`` where it is asked for."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
+            own = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
+            yield pa.RecordBatch.from_pydict(own | ({"text_hash": batch.column("text_hash")} if hashed else {}))
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text")
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    if hashed:
+        rows = rows.withColumn("text_hash", text_hash(F.col("text")))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint" + (", text_hash bigint" if hashed else ""))
 
 
 @cache
@@ -232,9 +235,13 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return met.mapInArrow(meet, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row; the component is named by its smallest id."""
-    rows = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row; the component is named by its smallest id.
+
+    Components can share that name where ids repeat or are null; ``hashed`` adds ``text_hash`` and ``root``, which no two share.
+    """
+    extra = ["text_hash", "root"] if hashed else []
+    rows = stage(fingerprints(docs, id_col, text_col, shingle, hashed), "fingerprints")
     # a fingerprint is a node with the smallest id that has it; ids that repeat may name several, so nodes have numbers of their own order
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
     edges = stage(links(nodes.select(F.col("fp").alias("id"), "fp"), bits), "links")
@@ -242,16 +249,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     comp = stage(comp, "members")
     least = stage(comp.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    named = stage(comp.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(comp.join(least, "root").select("fp", "component_id", *extra[1:]), "named")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", *extra)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """Rows of ``docs`` that are the smallest id of their group, with their columns; rows that share an id stay or go together."""
-    groups = near_groups(docs, id_col, text_col, bits)
-    gone = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = stage(gone, "near-copies").hint("merge")  # grows with the corpus: never broadcast
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    """Rows of ``docs`` that are first in their group by id, with their columns; rows that share an id and a text stay or go together."""
+    groups = near_groups(docs, id_col, text_col, bits, hashed=True)
+    return keep_first(docs, groups, id_col, text_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from cardloom.llm import near_copies
+from cardloom.llm import near_copies, simhash
 
 
 def plain_set(text):
@@ -77,3 +77,15 @@ def test_empty_and_short(spark):
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Each row is judged by its own text, whatever rows share its id."""
+    words = lambda k: [f"{k}-{i}" for i in range(100)]
+    near = lambda k: " ".join([*words(k)[:99], "end"])
+    full = lambda k: " ".join(words(k))
+    rows = [(1, full("a")), (None, near("a")), (None, full("b")), (2, full("c")), (5, near("c")), (5, full("d")), (None, full("e")), (None, near("e")), (5, full("f")), (5, near("f"))]
+    docs = spark.createDataFrame([(i, t, t.split("-")[0]) for i, t in rows], "doc_id long, text string, kind string")
+    for keep, bits in ((near_copies.keep_one, ()), (simhash.keep_one, ("doc_id", "text", 5))):
+        kept = sorted((r.kind, r.doc_id) for r in keep(docs, *bits).collect())
+        assert kept == [("a", 1), ("b", None), ("c", 2), ("d", 5), ("e", kept[4][1]), ("f", 5)]
