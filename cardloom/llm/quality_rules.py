@@ -59,7 +59,7 @@ def repeated_words(words: F.Column, pairs: F.Column) -> F.Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document: ``doc_id, host`` and the counts that the rules use."""
+    """One row per document: ``doc_id, host``, a hash of the text, and the counts that the rules use."""
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
@@ -75,6 +75,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return windows.withColumn("lines", lines).select(
         "doc_id",
         "host",
+        F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -118,16 +119,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """Rows of ``docs`` that pass, with their columns.
 
-    The ids that are rejected are joined with the texts; a row passes or goes with all rows of its id and its text's measures.
+    The ids that are rejected are joined with the texts; a row passes or goes with the rows of its id, host and text, which
+    have the same verdict.
     """
     verdict = judge(docs, id_col, text_col, host_col, limit)
-    gone = stage(verdict.where("NOT kept").select(F.col("doc_id").alias("gone_id"), "host", "n_words", "word_chars").distinct(), "rejected")
+    gone = stage(verdict.where("NOT kept").select(F.col("doc_id").alias("gone_id"), "host", "text_hash").distinct(), "rejected")
     gone = gone.hint("merge")  # grows with the corpus: never broadcast
-    text = F.coalesce(docs[text_col], F.lit(""))
     same = (
         docs[id_col].eqNullSafe(gone["gone_id"])
         & (F.coalesce(docs[host_col].cast("string"), F.lit("")) == gone["host"])
-        & (F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")) == gone["word_chars"])
+        & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["text_hash"])
     )
     return docs.join(gone, same, "left_anti")
 

@@ -114,3 +114,12 @@ def test_a_bad_host_goes_and_a_small_one_does_not(spark):
     assert all(i in kept for i, t, h in data if h == "good")
     assert not any(i in kept for i, t, h in data if h == "bad")
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == kept
+
+
+def test_a_clean_text_stays_beside_a_rejected_one_of_its_id_and_length(spark):
+    good, bad = " ".join(f"w{i:03}" for i in range(30)), "same " * 30
+    assert len(good.replace(" ", "")) == len(bad.replace(" ", ""))
+    rows = [(None, good, "h"), (None, bad, "h"), (7, bad, "h"), (7, good, "h"), *((i, good + str(i), "h") for i in range(100, 120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = quality_rules.keep_good(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t, _ in rows if t != bad)
