@@ -12,16 +12,23 @@ import numpy as np
 
 # Element names of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split()
+)
 #: Elements without text of the page; their content is skipped whole.
-OPAQUE = "script style noscript template iframe svg math object audio video canvas textarea select"
+OPAQUE = frozenset("script style noscript template iframe svg object audio video canvas textarea select annotation".split())
+#: Of these, the ones that run to the end of the page if they aren't closed; the others end at their own tag then.
+RAW = frozenset("script style textarea".split())
+#: Of these, the ones that a slash in the tag closes.
+FOREIGN = frozenset("svg annotation".split())
 
-_NAMES = "|".join(OPAQUE.split())
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_NAMES})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
+CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in OPAQUE}
 NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
@@ -60,20 +67,29 @@ def cut(page: str | None) -> list[Block]:
             out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, linked))
         linked = 0
 
-    for m in MARKUP.finditer(page):
+    unclosed: set[str] = set()  # names without an end tag from here on, so that none is looked for twice
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
             if any(x[0] == "a" for x in stack):
                 linked += m.start() - at
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        name = (m[2] or m[5] or "").lower()
         if not name:
-            if m[1]:  # an opaque element ends nothing inside a sentence, but is no text
-                held.append(" ")
+            continue
+        if name in OPAQUE:  # ends nothing inside a sentence, but is no text
+            held.append(" ")
+            if not (m[1] or m[4] or name in unclosed or name in FOREIGN and (m[3] or m[6] or "").endswith("/")):
+                if end := CLOSED[name].search(page, at):
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
             continue
         if name not in INLINE:
             close()
-        if m[2] or m[5]:
+        if m[1] or m[4]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -86,7 +102,7 @@ def cut(page: str | None) -> list[Block]:
                     stack.pop()
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                     stack.pop()
-            stack.append((name, names_of(m[4] or m[7] or "")))
+            stack.append((name, names_of(m[3] or m[6] or "")))
     if at < len(page):
         held.append(page[at:])
     close()

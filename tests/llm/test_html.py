@@ -16,6 +16,22 @@ def test_blocks():
     assert [b.text for b in cut("x<!-- open <p>y")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ['<svg class="i"/>', "<svg/>", "<svg-icon name=x></svg-icon>", "<video-player>", "<template-x>", "<iframe src=x>", "<object>", "<audio>", "<svg>", "</svg>", "<svg>x</svg>", "<select><option>x</select>", '<svg title="a>b">x</svg>'],
+)
+def test_an_opaque_element_ends_where_it_ends(tag):
+    texts = [b.text for b in cut(f"<article><p>A {tag} b</p><p>more</p></article>")]
+    assert " ".join(texts) == "A b more"
+    assert [b.path[0][0] for b in cut(f"<article>{tag}<p>A</p></article>")] == ["article"]
+
+
+def test_formulas_stay_and_open_scripts_run_to_the_end():
+    assert [b.text for b in cut("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>A<math/> b")] == ["So x=2 holds", "A b"]
+    assert [b.text for b in cut("<p>A</p><script>var x; <p>no</p>")] == ["A"]
+    assert len(cut("<p>a<svg>" * 20000)) == 20000
+
+
 def test_held_out_pages():
     assert html_training.accuracy(pages=150, seed=1234) > 0.97
 
