@@ -33,7 +33,7 @@ SHINGLE = 5
 #: Texts that the members of a prefix group are compared with before all others.
 LEADERS = 8
 #: One text in so many is read for the frequent shingles; as many of these are set last at most.
-SAMPLE, FREQUENT = 16, 100_000
+SAMPLE, FREQUENT = 8, 200_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -81,7 +81,8 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_prefixes(texts: DataFrame) -> DataFrame:
-    """``token, node, n``: prefix shingles that two or more texts have, and the size of each text's set."""
+    """``token, node, n``: prefix shingles that two or more texts have, and the size of each text's set; without rows whose
+    neighbours by size in the group are too small and too large to be near copies."""
     frequent, ranks = frequent_shingles(texts)
 
     def run(batches):
@@ -95,9 +96,9 @@ def shared_prefixes(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"token": pa.array(token), "node": pa.array(node), "n": pa.array(size)})
 
     rows = texts.select("node", "text").mapInArrow(run, "token bigint, node bigint, n int")
-    group = Window.partitionBy("token")
-    both = rows.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group))
-    return both.where("least < most").select("token", "node", "n")
+    group = Window.partitionBy("token").orderBy("n")
+    both = rows.withColumn("less", F.lag("n").over(group)).withColumn("more", F.lead("n").over(group))
+    return both.where((5 * F.col("less") >= 4 * F.col("n")) | (5 * F.col("n") >= 4 * F.col("more"))).select("token", "node", "n")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
