@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.scratch import stage
+from cardloom.llm.rows_out import without
+from cardloom.llm.scratch import forget, stage
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -33,9 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stage(large, "large-star")
+        forget(ordered)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         ordered = stage(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        forget(large)
         now = _state(ordered)
         if now == before:
             return ordered.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -57,5 +60,5 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     firsts = groups.groupBy("root").agg(F.min(place).alias("first"))
     later = groups.join(firsts.hint("merge"), "root").where(~place.eqNullSafe(F.col("first")))
     gone = stage(later.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct(), "near-copies")
-    gone = gone.hint("merge")  # grows with the corpus: never broadcast
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_hash(docs[text_col]) == gone["gone_text"]), "left_anti")
+    same = lambda g: docs[id_col].eqNullSafe(g["gone_id"]) & (text_hash(docs[text_col]) == g["gone_text"])
+    return without(docs, id_col, gone, same)

@@ -22,9 +22,10 @@ import hashlib
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardloom.llm.rows_out import without
 from cardloom.llm.scratch import fresh_path, stage
 
 #: What one blank replaces before texts are compared.
@@ -107,18 +108,17 @@ def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: s
     spark = docs.sparkSession
     index = index or DigestIndex(spark, fresh_path(spark, "index"))
     verdict = stage(index.ingest(docs, id_col, text_col).select("doc_id", "digest", "kept"), "verdict")
-    keyed = docs.withColumn("__digest", text_digest(F.col(text_col)))
     pairs = verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    same = lambda right: keyed[id_col].eqNullSafe(right["drop_id"]) & (keyed["__digest"] == right["drop_digest"])
-    named = [F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_digest")]
-    gone = stage(pairs.where("NOT kept OR n > 1").select(*named, "kept"), "dropped")
-    # the same join at every size: what is dropped grows with the corpus, so it is never broadcast
-    merged = gone.hint("merge")
-    out = keyed.join(merged, same(merged), "left_anti")
+    gone = stage(pairs.where("NOT kept OR n > 1").select(F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_digest"), "kept"), "dropped")
+    same = lambda g: docs[id_col].cast("long").eqNullSafe(g["drop_id"]) & (text_digest(docs[text_col]) == g["drop_digest"])
+    out = without(docs, id_col, gone, same)
     repeated = gone.where("kept")
     if not repeated.isEmpty():
-        out = out.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__digest"]))
-    return out.select(*docs.columns)
+        meant = docs.join(repeated.hint("merge"), same(repeated))
+        one = Window.partitionBy("drop_id", "drop_digest").orderBy("drop_id")
+        number = "row_" + uuid.uuid4().hex  # no column of the table has this name
+        out = out.unionByName(meant.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*[docs[f"`{c}`"] for c in docs.columns]))
+    return out
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.llm.rows_out import without
 from cardloom.llm.scratch import stage
 
 WINDOW = 8
@@ -124,13 +125,12 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """
     verdict = judge(docs, id_col, text_col, host_col, limit)
     gone = stage(verdict.where("NOT kept").select(F.col("doc_id").alias("gone_id"), "host", "text_hash").distinct(), "rejected")
-    gone = gone.hint("merge")  # grows with the corpus: never broadcast
-    same = (
-        docs[id_col].eqNullSafe(gone["gone_id"])
-        & (F.coalesce(docs[host_col].cast("string"), F.lit("")) == gone["host"])
-        & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["text_hash"])
-    )
-    return docs.join(gone, same, "left_anti")
+
+    def same(g):
+        host, text = F.coalesce(docs[host_col].cast("string"), F.lit("")), F.coalesce(docs[text_col], F.lit(""))
+        return docs[id_col].eqNullSafe(g["gone_id"]) & (host == g["host"]) & (F.xxhash64(text) == g["text_hash"])
+
+    return without(docs, id_col, gone, same)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

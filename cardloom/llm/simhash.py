@@ -1,14 +1,19 @@
 """Operator 7, SimHash near-dedup by anchor points of a covering code.
 
-A 64-bit fingerprint is cut into three blocks of 22, 21 and 21 bits.  Of two fingerprints at 4 or fewer differing bits, one
-block differs in at most ``4 // 3 = 1`` bit.  The anchors of a block are the 4096 words of the perfect binary Golay code of length 23,
-whose covering radius is 3 (shorter blocks are padded with zero bits).  If ``x`` lies at distance ``r(x)`` from its nearest
-anchor, then any ``y`` that differs from it in one bit lies within ``r(x) + 1`` of that anchor.  So each fingerprint has one
-home anchor per block and is replicated to every anchor within ``min(3, its own distance) + 1``: of two linked fingerprints the one that is nearer to its
-home is met there by the other.  Nothing is sampled or capped; the comparison at an anchor is exact.
+A 64-bit fingerprint is cut into three blocks of 22, 21 and 21 bits.  Of two fingerprints at 4 or fewer differing bits, either one block is
+equal, or two blocks differ in one bit each and the third in one or two.
+
+* An equal block: every word of the block is an anchor (covering radius 0, threshold 0), and the fingerprint is at home there.
+* A block that differs in one bit: its anchors are the 4096 words of the perfect binary Golay code of length 23, whose covering radius is 3
+  (shorter blocks are padded with zero bits).  If ``x`` lies at distance ``r(x)`` from its nearest anchor, then any ``y`` that differs from it in one
+  bit lies within ``r(x) + 1`` of that anchor.  So each fingerprint has one home anchor per block and is replicated to every anchor within
+  ``min(3, its own distance) + 1``: of two linked fingerprints the one that is nearer to its home is met there by the other.  The bits outside the block
+  differ in 3 at most, so of four parts of them one is equal: each anchor is divided by the values of each part.  Two of the blocks are enough.
+
+For ``N`` random fingerprints that is some 45 replicas each and ``N ** 2 / 90,000`` comparisons.  Nothing is left out or capped; the comparison at an anchor is exact.
 
 At each anchor the links found are reduced to a spanning forest before they leave the task, so a group of near
-copies gives as many edges as it has members, not pairs.  Anchors with many fingerprints are dealt over a grid of cells
+copies gives as many edges as it has members, not pairs.  Anchors that a sample shows to be crowded are dealt over a grid of cells
 (``HOMES`` by ``GUESTS``) that bounds what a task holds.  Copies with one fingerprint are reduced to one node first.
 
 Defined results
@@ -37,8 +42,13 @@ BITS = 4
 SEED = 42
 #: (first bit, length) of the blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints in one cell at most: at home, and from elsewhere.
+#: Fingerprints in one cell of a crowded anchor: at home, and from elsewhere.
 HOMES, GUESTS = 8192, 32768
+#: One fingerprint in so many is read to find the crowded anchors, and the number of anchors that get a grid at most; this has no
+#: influence on the links that are found.
+SAMPLE, CROWDED = 64, 10_000
+#: Cells up to this size are compared many at a time.
+TINY = 64
 
 _LOWER = bytes(b + 32 if ord("A") <= b <= ord("Z") else b for b in range(256))
 
@@ -56,12 +66,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = [0, *(blanks[: n - 1] + 1).tolist()]
     ends = [*blanks[shingle - 1 :].tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit ``hashes``."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
@@ -110,21 +124,39 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(unit, np.uint32), table, count
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, at home?) of all replicas of ``fps``; anchors of different blocks have different numbers."""
+def _homes_and_neighbours(part: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, at home?) of the Golay anchors that ``part``, words of ``length`` bits, are replicated to."""
     unit, table, count = golay()
+    syndrome = np.zeros(len(part), np.uint32)
+    for bit in range(length):
+        syndrome ^= np.where(part >> np.uint32(bit) & np.uint32(1), unit[bit], np.uint32(0))
+    row, col = np.nonzero(np.arange(table.shape[1]) < count[syndrome][:, None])
+    word = part[row] ^ table[syndrome[row], col]
+    return row, (word >> 11).astype(np.int64), col == 0  # the code is systematic: 12 high bits name the word
+
+
+def anchors(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, at home?) of all replicas of ``fps``; anchors of different kinds have different numbers."""
     rows, keys, home = [], [], []
-    for block, (first, length) in enumerate(BLOCKS):
-        part = (fps >> np.uint64(first) & np.uint64((1 << length) - 1)).astype(np.uint32)
-        syndrome = np.zeros(len(part), np.uint32)
-        for bit in range(length):
-            syndrome ^= np.where(part >> np.uint32(bit) & np.uint32(1), unit[bit], np.uint32(0))
-        taken = np.arange(table.shape[1]) < count[syndrome][:, None]
-        row, col = np.nonzero(taken)
-        word = part[row] ^ table[syndrome[row], col]
+
+    def add(kind, row, key, own):
         rows.append(row)
-        keys.append((block << 12) + (word >> 11).astype(np.int64))  # the code is systematic: 12 high bits name the word
-        home.append(col == 0)
+        keys.append((kind << 58) + key)
+        home.append(own)
+
+    everyone = np.arange(len(fps))
+    words = [(fps >> np.uint64(first) & np.uint64((1 << length) - 1)).astype(np.uint32) for first, length in BLOCKS]
+    for block, word in enumerate(words):
+        add(block, everyone, word.astype(np.int64), np.ones(len(fps), bool))
+    # where no block is equal: so many of any two, or of all three, that one differs in a single bit
+    for block in range(max(0, bits - 2)):
+        first, length = BLOCKS[block]
+        row, anchor, own = _homes_and_neighbours(words[block], length)
+        others = (fps & np.uint64((1 << first) - 1)) | (fps >> np.uint64(first + length) << np.uint64(first))
+        cuts = np.linspace(0, 64 - length, bits + 1).astype(int)  # bits - 1 differences at most in as many parts as bits
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            value = (others >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+            add(3 + block * bits + k, row, (anchor << 22) + value[row], own)
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(home)
 
 
@@ -163,37 +195,60 @@ def compare(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, bits: int = BITS
     return forest(ids, np.concatenate(left), np.concatenate(right))
 
 
+def compare_cells(cell: np.ndarray, fps: np.ndarray, home: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links of all cells; rows come sorted by cell.  Large cells are compared one by one, all others together."""
+    starts = np.unique(cell, return_index=True)[1]
+    ends = np.append(starts[1:], len(cell))
+    left, right = [], []
+    ids = fps.view(np.int64)
+    for a, b in zip(starts[ends - starts > TINY].tolist(), ends[ends - starts > TINY].tolist(), strict=True):
+        x, y = compare(ids[a:b], fps[a:b], home[a:b], bits)
+        left.append(x)
+        right.append(y)
+    # rows left in their small cell after each row: the row and the one ``step`` after it
+    after = np.where(np.repeat(ends - starts, ends - starts) <= TINY, np.repeat(ends, ends - starts) - np.arange(len(cell)) - 1, 0)
+    at, step = np.flatnonzero(after > 0), 1
+    while len(at):
+        other = at + step
+        near = (home[at] | home[other]) & (np.bitwise_count(fps[at] ^ fps[other]) <= bits)
+        left.append(ids[at[near]])
+        right.append(ids[other[near]])
+        step += 1
+        at = at[after[at] >= step]
+    if not left:
+        return ids[:0], ids[:0]
+    met, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    return forest(met, at[: len(at) // 2], at[len(at) // 2 :])
+
+
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges ``a, b`` between the ids of ``nodes`` (``id, fp``, both unique) whose fingerprints differ in ``bits`` or fewer bits, up to
+    """Edges ``a, b`` between the fingerprints ``fp`` of ``nodes`` (each once) that differ in ``bits`` or fewer bits, up to
     transitivity.  The blocks allow for ``bits`` up to 5."""
     if bits // len(BLOCKS) > 1:
         raise ValueError("three blocks find at most 5 differing bits")
 
     def replicate(batches):
         for batch in batches:
-            ids, fps = batch.column("id").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(ids), 20_000):
-                row, key, home = anchors(fps[at : at + 20_000])
-                yield pa.RecordBatch.from_pydict(
-                    {"anchor": pa.array(key.astype(np.int32)), "id": pa.array(ids[at + row]), "fp": pa.array(fps[at + row].view(np.int64)), "home": pa.array(home)}
-                )
-
-    spread = nodes.select("id", "fp").mapInArrow(replicate, "anchor int, id bigint, fp bigint, home boolean")
-    # a grid of cells for each anchor, from its counts: at most three times 4096 rows
-    homes, guests = F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")
-    counts = stage(spread.groupBy("anchor").agg(homes, guests), "anchor-counts")
-    grid = counts.select(
-        "anchor",
-        F.ceil(F.col("homes") / HOMES).cast("int").alias("hs"),
-        F.greatest(F.lit(1), F.ceil((F.col("homes") + F.col("guests")) / GUESTS)).cast("int").alias("gs"),
-    ).where("hs > 0")
-    dealt = spread.join(F.broadcast(grid), "anchor")
-    h, g = F.pmod(F.xxhash64("fp"), F.col("hs")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("gs")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    # at home in row h of the grid, in all its columns; a guest (and one at home meets its neighbours as a guest) in column g, in all rows
-    as_home = dealt.where("home").select("anchor", "id", "fp", F.lit(True).alias("home"), h.alias("h"), F.explode(every(F.col("gs"))).alias("g"))
-    as_guest = dealt.where("NOT home OR hs > 1 OR gs > 1").select("anchor", "id", "fp", F.lit(False).alias("home"), F.explode(every(F.col("hs"))).alias("h"), g.alias("g"))
-    cells = as_home.union(as_guest).withColumn("cell", F.xxhash64("anchor", "h", "g"))
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for at in range(0, len(fps), 20_000):
+                row, key, home = anchors(fps[at : at + 20_000], bits)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(key), "fp": pa.array(fps[at + row].view(np.int64)), "home": pa.array(home)})
+
+    columns = "anchor bigint, fp bigint, home boolean"
+    # a grid of cells for the crowded anchors, CROWDED rows at most
+    homes, rows = SAMPLE * F.count_if("home"), SAMPLE * F.count(F.lit(1))
+    some = nodes.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(replicate, columns)
+    crowd = some.groupBy("anchor").agg(homes.alias("homes"), rows.alias("rows")).where((F.col("homes") > HOMES) | (F.col("rows") > GUESTS))
+    crowd = crowd.orderBy(F.desc(F.col("homes") * F.col("rows")), "anchor").limit(CROWDED)
+    grid = stage(crowd.select("anchor", F.ceil((F.col("homes") + 1) / HOMES).cast("int").alias("hs"), F.ceil(F.col("rows") / GUESTS).cast("int").alias("gs")), "crowded-anchors")
+    dealt = nodes.select("fp").mapInArrow(replicate, columns).join(F.broadcast(grid), "anchor", "left")
+    h, g = F.pmod(F.xxhash64("fp"), F.col("hs")), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("gs"))
+    # at home in row h of the grid, in all its columns; as a guest (one at home meets its neighbours as a guest) in column g, in all rows
+    as_home = F.transform(F.sequence(F.lit(0), F.col("gs") - 1), lambda k: F.struct(F.xxhash64("anchor", h, k.cast("long")).alias("cell"), F.lit(True).alias("home")))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda k: F.struct(F.xxhash64("anchor", k.cast("long"), g.cast("long")).alias("cell"), F.lit(False).alias("home")))
+    alone = F.array(F.struct(F.col("anchor").alias("cell"), F.col("home")))
+    places = F.when(F.col("hs").isNull(), alone).when(F.col("home"), F.concat(as_home, as_guest)).otherwise(as_guest)
+    cells = dealt.select("fp", F.explode(places).alias("at")).select("at.cell", "fp", "at.home")
 
     def meet(batches):
         held: list[pa.RecordBatch] = []
@@ -201,12 +256,9 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
         def done():
             table = pa.Table.from_batches(held)
-            own = [table.column(c).to_numpy() for c in ("cell", "id", "fp", "home")]
-            edges = [np.unique(own[0], return_index=True)[1], len(own[0])]
-            for a, b in zip(edges[0], [*edges[0][1:], edges[1]], strict=True):
-                x, y = compare(own[1][a:b], own[2][a:b].view(np.uint64), own[3][a:b], bits)
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(x), "b": pa.array(y)})
+            x, y = compare_cells(table.column("cell").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(), bits)
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(x), "b": pa.array(y)})
 
         for batch in batches:
             if not batch.num_rows:
@@ -231,7 +283,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
             yield from done()
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cells.select("cell", "id", "fp", "home").repartition(parts, "cell").sortWithinPartitions("cell")
+    met = cells.repartition(parts, "cell").sortWithinPartitions("cell")
     return met.mapInArrow(meet, "a bigint, b bigint")
 
 
@@ -244,7 +296,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(fingerprints(docs, id_col, text_col, shingle, hashed), "fingerprints")
     # a fingerprint is a node with the smallest id that has it; ids that repeat may name several, so nodes have numbers of their own order
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    edges = stage(links(nodes.select(F.col("fp").alias("id"), "fp"), bits), "links")
+    edges = stage(links(nodes, bits), "links")
     roots = components(edges)
     comp = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     comp = stage(comp, "members")

@@ -48,12 +48,24 @@ def test_linked_fingerprints_meet_at_an_anchor():
     rng = random.Random(3)
     for _ in range(500):
         x = y = rng.getrandbits(64)
-        for b in rng.sample(range(64), rng.randint(0, 4)):
+        for b in rng.sample(range(64), rng.randint(0, 5)):
             y ^= 1 << b
-        row, key, home = simhash.anchors(np.array([x, y], np.uint64))
-        at = [set(key[row == i]) for i in (0, 1)]
-        homes = [set(key[(row == i) & home]) for i in (0, 1)]
-        assert homes[0] & at[1] or homes[1] & at[0]
+        for bits in range((x ^ y).bit_count(), 6):
+            row, key, home = simhash.anchors(np.array([x, y], np.uint64), bits)
+            at = [set(key[row == i]) for i in (0, 1)]
+            homes = [set(key[(row == i) & home]) for i in (0, 1)]
+            assert homes[0] & at[1] or homes[1] & at[0]
+
+
+def test_comparisons_at_anchors_are_few():
+    """Pairs with one at home in the cell, for random fingerprints: 1 in 90,000 of all pairs or fewer."""
+    n = 100_000
+    row, key, home = simhash.anchors(np.random.default_rng(1).integers(0, 1 << 64, n, dtype=np.uint64))
+    assert len(row) < 46 * n
+    cells, at, size = np.unique(key, return_inverse=True, return_counts=True)
+    homes = np.bincount(at, home, len(cells))
+    pairs = (homes * (homes - 1) / 2 + homes * (size - homes)).sum()
+    assert pairs < n * n / 85_000
 
 
 def test_golay_code_is_perfect():
@@ -74,9 +86,11 @@ def test_groups_equal_all_pairs(spark, monkeypatch):
     rows = [(i, f) for i, f in enumerate(fps)] + [(1000 + i, f) for i, f in enumerate(fps[::7])]
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in rows]
     want = plain_components(rows)
-    for homes, guests in ((8192, 32768), (4, 8)):
+    for homes, guests, sample, tiny in ((8192, 32768, 64, 64), (4, 8, 1, 3)):
         monkeypatch.setattr(simhash, "HOMES", homes)
         monkeypatch.setattr(simhash, "GUESTS", guests)
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        monkeypatch.setattr(simhash, "TINY", tiny)
         monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(signed, "doc_id long, fp long"))
         got = {(r.doc_id, r.fp % (1 << 64)): r.component_id for r in simhash.near_groups(None).collect()}
         assert got == want
