@@ -10,7 +10,7 @@ equal, or two blocks differ in one bit each and the third in one or two.
   ``min(3, its own distance) + 1``: of two linked fingerprints the one that is nearer to its home is met there by the other.  The bits outside the block
   differ in 3 at most, so of four parts of them one is equal: each anchor is divided by the values of each part.  Two of the blocks are enough.
 
-For ``N`` random fingerprints that is some 45 replicas each and ``N ** 2 / 90,000`` comparisons.  Nothing is left out or capped; the comparison at an anchor is exact.
+For ``N`` random fingerprints that is some 45 replicas each and ``N ** 2 / 70,000`` comparisons.  Nothing is left out or capped; the comparison at an anchor is exact.
 
 At each anchor the links found are reduced to a spanning forest before they leave the task, so a group of near
 copies gives as many edges as it has members, not pairs.  Anchors that a sample shows to be crowded are dealt over a grid of cells
