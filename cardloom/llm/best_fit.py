@@ -2,17 +2,18 @@
 
 The plan is made from counts, the documents follow it in Spark:
 
-1. Each document becomes pieces of at most ``LENGTH`` tokens; only their lengths and checksums travel on.
+1. Each document becomes pieces of at most ``LENGTH`` tokens; only their lengths and checksums travel on.  A full piece is a sequence by itself.
 2. The number of pieces of each length (at most ``LENGTH`` numbers, whatever the corpus) goes to the driver.
-3. Linear grouping: pieces longer than ``SMALL``, in descending order, are dealt into groups of equal cardinality, and each counts with
+3. Linear grouping: pieces longer than the small ones, in descending order, are dealt into groups of equal cardinality, and each counts with
    the largest length of its group.  With these few sizes, configurations are chosen one after the other: the largest size that is
-   left, filled up as far as possible by a knapsack over the sizes left; a configuration is used as often as the counts allow.
+   left, filled up as far as possible by a knapsack over the sizes left; a configuration is used as often as the counts allow.  Plans are made for several
+   numbers of groups and bounds of the small ones, and the one with the fewest sequences is taken.
 4. Actual pieces take the places: the rank of a piece in its group says which copy of which configuration it belongs to.
 5. Small pieces go, by descending length, to the fullest sequence that still takes them, with the room that the actual pieces left.  This runs on counts
    as well: the number of sequences for each room, the number of pieces for each length.
 
-Ranks are numbered in ``length x RANGES`` parts, so pieces of one length are spread over many tasks.  What is broadcast (plan rows, offsets) is bounded
-by ``LENGTH``, ``GROUPS`` and ``RANGES``, not by the corpus.
+Ranks are numbered in parts of each length, one for every ``PART`` pieces, so pieces of one length are spread over many tasks.  What is broadcast (plan rows,
+offsets) is bounded by ``LENGTH``, the groups and a row for every ``PART`` pieces.
 
 Defined results
 * a null or empty text is one piece that holds the end token alone;
@@ -36,11 +37,13 @@ from cardloom.llm.scratch import stage
 from cardloom.llm.unit_cache import unit_ids
 
 LENGTH = 2048
-#: Pieces up to this length are small.
-SMALL = 256
-GROUPS = 96
-#: Parts in which the pieces of one length are numbered.
-RANGES = 64
+#: Plans that are made: pieces up to the first number are small, and larger ones are dealt into so many groups.
+PLANS = ((256, 256), (512, 1024), (256, 1536), (1024, 1024))
+#: Pieces of one length that are numbered together.
+PART = 100_000
+#: Rows of a plan at most: each configuration uses up a group or leaves less of it than the configuration holds, which is
+#: 8 pieces at most where the smallest large one has more than 256 tokens.
+MOST_ROWS = 1536 * 8 * 8
 END = (0).to_bytes(4, "little")
 
 
@@ -79,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
 # -- plans from counts ---------------------------------------------------------
 
 
-def group_sizes(counts: dict[int, int], groups: int = GROUPS) -> tuple[int, list[int], list[int]]:
+def group_sizes(counts: dict[int, int], groups: int) -> tuple[int, list[int], list[int]]:
     """Cardinality of a group, and for each group the size it is rounded up to and the pieces it has."""
     total = sum(counts.values())
     if not total:
@@ -164,15 +167,15 @@ def fill_rooms(rooms: dict[int, int], counts: dict[int, int], length: int = LENG
 # -- following the plan --------------------------------------------------------
 
 
-def ranked(rows: DataFrame, by: str, order: list[str], ranges: int = RANGES) -> DataFrame:
-    """``rows`` with ``rank``, gapless from 0 among the rows with the same ``by`` (a column of few values)."""
-    part = F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int")
-    rows = rows.withColumn("part", part)
-    counts = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"))
+def ranked(rows: DataFrame, by: str, order: list[str], counts: dict[int, int]) -> DataFrame:
+    """``rows`` with ``rank``, gapless from 0 among the rows with the same ``by`` (a column of few values, ``counts`` rows each)."""
+    # a row for each value; then one for each part of a value
+    parts = rows.sparkSession.createDataFrame([(v, 1 + n // PART) for v, n in counts.items()], f"{by} bigint, parts bigint")
+    rows = rows.join(F.broadcast(parts), by).withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts"))).drop("parts")
+    sizes = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")
-    offsets = stage(counts.select(by, "part", before.alias("before")), "ranks")
+    offsets = stage(sizes.select(by, "part", before.alias("before")), "ranks")
     within = F.row_number().over(Window.partitionBy(by, "part").orderBy(*order)) - 1
-    # at most ranges rows for each value of ``by``
     return rows.withColumn("rank", within).join(F.broadcast(offsets), [by, "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
 
 
@@ -181,29 +184,45 @@ def counted(rows: DataFrame, by: str) -> dict[int, int]:
     return {int(r[0]): r[1] for r in rows.groupBy(by).agg(F.count(F.lit(1))).collect()}
 
 
-def pack(items: DataFrame, length: int = LENGTH, small: int = SMALL, groups: int = GROUPS) -> DataFrame:
+def plan_large(counts: dict[int, int], length: int, plans: tuple[tuple[int, int], ...]) -> tuple[int, int, list[tuple[int, int, int, int, int]]]:
+    """Longest small piece, cardinality of a group and places (group, first rank in it, pieces, first sequence, pieces for each sequence) of the
+    plan that needs the fewest sequences with its small pieces.  It is counted with rooms of the rounded sizes; the actual pieces need no more."""
+    best, bound = None, -(-sum(x * n for x, n in counts.items()) // length)
+    for small, groups in plans:
+        each, sizes, members = group_sizes({x: n for x, n in counts.items() if x > small}, groups)
+        places, taken, sequences, rooms = [], [0] * len(sizes), 0, defaultdict(int)
+        for times, used in configurations(sizes, members, length):
+            for g, k in used.items():
+                places.append((g, taken[g], times * k, sequences, k))
+                taken[g] += times * k
+            rooms[length - sum(sizes[g] * k for g, k in used.items())] += times
+            sequences += times
+        needed = fill_rooms(rooms, {x: n for x, n in counts.items() if x <= small}, length)[1]
+        if best is None or needed < best[0]:
+            best = needed, small, each, places
+        if needed <= bound:
+            break
+    return best[1:]
+
+
+def pack(items: DataFrame, length: int = LENGTH, plans: tuple[tuple[int, int], ...] = PLANS) -> DataFrame:
     """``items`` (``doc_id, piece, length`` and more columns) with ``sequence_id`` and ``offset``."""
     spark = items.sparkSession
     counts = counted(items, "length")
-    large = {x: n for x, n in counts.items() if x > small}
-    each, sizes, members = group_sizes(large, groups)
+    small, each, places = plan_large({x: n for x, n in counts.items() if x < length}, length, plans)
+    large, minor_counts = {x: n for x, n in counts.items() if small < x < length}, {x: n for x, n in counts.items() if x <= small and x < length}
+    if len(places) > MOST_ROWS:
+        raise AssertionError("the plan is larger than its bound")
     order = ["doc_id", "piece", "ids_crc32"]
-
-    # places: (group, first rank in it, pieces, first sequence, pieces for each sequence)
-    places, taken, sequences = [], [0] * len(sizes), 0
-    for times, used in configurations(sizes, members, length):
-        for g, n in used.items():
-            places.append((g, taken[g], times * n, sequences, n))
-            taken[g] += times * n
-        sequences += times
     upto, above = 0, {}
     for x in sorted(large, reverse=True):
         above[x] = upto
         upto += large[x]
 
+    full = items.where(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
     plan = "g int, low bigint, n bigint, first bigint, each bigint"
     steps = spark.createDataFrame([*above.items()], "length bigint, above bigint")
-    ranks = ranked(items.where(F.col("length") > small), "length", order)
+    ranks = ranked(items.where((F.col("length") > small) & (F.col("length") < length)), "length", order, large)
     own = ranks.join(F.broadcast(steps), "length").withColumn("rank", F.col("rank") + F.col("above"))
     own = own.withColumn("g", F.expr(f"CAST(rank div {each} AS int)")).withColumn("q", F.pmod("rank", F.lit(each)))
     spots = F.broadcast(spark.createDataFrame(places, plan).withColumnRenamed("g", "pg"))
@@ -211,18 +230,19 @@ def pack(items: DataFrame, length: int = LENGTH, small: int = SMALL, groups: int
     placed = placed.withColumn("sequence_id", F.expr("first + (q - low) div each"))
     placed = stage(placed.select(*items.columns, "sequence_id"), "placed")
 
-    rooms = placed.groupBy("sequence_id").agg((F.lit(length) - F.sum("length")).alias("room"))
-    rooms = stage(ranked(rooms, "room", ["sequence_id"]), "rooms")
+    rooms = stage(placed.groupBy("sequence_id").agg((F.lit(length) - F.sum("length")).alias("room")), "rooms")
     with_room = counted(rooms, "room")
-    fill, total = fill_rooms(with_room, {x: n for x, n in counts.items() if x <= small}, length)
+    fill, total = fill_rooms(with_room, minor_counts, length)
     upto, below = 0, {}
     for x in sorted(with_room):
         below[x] = upto
         upto += with_room[x]
-    numbers = rooms.join(F.broadcast(spark.createDataFrame([*below.items()], "room bigint, below bigint")), "room")
+    numbers = ranked(rooms, "room", ["sequence_id"], with_room)
+    numbers = numbers.join(F.broadcast(spark.createDataFrame([*below.items()], "room bigint, below bigint")), "room")
     numbers = numbers.select((F.col("rank") + F.col("below")).alias("number"), "sequence_id")
 
-    minor = ranked(items.where(F.col("length") <= small), "length", order)
+    minor = ranked(items.where((F.col("length") <= small) & (F.col("length") < length)), "length", order, minor_counts)
+    # a row for each length and room at most
     spots = F.broadcast(spark.createDataFrame(fill, "size bigint, low bigint, n bigint, first bigint, each bigint"))
     minor = minor.join(spots, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
     minor = minor.withColumn("number", F.expr("first + (rank - low) div each")).select(*items.columns, "number")
@@ -230,7 +250,7 @@ def pack(items: DataFrame, length: int = LENGTH, small: int = SMALL, groups: int
 
     everything = placed.unionByName(minor.select(*placed.columns))
     line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order).rowsBetween(Window.unboundedPreceding, 0)
-    return everything.withColumn("offset", F.sum("length").over(line) - F.col("length"))
+    return everything.withColumn("offset", F.sum("length").over(line) - F.col("length")).unionByName(full.withColumn("offset", F.lit(0).cast("long")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = public_tokenizers.path("word_bpe_49k.json"), length: int = LENGTH) -> DataFrame:

@@ -80,10 +80,15 @@ def best_fit_decreasing(lengths: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
-def pack_rows(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", wide: bool = False, keep_ids: bool = True) -> DataFrame:
+def id_bytes(tokenizer: str) -> int:
+    """Bytes of an id: two where all ids of the vocabulary fit, else four."""
+    return 2 if len(unit_ids(tokenizer).ends) <= 1 << 16 else 4
+
+
+def pack_rows(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per packed row: ``row_id, n_segments, n_tokens, doc_ids, starts, cu_seqlens, ids_crc32, positions_crc32`` and, unless
     left out, the binaries ``ids`` and ``position_ids``."""
-    kind = "<u4" if wide else "<u2"
+    kind = f"<u{id_bytes(tokenizer)}"
     extra = ", ids binary, position_ids binary" if keep_ids else ""
 
     def emit(held, first):
@@ -132,9 +137,9 @@ def pack_rows(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str
     )
 
 
-def unpack(rows: DataFrame, wide: bool = False) -> DataFrame:
+def unpack(rows: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, start, ids array<int>`` of every segment, read back from the binaries."""
-    kind = "<u4" if wide else "<u2"
+    kind = f"<u{id_bytes(tokenizer)}"
 
     def run(batches):
         for batch in batches:
@@ -151,4 +156,4 @@ def unpack(rows: DataFrame, wide: bool = False) -> DataFrame:
 
 def op5_token_matrix(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     """All ``documents`` as packed rows of 2048 ids, in binary."""
-    return pack_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer).drop("position_ids")
+    return pack_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer)

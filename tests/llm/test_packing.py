@@ -16,7 +16,8 @@ def library_ids(text):
 
 
 def test_units_have_the_ids_of_whole_texts(monkeypatch):
-    monkeypatch.setattr(unit_cache, "CACHE", 50)
+    monkeypatch.setattr(unit_cache, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(unit_cache, "LONG", 6)
     rng, library, own = random.Random(2), Tokenizer.from_file(PATH), unit_cache.UnitIds(PATH)
     parts = ["a", "B", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "é", "́", "ß", "Σ", "日", "7", "'s", "'LL", "!", "<|endoftext|>", "<|startof", "😀", "the", "İ", "\r\n", "Word", "Été.", "ab,", "x,."]
     for _ in range(200):
@@ -25,6 +26,14 @@ def test_units_have_the_ids_of_whole_texts(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_long_units_are_not_kept():
+    """Texts of a script without blanks are units of their own."""
+    own = unit_cache.UnitIds(PATH)
+    texts = [chr(0x4E00 + i) * 500 for i in range(20)]
+    own.encode_batch(texts)
+    assert max(map(len, own.known)) <= unit_cache.LONG and max(map(len, own.words), default=0) <= unit_cache.LONG
+
+
 def check_places(rows, length):
     sequences = defaultdict(list)
     for r in rows:
@@ -44,11 +53,19 @@ def test_pack_places_everything(spark):
         lengths = [rng.choice([rng.randint(1, 64), rng.randint(20, 40), 33, 5]) for _ in range(n)]
         rows = [(i // 3, 0, x, 5) for i, x in enumerate(lengths)]
         items = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
-        out = best_fit.pack(items, length, small, groups=12).collect()
+        out = best_fit.pack(items, length, ((small, 12), (small, 64))).collect()
         assert sorted((r.doc_id, r.length) for r in out) == sorted((a, x) for a, _, x, _ in rows)
         used = check_places(out, length)
         plain = len(token_matrix.best_fit_decreasing(np.array(lengths, int), length))
-        assert -(-sum(lengths) // length) <= used <= 1.1 * plain + 3
+        assert -(-sum(lengths) // length) <= used <= 1.02 * plain + 1
+
+
+def test_as_few_sequences_as_best_fit_decreasing(spark, monkeypatch):
+    """On the tables' documents; parts of a length are numbered apart."""
+    monkeypatch.setattr(best_fit, "PART", 50)
+    rows = best_fit.op9_best_fit(spark, "/root/testdata/sf0.01").collect()
+    plain = len(token_matrix.best_fit_decreasing(np.array([r.length for r in rows]), best_fit.LENGTH))
+    assert check_places(rows, best_fit.LENGTH) <= plain
 
 
 def test_pieces_and_documents(spark):
@@ -80,6 +97,16 @@ def test_capacity_tree_finds_the_tightest_row():
         assert tree.at_least(c) == min((x for x in held if x >= c), default=None)
 
 
+def test_ids_above_two_bytes_take_four(spark, monkeypatch):
+    own = token_matrix.unit_ids(PATH)
+    monkeypatch.setattr(own, "ends", np.zeros(70_000, bool))
+    assert token_matrix.id_bytes(PATH) == 4
+
+
+def test_the_query_has_position_resets(spark):
+    assert "position_ids" in token_matrix.op5_token_matrix(spark, "/root/testdata/sf0.001").columns
+
+
 def test_binary_rows_read_back(spark, monkeypatch):
     monkeypatch.setattr(token_matrix, "BLOCK_TOKENS", 200)
     rng = random.Random(6)
@@ -94,7 +121,7 @@ def test_binary_rows_read_back(spark, monkeypatch):
         for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             assert at[a:b].tolist() == list(range(b - a))
     got = defaultdict(list)
-    for r in token_matrix.unpack(packed).collect():
+    for r in token_matrix.unpack(packed, PATH).collect():
         got[r.doc_id].append((r.start, tuple(r.ids)))
     want = defaultdict(list)
     for d, t, _ in data:
