@@ -6,7 +6,7 @@ batch.  Active ranks are applied in ascending order; each merge touches only the
 A merge can only create pairs of a higher rank (they hold a symbol that did not exist before), so one ascending
 pass is complete.
 
-Ids of pre-tokens are kept in a bounded cache of the Python worker; it only saves work, results don't depend on it.
+Ids of short pre-tokens are kept in tables of the Python worker that are bounded in bytes; they only save work, results don't depend on them.
 Texts never leave their partition and are never shuffled.
 
 Defined results
@@ -28,8 +28,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pre-tokens whose ids a worker keeps at most; then it starts anew.
-CACHE = 400_000
+from cardloom.llm.unit_cache import Known
 
 # Fixed value: the public byte-level pre-token pattern.
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,9 +67,7 @@ class BytePairs:
         self.pretoken = regex.compile(PRETOKEN)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         #: ids of units at the start of a run, of units after a blank, and of pre-tokens
-        self.leading: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.leading, self.spaced, self.words = Known(), Known(), Known()
 
     # -- cutting ---------------------------------------------------------------
 
@@ -160,27 +157,33 @@ class BytePairs:
         parts = {u: self.pretoken.findall(u) for u in units}
         words = self.words
         unseen = list({w for p in parts.values() for w in p if w not in words})
-        words.update(zip(unseen, self.merge(unseen), strict=True))
-        return {u: b"".join([words[w] for w in p]) for u, p in parts.items()}
+        new = dict(zip(unseen, self.merge(unseen), strict=True))
+        words.learn(new)
+        return {u: b"".join([new[w] if w in new else words[w] for w in p]) for u, p in parts.items()}
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for held in (self.leading, self.spaced, self.words):
-            if len(held) > CACHE:
-                held.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
         leading, spaced = self.leading, self.spaced
-        fixed = {s: i.to_bytes(4, "little") for s, i in self.added.items()}
-        leading.update(self._learn({run[0] for c in cut for run in c} - leading.keys() - fixed.keys()))
-        leading.update(fixed)
+        for held in (leading, spaced, self.words):
+            held.trim()
+        cut = [self.cut(t) if t else [] for t in texts]
+        leading.update((s, i.to_bytes(4, "little")) for s, i in self.added.items())
+        first = self._learn({run[0] for c in cut for run in c if run[0] not in leading})
         new = set()
         for c in cut:
             for run in c:
-                new.update(run[1:])
-        new -= spaced.keys()
-        spaced.update((u[1:], ids) for u, ids in self._learn({" " + u for u in new}).items())
-        get = spaced.__getitem__
-        return [b"".join([x for run in c for x in (leading[run[0]], *map(get, run[1:]))]) for c in cut]
+                new.update([u for u in run[1:] if u not in spaced])
+        rest = {u[1:]: ids for u, ids in self._learn({" " + u for u in new}).items()}
+        out = []
+        for c in cut:
+            parts = []
+            for run in c:
+                parts.append(first[run[0]] if run[0] in first else leading[run[0]])
+                parts += [rest[u] if u in rest else spaced[u] for u in run[1:]]
+            out.append(b"".join(parts))
+        leading.learn(first)
+        spaced.learn(rest)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the text; an invalid sequence is replaced as UTF-8 decoders do."""

@@ -20,7 +20,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.bpe import CACHE, BytePairs, blocks, codec
+from cardloom.llm.bpe import BytePairs, blocks, codec
+from cardloom.llm.unit_cache import CACHE_BYTES, ENTRY, LONG
 
 #: Characters before an edit whose pre-tokens it may change: an added token's length and the pattern's look ahead.
 CONTEXT = 16
@@ -43,18 +44,20 @@ def pretokens(own: BytePairs, text: str, at: int = 0) -> Iterator[str]:
 
 
 class Counter:
-    """Tokens of pre-tokens, with the codec's merges."""
+    """Tokens of pre-tokens, with the codec's merges; those of short ones are kept, up to a bound in bytes."""
 
     def __init__(self, own: BytePairs):
         self.own, self.known = own, dict.fromkeys(own.added, 1)
 
     def counts(self, parts: list[str]) -> list[int]:
-        if len(self.known) > CACHE:
+        if len(self.known) * (ENTRY + LONG) > CACHE_BYTES:
             self.known = dict.fromkeys(self.own.added, 1)
         known = self.known
         new = list({w for w in parts if w not in known})  # looks up the parts only; taking keys() away would walk all that is known
-        known.update((w, len(ids) // 4) for w, ids in zip(new, self.own.merge(new), strict=True))
-        return [known[w] for w in parts]
+        found = {w: len(ids) // 4 for w, ids in zip(new, self.own.merge(new), strict=True)}
+        out = [found[w] if w in found else known[w] for w in parts]
+        known.update((w, n) for w, n in found.items() if len(w) <= LONG)
+        return out
 
 
 class TokenTree:

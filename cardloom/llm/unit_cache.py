@@ -14,8 +14,28 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Units that are kept at most; then the worker starts anew.
-CACHE = 500_000
+#: Bytes that one table of known units may take; then the worker starts it anew.  Units that are longer than ``LONG`` characters, such as whole texts of
+#: scripts without blanks, are not kept.
+CACHE_BYTES, LONG = 64 << 20, 64
+#: Bytes of an entry besides its key and value: the table's slot and two object heads.
+ENTRY = 170
+
+
+class Known(dict):
+    """Values of short keys, bounded by the bytes they take."""
+
+    taken = 0
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        """Keep what is short enough."""
+        kept = {k: v for k, v in found.items() if len(k) <= LONG}
+        self.taken += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
+        self.update(kept)
+
+    def trim(self) -> None:
+        if self.taken > CACHE_BYTES:
+            self.clear()
+            self.taken = 0
 
 #: A word of precomposed Latin-1 letters, and a mark after it that is a token of its own.  Lower case is one letter for one letter here.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -34,58 +54,61 @@ class UnitIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # does the token end a word?
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = Known(), Known()
 
     def _library(self, units: list[str]) -> Iterable[bytes]:
         for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of lower-case words, many in one text; they are told apart by the tokens that end a word."""
+        out: dict[str, bytes] = {}
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 raw, starts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.words.update((w, raw[a:b]) for w, a, b in zip(part, starts, starts[1:], strict=False))
+                out.update((w, raw[a:b]) for w, a, b in zip(part, starts, starts[1:], strict=False))
             else:
-                self.words.update(zip(part, self._library(part), strict=True))
+                out.update(zip(part, self._library(part), strict=True))
+        return out
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units."""
         other, simple = [], []
         for u in units:
             if m := SIMPLE.fullmatch(u):
                 simple.append((u, m[1].lower(), m[2]))
             else:
                 other.append(u)
-        self._learn_words(list({w for _, w, _ in simple} - self.words.keys()))
-        self.known.update(zip(other, self._library(other), strict=True))
-        marks = dict(zip(("", ".", ","), self._library(["", ".", ","]), strict=True))
         words = self.words
-        self.known.update((u, words[w] + marks[m]) for u, w, m in simple)
+        new = self._words(list({w for _, w, _ in simple if w not in words}))
+        words.learn(new)
+        marks = dict(zip(("", ".", ","), self._library(["", ".", ","]), strict=True))
+        found = dict(zip(other, self._library(other), strict=True))
+        found.update((u, (new[w] if w in new else words[w]) + marks[m]) for u, w, m in simple)
+        return found
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        if len(self.words) > CACHE:
-            self.words = {}
-        known = self.known
-        get = known.__getitem__
+        self.known.trim()
+        self.words.trim()
+        self.known[""] = b""
+        get = self.known.__getitem__
         out, later, new = [], [], set()
         for t in texts:  # a text's units are looked up while the processor's caches hold them
             units = (t or "").replace("\n", " ").split(" ")
             try:
                 out.append(b"".join(map(get, units)))
             except KeyError:
-                new.update([u for u in units if u not in known])
+                new.update([u for u in units if u not in self.known])
                 later.append((len(out), units))
                 out.append(b"")
-        self._learn(list(new))
+        found = self._learn(list(new))
         for i, units in later:
-            out[i] = b"".join(map(get, units))
+            out[i] = b"".join([found[u] if u in found else get(u) for u in units])
+        self.known.learn(found)
         return out
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from cardloom.llm import bpe
+from cardloom.llm import bpe, unit_cache
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "b", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "ß", "日", "١", "5", "7", "'s", "'ll", "'", "!", "??", "<|endoftext|>", "<|endof", "😀", "the", "ing", "\x00", "²", "\r\n", "_", "aaaa"]
@@ -22,7 +22,8 @@ def test_same_as_the_library():
 
 
 def test_cache_may_start_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 2)
+    monkeypatch.setattr(unit_cache, "CACHE_BYTES", 2)
+    monkeypatch.setattr(unit_cache, "LONG", 3)
     own, library = bpe.BytePairs(PATH), Tokenizer.from_file(PATH)
     for t in ("one two three", "two three four", "four five one"):
         assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
