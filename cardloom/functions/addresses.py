@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cardloom.functions.names import filled_lines
-from cardloom.functions.text import first, strip
+from cardloom.functions.text import first, strip, with_next
 
 # What tells an address, what ends one on a licence, and the number of a licence's field.
 LICENCE_WORD = r"(?iU)\b(?:KP|JL|JALAN|PERUM|DUSUN|GANG|GG|BLOK|RT|RW|KAV|KOMPLEK)\b"
@@ -23,11 +23,6 @@ def _squeeze(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
-def _with_next(rows: Column) -> Column:
-    """Each line ``x`` with the one behind it, ``y``; the last has none."""
-    return F.zip_with(rows, F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x, y: F.struct(x.alias("x"), F.coalesce(y, F.lit("")).alias("y")))
-
-
 def _long_enough(x: Column) -> Column:
     return F.when(F.length(x) >= LEAST, x).otherwise("")
 
@@ -60,7 +55,7 @@ def licence_address_below_gender(text: Column) -> Column:
 
 def licence_address_elsewhere(text: Column) -> Column:
     """Numbered lines with an address word, else the first line with one; the line behind may go on with it."""
-    pairs = _with_next(filled_lines(text))
+    pairs = with_next(filled_lines(text))
     word = lambda x: x.rlike(LICENCE_WORD) & ~x.rlike(LICENCE_STOP)
     open_ = lambda y: (y != "") & ~y.rlike(LICENCE_STOP) & ~y.rlike(r"(?i)KAB\.|KABUPATEN")
 
@@ -97,5 +92,5 @@ def family_address(text: Column) -> Column:
         raw = F.when(label, F.when(F.length(strip(behind)) > 3, behind).otherwise(p["y"])).when(p["x"].rlike(f"(?i){FAMILY_WORD}|BLOK"), p["x"]).otherwise("")
         return F.struct(label.alias("label"), clean_family_address(raw).alias("value"))
 
-    ends = F.filter(F.transform(_with_next(filled_lines(text)), read), lambda r: r["label"] | (r["value"] != ""))
+    ends = F.filter(F.transform(with_next(filled_lines(text)), read), lambda r: r["label"] | (r["value"] != ""))
     return F.coalesce(F.get(F.transform(ends, lambda r: r["value"]), 0), F.lit(""))

@@ -8,35 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cardloom.functions import lexicon as lx
-from cardloom.functions.text import clean_name, digits, first, first_of, is_plausible_name, lines, literal_array, normalize_city, normalize_date, strip, words
-
-# Patterns of header fields on family cards, tried in order; what follows a value ends it.
-HEADER_PATTERNS = {
-    "desa_kelurahan": (
-        r"Desa\s*/\s*Kelurahan\s*[:\-=.\s]\s*([A-Za-z][A-Za-z\s]{2,30}?)(?:\s+(?:Kec|Kab|Prov|No\b)|\n)",
-        r"Desa\s*/\s*Ke[lt]urahan\s*[:\-=1.]\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s+(?:Kec|Kab|Prov)|\n|$)",
-        r"Desaf?kelurahan\s*[:\-#.]?\s*([A-Za-z][A-Za-z]{2,20})",
-    ),
-    "kecamatan": (
-        r"Kecamatan\s*[:\-=.]?\s*([A-Za-z][A-Za-z\s]{2,30}?)(?:\s+(?:Kab|Kota|Prov)|\n)",
-        r"Kecamatan\s*[:\-=.]?\s*1?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s+(?:Kab|Kota)|\n|$)",
-        r"Kecarnatan\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s+(?:Kab|Kota)|\n|$)",
-    ),
-    "kabupaten_kota": (
-        r"Kabupaten\s*/?\s*Kota\s*[:\-=.]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\s+Prov)",
-        r"Kab\.?\s*/?\s*Kota\s*[:\-.]?\s*([A-Za-z][A-Za-z\s]{2,20}?)(?:\n|$|\s+Prov)",
-        r"Kabupaten\s*[:\-.]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\s+Prov)",
-    ),
-    "provinsi": (
-        r"Provinsi\s*[:\-=.1]?\s*\d?([A-Za-z][A-Za-z\s]{2,30}?)(?:\s*(?:No\.?\s*\d|Jenis|Nama\s+Lengkap)|\n|$)",
-        r"Prov\.\s*[:\-.]?\s*\d?([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$)",
-    ),
-}
-# Words that are labels and never part of a header field.
-HEADER_STOP = "KECAMATAN KABUPATEN KOTA PROVINSI DESA KELURAHAN RT RW RTRW ALAMAT NO NOMOR JENIS GOLONGAN NAMA PEKERJAAN".split()
+from cardloom.functions.text import clean_name, digits, first, first_filled, first_of, is_plausible_name, let, lines, literal_array, normalize_city, normalize_date, strip, words
+
+# Labels that end an address, and the label of a birth line.
 ADDRESS_STOP = r"\b(RT|RW|KEL|DESA|KEC|AGAMA|PEKERJAAN|STATUS|KEWARGANEGARAAN|BERLAKU|GOLONGAN)\b"
 
 
+BIRTH_LABEL = r"TEMPAT.{0,10}(TGL|TANGGAL)?.{0,5}LAHIR"
+#: Lines of an address, and its characters, at most.
+ADDRESS_LINES, ADDRESS_LENGTH = 3, 200
+
+
 def _hits(upper: Column, patterns) -> Column:
     return reduce(lambda a, b: a + b, [upper.rlike("(?U)" + p).cast("int") for p in patterns])
 
@@ -63,9 +45,6 @@ def nik(text: Column) -> Column:
     return first_of(F.when(F.length(labelled) >= 15, cut(labelled)), cut(first(F.filter(fused, _province))), F.when(_province(gaps), cut(gaps)))
 
 
-BIRTH_LABEL = r"TEMPAT.{0,10}(TGL|TANGGAL)?.{0,5}LAHIR"
-
-
 def birth_date(text: Column) -> Column:
     """On the line with the birth label, else anywhere, else day and month at a line's end with a year on one of the next three."""
     pattern = r"(\d{1,2}[-/\s]\d{1,2}[-/\s]\d{4})"
@@ -84,14 +63,21 @@ def birth_date(text: Column) -> Column:
 
 
 def birth_place(text: Column) -> Column:
-    """Title-case place: on the line with the birth label, else the last word before a date."""
+    """Title-case place: on the line with the birth label, else the last word before a date, else before day and month at a line's end with
+    a year on one of the next three."""
     label = F.filter(lines(text), lambda x: F.upper(x).rlike(BIRTH_LABEL))
     read = lambda x: strip(F.regexp_replace(F.regexp_extract(x, r":\s*([^,\-]*)", 1), r"[^A-Za-z\s]", ""))
     labelled = first(F.filter(F.transform(label, read), lambda p: F.length(p) > 2))
-    before = F.regexp_extract(text, r"([A-Za-z][A-Za-z\s]{0,25})[,\.\-:]+\s*\d{1,2}[-/\s]\d{1,2}[-/\s]\d{4}", 1)
-    last = F.coalesce(F.try_element_at(words(before), F.lit(-1)), F.lit(""))
-    place = first_of(labelled, F.when(F.length(last) >= 2, last))
-    return F.when(place == "", "").otherwise(F.initcap(F.lower(normalize_city(place))))
+    last = lambda x: F.element_at(F.concat(F.array(F.lit("")), F.filter(words(x), lambda w: F.length(w) >= 2)), -1)
+    before = F.regexp_extract(text, r"([A-Za-z][A-Za-z\s]{0,25})[,\.\-:]+\s*\d{1,2}[-/\.]\d{2}[-/\.]\d{4}", 1)
+    split = r"([A-Za-z][A-Za-z\s]{0,20})[,\.\-:]+\s*\d{1,2}[-/\.]\d{2}\s*$"
+
+    def parted(rows):
+        year = lambda i: F.exists(F.slice(rows, i + 2, F.lit(3)), lambda y: y.rlike(r"(?U)\b(?:19|20)\d{2}\b"))
+        return first_filled(F.transform(rows, lambda x, i: F.when(x.rlike(split) & year(i), last(F.regexp_extract(x, split, 1)))))
+
+    place = first_of(labelled, last(before), let(F.filter(lines(text), lambda x: strip(x) != ""), parted))
+    return let(place, lambda p: F.when(p == "", "").otherwise(F.initcap(F.lower(normalize_city(p)))))
 
 
 def gender(text: Column) -> Column:
@@ -104,10 +90,10 @@ def gender(text: Column) -> Column:
 
 
 def name_from_label(text: Column) -> Column:
-    """Slug of what stands behind a name label, of the first such line that gives one."""
+    """Slug of what stands behind a name label, behind a colon or without one, of the first such line that gives one."""
     label = F.filter(lines(text), lambda x: F.upper(x).rlike(r"\bNA\s*MA?\b") & ~F.upper(x).rlike(r"KEPALA\s+KELUARGA"))
-    behind = lambda x: F.when(F.contains(x, F.lit(":")), F.regexp_extract(x, ":(.*)", 1)).otherwise(F.regexp_extract(x, r"(?i)NA\s*MA?\s+([A-Za-z ]{3,})", 1))
-    return first(F.filter(F.transform(label, lambda x: clean_name(behind(x))), lambda n: n != ""))
+    ways = lambda x: F.array(F.regexp_extract(x, ":(.*)", 1), F.regexp_extract(x, r"(?i)NA\s*MA?\s+([A-Za-z ]{3,})", 1))
+    return first_filled(F.transform(F.flatten(F.transform(label, ways)), clean_name))
 
 
 def plausible(slug: Column) -> Column:
@@ -115,82 +101,77 @@ def plausible(slug: Column) -> Column:
 
 
 def address(text: Column) -> Column:
-    """Value behind the address label and of up to two lines after it, until another label; at most 200 characters."""
-    start = F.struct(F.lit(0).alias("taken"), F.lit("").alias("value"))
+    """Values behind address labels and the filled lines after them, three in all, until another label; at most 200 characters."""
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("taken"), F.lit("").alias("value"))  # state: 0 before, 1 in the address, 2 behind it
+    behind = r"""(?i)\b(?:ALAMAT|MAMAT)\b\s*[:"\u2019\u2018'*#@\uff1a]?\s*(.+)"""
 
     def step(s, line):
-        upper = F.upper(line)
-        label = upper.rlike(r"\b[AM]?LAMAT\b|\bMAMAT\b")
-        value = strip(F.regexp_replace(line, r"(?i)^.*?\b(?:ALAMAT|MAMAT)\b[\s:;.,\-=]*", ""))
-        more = (s["taken"] > 0) & (s["taken"] < 3) & ~upper.rlike(ADDRESS_STOP)
-        return (
-            F.when(label, F.struct(F.lit(1).alias("taken"), strip(F.concat_ws(" ", s["value"], value)).alias("value")))
-            .when(more, F.struct((s["taken"] + 1).alias("taken"), strip(F.concat_ws(" ", s["value"], strip(line))).alias("value")))
-            .otherwise(F.struct(F.when(s["taken"] > 0, 3).otherwise(0).alias("taken"), s["value"].alias("value")))
-        )
+        upper = strip(F.upper(line))
+        label = upper.rlike(r"\bALAMAT\b|\bMAMAT\b")
+        part = F.when(label, strip(F.regexp_extract(line, behind, 1))).otherwise(strip(line))
+        n = s["taken"] + (part != "").cast("int")
+        ended = ~label & (upper.rlike(ADDRESS_STOP) | (n >= ADDRESS_LINES))
+        grown = F.struct(F.when(ended, 2).otherwise(1).alias("state"), n.alias("taken"), strip(F.concat_ws(" ", s["value"], part)).alias("value"))
+        stopped = F.struct(F.lit(2).alias("state"), s["taken"].alias("taken"), s["value"].alias("value"))
+        stop = ~label & (s["state"] == 1) & upper.rlike(ADDRESS_STOP)
+        return F.when((s["state"] == 2) | ((s["state"] == 0) & ~label), s).when(stop, stopped).otherwise(grown)
 
     joined = F.aggregate(lines(text), start, step, lambda s: s["value"])
-    return F.left(F.regexp_replace(joined, r"\s+", " "), F.lit(200))
-
-
-def to_16_digits(raw: Column) -> Column:
-    """Family-card number from noisy characters: 16 digits, 15 with a zero behind, 14 as they are; a leading zero is none."""
-    d = digits(F.regexp_replace(raw, "[^0-9A-Za-z?]", ""), lx.KK_DIGITS)
-    ok = lambda x: x.rlike("^[1-9][0-9]")
-    n = F.length(d)
-    skipped = F.when((n == 17) & ok(F.substring(d, 2, 16)), F.substring(d, 2, 16)).when((n == 18) & ok(F.substring(d, 3, 16)), F.substring(d, 3, 16))
-    return (
-        F.when((n == 16) & ok(d), d)
-        .when(n > 16, F.coalesce(skipped, F.when(ok(d), F.left(d, F.lit(16))), F.lit("")))
-        .when((n == 15) & ok(d), F.concat(d, F.lit("0")))
-        .when((n == 14) & ok(d), d)
-        .otherwise("")
-    )
-
-
-def family_number(text: Column) -> Column:
-    """Number behind its label on the same line."""
-    pattern = r"(?i)\bNO(?:MOR)?\s*[.:]?\s*KK\s*[:.\-]?\s*([0-9A-Za-z? ]{14,34})"
-    return first(F.filter(F.transform(lines(text), lambda x: to_16_digits(F.regexp_extract(x, pattern, 1))), lambda n: n != ""))
-
-
-def family_head(text: Column) -> Column:
-    """Name behind the label of the family's head, in upper case."""
-    read = lambda x: strip(F.regexp_replace(F.regexp_extract(x, r"(?i)KEPALA\s+KELUARGA\s*[:.\-]\s*([A-Za-z .']{3,})", 1), r"[^A-Za-z\s]", " "))
-    return F.upper(F.regexp_replace(first(F.filter(F.transform(lines(text), read), lambda n: F.length(n) >= 3)), r"\s+", " "))
+    return F.left(F.regexp_replace(joined, r"\s+", " "), F.lit(ADDRESS_LENGTH))
 
 
 def header_field(text: Column, field: str) -> Column:
-    """One of ``HEADER_PATTERNS`` in upper case; the first pattern with a value of three letters or more counts."""
-    stop = literal_array(HEADER_STOP)
+    """One of the header fields in upper case; the first pattern with a value of three letters or more counts."""
+    stop = literal_array(lx.HEADER_STOP)
 
     def value(pattern):
-        found = F.regexp_replace(strip(F.regexp_extract(text, "(?im)" + pattern, 1)), r"\s*[:\-#\d\.]\s*$", "")
-        kept = F.array_join(F.filter(words(found), lambda w: ~F.array_contains(stop, F.upper(w))), " ")
-        return F.when(F.length(kept) >= 3, F.upper(kept))
+        found = F.regexp_replace(strip(F.regexp_extract(text, "(?im)" + pattern, 1)), r"\s*[:\-—#\d\.]\s*$", "")
+        return F.array_join(F.filter(words(found), lambda w: ~F.array_contains(stop, F.upper(w))), " ")
 
-    return first_of(*map(value, HEADER_PATTERNS[field]))
+    # one match after the other, and none after the first that holds
+    ways = [let(value(p), lambda v: F.when(F.length(v) >= 3, F.upper(v))) for p in lx.HEADER_PATTERNS[field]]
+    return F.coalesce(*ways, F.lit(""))
 
 
 def rt_rw(text: Column) -> Column:
-    """``RRR/WWW`` from explicit labels, else from fused digits behind a label."""
+    """``RRR/WWW`` from explicit labels, from fused digits behind a label, before the name of a regency, or from fused digits before one."""
     pad = lambda x: F.when(F.length(x) < 3, F.lpad(x, 3, "0")).otherwise(x)
+    within = lambda a, b: F.coalesce(a.try_cast("int").between(1, 200) & b.try_cast("int").between(1, 50), F.lit(False))
 
     def both(pattern):
         a, b = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
         return F.when(a != "", F.concat_ws("/", pad(a), pad(b)))
 
-    d = digits(F.regexp_extract(text, r"(?i)(?:RTRW|RTIRW|BURW|RT[I1]?RW)\s*[:\-]?\s*([0-9A-Za-z]{4,10})\b", 1), lx.RTRW_DIGITS)
-    within = lambda a, b: F.try_to_number(a, F.lit("999")).between(1, 200) & F.try_to_number(b, F.lit("999")).between(1, 50)
-    cut = lambda at, n: F.substring(d, at, n)
-    seven = [(cut(1, 3), cut(5, 3)), (cut(2, 3), cut(5, 3)), (cut(1, 3), cut(4, 3))]
-    split = F.coalesce(*[F.when(within(a, b), F.concat_ws("/", a, b)) for a, b in seven], F.concat_ws("/", cut(1, 3), cut(4, 3)))
-    fused = F.when(F.length(d) == 7, split).when(F.length(d) >= 6, F.concat_ws("/", cut(1, 3), cut(4, 3)))
-    return first_of(both(r"(?i)RT[/I\s.]*RW[.\s:]*(\d{2,3})[/\s\-](\d{2,3})"), both(r"(?i)RT\.?(\d{2,3})/RW\.?(\d{2,3})"), fused)
+    def fused(number):
+        def cut(d):
+            part = lambda at, n: F.substring(d, at, n)
+            seven = [(part(1, 3), part(5, 3)), (part(2, 3), part(5, 3)), (part(1, 3), part(4, 3))]
+            split = F.coalesce(*[F.when(within(a, b), F.concat_ws("/", a, b)) for a, b in seven], F.concat_ws("/", part(1, 3), part(4, 3)))
+            return F.when(F.length(d) == 7, split).when(F.length(d) >= 6, F.concat_ws("/", part(1, 3), part(4, 3)))
+
+        return let(number, cut)
+
+    label = r"(?i)(?:RTRW|RTIRW|BURW|RT[I1]?RW)"
+    read = lambda x: digits(x, lx.RTRW_FUSED)
+
+    def slashed(x):
+        a, b = (read(F.regexp_extract(x, r"([0-9A-Za-z]{2,4})\s*/\s*([0-9A-Za-z]{2,4})", k)) for k in (1, 2))
+        known = (F.length(a) >= 2) & (F.length(b) >= 2) & within(a, b) & x.rlike("(?i)Kabupaten|Kota|BEKASI|JAKARTA")
+        return F.when(known, F.concat_ws("/", pad(a), pad(b)))
+
+    return first_of(
+        both(r"(?i)RT[/I\s.]*RW[.\s:]*(\d{2,3})[/\s\-](\d{2,3})"),
+        both(r"(?i)RT\.?(\d{2,3})/RW\.?(\d{2,3})"),
+        fused(digits(F.regexp_extract(text, label + r"\s*[:\-]?\s*([0-9A-Za-z]{4,10})\b", 1), lx.RTRW_DIGITS)),
+        fused(digits(F.regexp_extract(text, label + r"\s*\n\s*([0-9A-Za-z]{4,10})", 1), lx.RTRW_DIGITS)),
+        first_filled(F.transform(lines(text), slashed)),
+        first_filled(F.transform(lines(text), lambda x: fused(read(F.regexp_extract(x, r"(?i)([0-9A-Za-z]{6,8})\s+(?:Kabupaten|Kecamatan)", 1))))),
+    )
 
 
 def licence_number(text: Column) -> Column:
-    """``4-4-6`` digits: three parts with dashes in the first twelve filled lines, else fourteen digits in the first eight."""
+    """``4-4-6`` digits: three parts with dashes in the first twelve filled lines, else fourteen digits in the first eight, else
+    twelve or more behind the label in the first ten."""
     filled = F.filter(F.transform(lines(text), strip), lambda x: x != "")
     pattern = r"([0-9A-Za-z]{3,5})\s*[-–]\s*([0-9A-Za-z]{3,7})\s*[-–]?\s*([0-9A-Za-z]{3,8})"
 
@@ -209,5 +190,9 @@ def licence_number(text: Column) -> Column:
         d = digits(F.regexp_replace(x, r"\s+", ""), lx.SIM_DIGITS)
         return F.when((F.length(d) >= 14) & ~d.startswith("0"), F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 4), F.substring(d, 9, 6)))
 
+    def labelled(x):
+        d = digits(F.regexp_extract(x, r"[:\-]\s*(.*)$", 1), lx.SIM_DIGITS)
+        return F.when(x.rlike(r"(?iU)\bNo\.?\s*SIM\b") & (F.length(d) >= 12), F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 4), F.substring(d, 9, 6)))
+
     found = lambda n, f: first(F.filter(F.transform(F.slice(filled, 1, n), f), lambda x: x.isNotNull()))
-    return first_of(found(12, dashed), found(8, fused))
+    return first_of(found(12, dashed), found(8, fused), found(10, labelled))

@@ -135,3 +135,104 @@ EVALUATED_FIELDS = """
 nama nik tempat_lahir tanggal_lahir jenis_kelamin jenis_dokumen alamat nomor_kk nama_kepala
 desa_kelurahan kecamatan kabupaten_kota provinsi rtrw no_sim
 """.split()
+
+
+# Letters in fused RT/RW numbers; other letters go.
+RTRW_FUSED = ("OolLIiSsUuGgtT", "00111155000011")
+
+# Patterns of header fields on family cards, tried in order.
+HEADER_PATTERNS = {
+    "desa_kelurahan": (
+        r"Desa\s*/\s*Kelurahan\s*[:\-=.\s]\s*([A-Za-z][A-Za-z\s]{2,30}?)(?=\s+(?:Kec|Kab|Prov|No\b)|[\n$])",
+        r"Desa\s*/\s*Ke[lt]urahan\s*[:\-=1.]\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\s+(?:Kec|Kab|Prov)|\n|$)",
+        r"Dexa\s*/\s*Kelurahan\s*[:\-—.]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\s+(?:Kec|Kab)|\n|$)",
+        r"Desaf?kelurahan\s*[:\-—#.]?\s*([A-Za-z][A-Za-z]{2,20})",
+        r"(?:Gesal[A-Za-z]{3,12}|Desalk[A-Za-z]{2,10})\s*[.\s,]*\s+([A-Z][A-Za-z\s]{2,25}?)(?=\n|$|\s+(?:Kec|Kab))",
+        r"(?<![A-Za-z])DESA\s+([A-Z][A-Za-z]{2,20}(?:\s+[A-Z][A-Za-z]{2,20})?)(?=\n|$|\s+(?:Kec|Kab|Prov))",
+    ),
+    "kecamatan": (
+        r"Kecamatan\s*[:\-=.]?\s*([A-Za-z][A-Za-z\s]{2,30}?)(?=\s+(?:Kab|Kota|Prov)|[\n$])",
+        r"Kecamatan\s*[:\-=.]?\s*1?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\s+(?:Kab|Kota)|\n|$)",
+        r"Kecarnatan\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\s+(?:Kab|Kota)|\n|$)",
+        r"(?<![A-Za-z])Kec\b\.?\s*[:\-.]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\s+(?:Kab|Kota)|\n|$)",
+        r"(?<![A-Za-z])KEC\.?\s+([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$|\s+(?:Kab|Kota|Prov))",
+    ),
+    "kabupaten_kota": (
+        r"Kabupaten\s*/?\s*Kota\s*[:\-=.]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$|\s+Prov)",
+        r"Kabupaten\s*/?\s*Kota\s*:\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$|\s+Prov)",
+        r"Kabupaton\s*/?\s*Kota\s*([A-Za-z][A-Za-z\s]{2,20}?)(?=\n|$|\s+Prov)",
+        r"Kab\.?\s*/?\s*Kota\s*[:\-.]?\s*([A-Za-z][A-Za-z\s]{2,20}?)(?=\n|$|\s+Prov)",
+        r"Kabupaten\s*[:\-.]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$|\s+Prov)",
+        r"(?<![A-Za-z])KAB\.?\s+([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$|\s+(?:Prov|Kode))",
+    ),
+    "provinsi": (
+        r"[Pp]rovinsi\s*[:\-=.1]?\s*\d?([A-Za-z][A-Za-z\s]{2,30}?)(?=\s*(?:No\.?\s*\d|Jenis|Nama\s+Lengkap|$)|\n)",
+        r"Provins[il]\s*[:\-=.]?\s*\d?([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$)",
+        r"Prov\.\s*[:\-.]?\s*\d?([A-Za-z][A-Za-z\s]{2,25}?)(?=\n|$)",
+        r"(?:Ansi|Anis|Provins)\s*[.:\-]?\s*([A-Za-z][A-Za-z\s]{3,30}?)(?=\n|$)",
+    ),
+}
+# Words that are labels and never part of a header field.
+HEADER_STOP = "KECAMATAN KABUPATEN KOTA PROVINSI DESA KELURAHAN RT RW RTRW ALAMAT NO NOMOR JENIS GOLONGAN NAMA PEKERJAAN".split()
+
+# The number of a family card behind a label, on a line of its own, and without a label; lines that hold other numbers.
+FAMILY_NUMBER_LABELLED = r"(?:NOMOR\s+KK|No\.?\s*KK|N[o0]\.\s*KK)\s*[:\-]?\s*([0-9A-Za-z?][0-9A-Za-z?\s]{10,28})(?:\n|$|[^0-9A-Za-z?\s])"
+FAMILY_NUMBER_LINE = r"^N[o0u][a\.\-]?\s*[:\-]?\s*"
+FAMILY_NUMBER_VALUE = r"([?#*@!~\^$]{0,2}[0-9][0-9A-Za-z?\s]{11,26})$"
+FAMILY_NUMBER_FREE = r"(?<![A-Za-z0-9])[?#*]{0,2}[1-9][0-9A-Za-z?]{13,17}(?![A-Za-z0-9])"
+OTHER_NUMBER_LINE = r"\b(?:NIK|Nomor\s+Induk|Tempat|Lahir|Berlaku|Kecamatan|Kelurahan|Provinsi|Kabupaten|Golongan|Status|Pekerjaan|Kewarganegaraan)\b"
+
+# Readings of the label of a family's head, first and second word.
+HEAD_FIRST = """
+Kepala Kopala Kopata Kodata Kopaia Kofata Kapala Kapata Kopat
+Nara\\s+Kapala SEK\\s+Namis Kopsia Kofuarya Kopat
+""".split()
+HEAD_SECOND = """
+Keluarga Kotarga Kofuarga Kovarya Kovarga Kelinrgai Kekiarya
+Kotinga Ketiarga Kelirga Kolatoa Koturga Koluarga Kaliarga
+Kotlarga Kairon Karol Kainon Karya Kairga Kolarga
+""".split()
+# Misread labels that stand on a line above the name.
+HEAD_NOISE = """
+Kopata Kodata Kopaia Kofata Kapala Kopala Kapata Kopsia
+Koturga Kotinga Kelunga Kotarga Kofuarga Kovarya Kovarga
+Kelinrgai Kekiarya Koluarga Kaliarga Kotlarga Kolatoa Ketiarga
+Kelirga Nara\\s+Kapala SEK\\s+Namis Direnfaturaban
+""".split()
+# Words that a head's name never has: labels, places and misread labels.
+HEAD_SKIP = """
+desa desm kelurahan kecamatan kabupaten kota
+desafkelurahan desmkolurehan no nomor
+desnfaturahan desn padanaan padanman
+""".split()
+HEAD_PLACES = """
+mekarwangi cikarang barat timur bekasi jakarta bandung
+kelurahan kecamatan kabupaten provinsi jawa keluarga
+kartu desa no nomor rt rw surabaya medan
+tangerang depok bogor karawang
+kopata kodata kopaia kofata kapala kopala kapata
+kopsia koturga kotinga kelunga kotarga kofuarga
+kovarya kovarga kelinrgai kekiarya koluarga kaliarga
+kotlarga kolatoa ketiarga kelirga kopat kairon
+direnfaturaban desafkelurahan desmkolurehan
+kecam kelur kabup provin miahan sioaraua sidarua
+sidaraia buana karol kainon padanaan padanman
+sumedang paseh
+gesalkarang gesalkeuran gesalkeluran desalkeluran
+gesalk desalk keuran keluran
+maju sejahtera bangun makmur mandiri sentosa
+""".split()
+# Words in capitals that a line with a head's name has not, and more of them below a misread label.
+HEAD_CAPITALS = """
+KELUARGA KARTU ARTU PROVINSI JAWA BARAT
+TIMUR SELATAN UTARA TENGAH PEMERINTAH REPUBLIK
+INDONESIA DIRENFATURABAN DESAFKELURAHAN DESMKOLUREHAN
+KOPATA KODATA KOPAIA KOFATA KAPALA KOPALA KAPATA
+KOPSIA KOTURGA KOTINGA KELUNGA KOTARGA KOLATOA
+""".split()
+HEAD_BELOW = """
+DUSUN DSN DSUN JALAN GANG BLOK PERUM KOMP KOMPLEK
+GRIYA PERUMAHAN KAVLING KAV KAMPUNG KP SIOARAUA
+KOFUARGA KOVARYA KOVARGA KELINRGAI KEKIARYA KOLUARGA KALIARGA
+KOTLARGA KETIARGA KELIRGA MAAN
+""".split()

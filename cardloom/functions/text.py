@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +30,31 @@ def first(values: Column) -> Column:
     return F.coalesce(F.get(values, 0), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def first_filled(values: Column) -> Column:
+    """First element that is neither null nor empty, or the empty string."""
+    return first(F.filter(values, lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def most_frequent(values: Column) -> Column:
+    """The non-empty value that occurs most often, of equal ones the one that comes first; else the empty string."""
+
+    def pick(own):
+        times = F.transform(own, lambda x: F.size(F.filter(own, lambda y: y == x)))
+        return let(times, lambda n: first(F.slice(own, F.greatest(F.array_position(n, F.array_max(n)), F.lit(1)).cast("int"), F.lit(1))))
+
+    return F.coalesce(let(F.filter(values, lambda x: F.coalesce(x, F.lit("")) != ""), pick), F.lit(""))
+
+
+def with_next(rows: Column) -> Column:
+    """Each line ``x`` with the one behind it, ``y``; the last has none."""
+    return let(rows, lambda r: F.zip_with(r, F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda x, y: F.struct(x.alias("x"), F.coalesce(y, F.lit("")).alias("y"))))
+
+
 def first_of(*candidates: Column) -> Column:
     """First candidate that is neither null nor empty, else the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit(""))
@@ -40,7 +66,8 @@ def digits(x: Column, table: tuple[str, str] | None = None) -> Column:
 
 
 def literal_array(values) -> Column:
-    return F.array(*map(F.lit, values))
+    """Array of words without blanks; one literal, so that plans stay short."""
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def clean_text(x: Column) -> Column:

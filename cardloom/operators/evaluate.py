@@ -40,6 +40,12 @@ def batch_stats(records: DataFrame) -> DataFrame:
     )
 
 
+def progress(records: DataFrame) -> DataFrame:
+    """One row: done, previewed and failed records of a batch; a dry run's record is previewed only."""
+    dry = F.contains("status", F.lit("DRY-RUN"))
+    return records.agg(F.count_if(~dry & F.expr(VALID)).alias("valid"), F.count_if(dry).alias("dry_run"), F.count_if(~dry & F.expr("contains(status, 'ERROR')")).alias("error"))
+
+
 def by_type(records: DataFrame) -> DataFrame:
     """``jenis_dokumen, n, n_valid, avg_completeness`` (of valid records)."""
     valid = F.expr(VALID)

@@ -89,26 +89,76 @@ def plan_paths(records: DataFrame, file_template: str = "{jenis}_{nama}", folder
     return out.withColumn("file", F.when(ok, name).otherwise(F.col("nama_file_asli"))).withColumn("action", F.when(ok, "archive").otherwise("error"))
 
 
-def suffix_duplicates(plan: DataFrame, order: str, folder: str = "folder", file: str = "file") -> DataFrame:
-    """``plan`` with ``path``: rows that share one get ``_1``, ``_2`` … before the extension, by ``order``; a suffixed extension is lower case."""
-    n = F.row_number().over(Window.partitionBy(folder, file).orderBy(order)) - 1
+def suffix_duplicates(plan: DataFrame, order: str, folder: str = "folder", file: str = "file", existing: DataFrame | None = None) -> DataFrame:
+    """``plan`` with ``path``: rows that share one, or meet a file of ``existing`` (``folder, file``), get the smallest free ``_1``, ``_2`` …
+    before the extension, by ``order``; a suffixed extension is lower case.
+
+    A number is taken if a file or another row of the plan has that name already, so the paths of a plan are all different and new.
+    """
     ext = extension(F.col(file))
     stem = F.substring(F.col(file), F.lit(1), F.length(file) - F.length(ext))
-    name = F.when(n == 0, F.col(file)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), F.lower(ext)))
-    return plan.withColumn("path", F.concat_ws("/", folder, name))
-
-
-def apply_plan(plan: DataFrame, root: str) -> None:
-    """Move ``path_asal`` to ``root/path`` for each row.  A move that an earlier attempt has made is not made again."""
-
-    def move(rows):
+    rows = plan.withColumn("__stem", stem).withColumn("__ext", F.lower(ext))
+    place = F.row_number().over(Window.partitionBy(folder, file).orderBy(order))
+    there = plan.select(F.col(folder).alias("folder"), F.col(file).alias("file")).limit(0) if existing is None else existing.select("folder", "file")
+    names = plan.select(F.col(folder).alias("folder"), F.col(file).alias("file")).distinct()
+    # the first of a name has it, unless a file has it
+    blocked = there.distinct().select(F.col("folder").alias("__folder"), F.col("file").alias("__file"), F.lit(True).alias("__there"))
+    rows = rows.withColumn("__place", place).join(blocked, (F.col(folder) == F.col("__folder")) & (F.col(file) == F.col("__file")), "left").drop("__folder", "__file")
+    rows = rows.withColumn("__late", (F.col("__place") > 1) | F.col("__there").isNotNull())
+    # numbers that are taken: names that end in one, among files and the plan's own
+    numbered = there.unionByName(names).distinct().select("folder", F.regexp_extract("file", r"^(.*)_([1-9]\d{0,8})(\.[^./]+)?$", 1).alias("stem"), F.regexp_extract("file", r"_([1-9]\d{0,8})(\.[^./]+)?$", 1).try_cast("long").alias("n"), extension(F.col("file")).alias("ext"))
+    taken = numbered.where((F.col("n") > 0) & (F.col("ext") == F.lower("ext"))).distinct()
+    # the k-th late row takes the k-th free number: k and as many taken ones as have k or fewer free ones before them
+    group = ["__group", "__key"]
+    key = F.struct(F.col("folder"), F.col("stem"), F.col("ext"))
+    before = F.row_number().over(Window.partitionBy("folder", "stem", "ext").orderBy("n"))
+    events = taken.withColumn("__key", F.col("n") - before).select(F.to_json(key).alias("__group"), "__key", F.lit(1).alias("__taken"))
+    own = F.struct(F.col(folder).alias("folder"), F.col("__stem").alias("stem"), F.col("__ext").alias("ext"))
+    late = rows.where("__late").withColumn("__group", F.to_json(own))
+    late = late.withColumn("__key", F.row_number().over(Window.partitionBy("__group").orderBy(order, file)) - 1).withColumn("__taken", F.lit(0))
+    line = Window.partitionBy("__group").orderBy("__key", F.desc("__taken")).rowsBetween(Window.unboundedPreceding, 0)
+    every = late.unionByName(events, allowMissingColumns=True).withColumn("__n", F.col("__key") + 1 + F.sum("__taken").over(line))
+    late = every.where("__taken = 0").withColumn("__name", F.concat("__stem", F.lit("_"), F.col("__n").cast("string"), "__ext")).drop("__n", "__taken", *group)
+    both = rows.where("NOT __late").withColumn("__name", F.col(file)).unionByName(late)
+    return both.withColumn("path", F.concat_ws("/", folder, "__name")).select(*plan.columns, "path")
+
+
+def existing_files(spark, root: str) -> DataFrame:
+    """``folder, file`` of all files below ``root``, relative to it; no contents are read."""
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    below = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), root.rstrip("/").split(":")[-1].lstrip("/") + "/", -1)
+    return own.select(F.regexp_extract(below, r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), F.regexp_extract(below, r"([^/]*)$", 1).alias("file"))
+
+
+def apply_plan(plan: DataFrame, root: str, report: str) -> DataFrame:
+    """Move ``path_asal`` to ``root/path`` for each row; ``path_asal, path, outcome`` of all rows are written to ``report`` and returned.
+
+    ``outcome`` is ``moved``, ``already moved`` (the source is gone and the target there, as after an earlier attempt), ``target exists``
+    or ``no source``; a copy is finished under another name before it takes its own.  ``root`` must be a folder that all executors see.
+    """
+
+    def move(batches):
         import os
         import shutil
 
-        for r in rows:
-            target = os.path.join(root, r.path)
-            if os.path.exists(r.path_asal) and not os.path.exists(target):
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                shutil.move(r.path_asal, target)
-
-    plan.select("path_asal", "path").foreachPartition(move)
+        import pandas as pd
+
+        def one(source, path):
+            target = os.path.join(root, path)
+            if not os.path.exists(source):
+                return "already moved" if os.path.exists(target) else "no source"
+            if os.path.exists(target):
+                return "target exists"
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            part = f"{target}.part-{os.getpid()}"
+            shutil.copy2(source, part)
+            os.rename(part, target)
+            os.remove(source)
+            return "moved"
+
+        for batch in batches:
+            yield pd.DataFrame({"path_asal": batch["path_asal"], "path": batch["path"], "outcome": [one(s, p) for s, p in zip(batch["path_asal"], batch["path"], strict=True)]})
+
+    columns = "path_asal string, path string, outcome string"
+    plan.select("path_asal", "path").mapInPandas(move, columns).write.mode("overwrite").json(report)  # once: reading the outcomes moves nothing
+    return plan.sparkSession.read.schema(columns).json(report)

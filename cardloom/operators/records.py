@@ -11,18 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import addresses as ax
+from cardloom.functions import family
 from cardloom.functions import fields as fx
+from cardloom.functions import lexicon as lx
 from cardloom.functions import names as nx
-from cardloom.functions.text import clean_text, first_of, quality_score, strip
+from cardloom.functions.text import clean_name, clean_text, first_of, quality_score, strip
 from cardloom.operators import evaluate, vote
 
 #: Fields that are settled by a plain vote, and how each is read: on family cards, and on others.
 FAMILY = {
-    "nomor_kk": fx.family_number,
-    "nama_kepala": fx.family_head,
+    "nomor_kk": family.family_number,
+    "nama_kepala": family.family_head,
     "rtrw": fx.rt_rw,
     "alamat_kk": ax.family_address,
-    **{f: (lambda text, f=f: fx.header_field(text, f)) for f in fx.HEADER_PATTERNS},
+    **{f: (lambda text, f=f: fx.header_field(text, f)) for f in lx.HEADER_PATTERNS},
 }
 OTHERS = {"nik": fx.nik, "tempat_lahir": fx.birth_place, "tanggal_lahir": fx.birth_date}
 FAMILY_ONLY = ("nomor_kk", "nama_kepala", "desa_kelurahan", "kecamatan", "kabupaten_kota", "provinsi", "rtrw")
@@ -108,6 +110,24 @@ def build_records(texts: DataFrame) -> DataFrame:
     return evaluate.completeness(out.withColumn("status", F.when(ok, "VALID").otherwise("ERROR")))
 
 
+def confidence_scores(texts: DataFrame) -> DataFrame:
+    """``doc_id, confidence_scores, mean_confidence`` from cleaned variants (``doc_id, text``): for each of six fields the share in percent of
+    a document's variants that agree on its most frequent value, and their mean."""
+    text = F.col("text")
+    name = clean_name(F.translate(first_of(fx.name_from_label(text), nx.name_after_number(text)), "_", " "))
+    kind = F.when(strip(text) == "", "unknown").otherwise(fx.classify(text))
+    read = {"nama": name, "nik": fx.nik(text), "tempat_lahir": fx.birth_place(text), "tanggal_lahir": fx.birth_date(text), "jenis_kelamin": fx.gender(text), "jenis_dokumen": kind}
+    shares = vote.confidence(texts.select("doc_id", *[c.alias(f) for f, c in read.items()]), "doc_id", list(read))
+    pairs = F.sort_array(F.collect_list(F.struct("field", "confidence")))  # six for each document
+    return shares.groupBy("doc_id").agg(F.map_from_entries(pairs).alias("confidence_scores"), F.bround(F.avg("confidence"), 1).alias("mean_confidence"))
+
+
+def build_with_confidence(texts: DataFrame) -> DataFrame:
+    """:func:`build_records` with the confidence of the fields."""
+    cleaned = texts.select("doc_id", clean_text(F.coalesce("text", F.lit(""))).alias("text"))
+    return build_records(texts).join(confidence_scores(cleaned), "doc_id", "left")
+
+
 def fallback_texts(texts: DataFrame, more: DataFrame, least: int = 50) -> DataFrame:
     """``texts`` and, for documents whose best score is below ``least``, the rows of ``more`` as well; duplicates stay."""
     low = score_variants(texts).groupBy("doc_id").agg(F.max("score").alias("best")).where(F.col("best") < least)

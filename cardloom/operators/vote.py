@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.functions.text import strip
+
 
 def vote(rows: DataFrame, key: str, value: str, order: str, ties: list[Column] | None = None) -> DataFrame:
     """``key, value, n_votes``: the most frequent non-empty value, then the largest of ``ties``, then the one that came first.
@@ -42,16 +44,10 @@ def rank_variants(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*map(F.desc, order))))
 
 
-def with_best_first(rows: DataFrame, best: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """Candidates for votes: the best text once more in front of all, so that it counts twice."""
-    front = best.select(key, F.col(text), F.lit(-1).cast("long").alias(order))
-    return front.unionAll(rows.select(key, text, F.col(order).cast("long")))
-
-
 def confidence(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``key, field, confidence``: share in percent of a key's variants that agree on the most frequent value of a field."""
     total = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    long = rows.unpivot([key], fields, "field", "value").withColumn("value", F.trim(F.lower("value")))
+    long = rows.unpivot([key], fields, "field", "value").withColumn("value", strip(F.lower("value")))
     top = long.where("value <> ''").groupBy(key, "field", "value").count().groupBy(key, "field").agg(F.max("count").alias("top"))
     every = total.select(key, "total", F.explode(F.array(*map(F.lit, fields))).alias("field"))
     share = F.bround(F.coalesce("top", F.lit(0)) / F.col("total") * 100, 1)

@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 CARDS = """
 SELECT doc_id, CAST(variant AS BIGINT) AS variant, truth, CASE truth
-  WHEN 'ktp' THEN 'PROVINSI JAWA BARAT' || chr(10) || 'KABUPATEN ' || upper(city) || chr(10) || 'NIK : ' || n || chr(10) || 'Nama : ' || nm || chr(10)
+  WHEN 'ktp' THEN CASE WHEN doc_id % 3 = 0 THEN 'PROVINSI JAWA BARAT' || chr(10) || 'NIK : ' || n || chr(10) || nm || chr(10) || 'SH' || upper(city) || '. ' || replace(born, '-', '.') || chr(10) || 'Jenis Kelamin : ' || jk || chr(10)
+      || 'Alamat "Jl.Merdeka No ' || CAST(doc_id % 90 AS STRING) || chr(10) || chr(10) || 'BLOK A' || chr(10) || 'GANG DUA' || chr(10) || 'KECAMATAN X' || chr(10) || 'Berlaku Hingga'
+    WHEN doc_id % 3 = 1 THEN 'PROVINSI JAWA BARAT' || chr(10) || 'NIK : ' || n || chr(10) || 'NAMA ' || nm || chr(10) || upper(city) || '-' || substr(born, 1, 5) || chr(10) || 'x' || chr(10) || substr(born, 7, 4) || chr(10) || 'MAMAT : JL A' || chr(10) || 'RT 1' || chr(10) || 'Alamat : JL B'
+    ELSE 'PROVINSI JAWA BARAT' || chr(10) || 'KABUPATEN ' || upper(city) || chr(10) || 'NIK : ' || n || chr(10) || 'Nama : ' || nm || chr(10)
     || 'Tempat/Tgl Lahir : ' || upper(city) || ', ' || born || chr(10) || 'Jenis Kelamin : ' || jk || chr(10)
-    || 'Alamat : JL. MERDEKA NO. ' || CAST(doc_id % 90 AS STRING) || chr(10) || 'RT/RW 001/002' || chr(10) || 'Kecamatan : CIKARANG BARAT' || chr(10) || 'Berlaku Hingga : SEUMUR HIDUP'
-  WHEN 'kk' THEN 'KARTU KELUARGA' || chr(10) || 'No KK : ' || n || chr(10) || 'Nama Kepala Keluarga : ' || nm || chr(10) || 'RTRW : 04' || CAST(doc_id % 9 + 1 AS STRING) || '1011' || chr(10)
-    || 'Desa/Kelurahan : KEROBOKAN KAJA' || chr(10) || 'Kecamatan : KUTA UTARA' || chr(10) || 'Kabupaten/Kota : ' || upper(city) || chr(10) || 'Provinsi : BALI' || chr(10) || 'Dinas Kependudukan Dan Pencatatan Sipil'
-  WHEN 'sim' THEN 'SURAT IZIN MENGEMUDI' || chr(10) || 'POLRI' || chr(10) || substr(n, 1, 4) || '-' || substr(n, 5, 4) || '-' || substr(n, 9, 6) || chr(10) || 'Nama : ' || nm || chr(10)
+    || 'Alamat : JL. MERDEKA NO. ' || CAST(doc_id % 90 AS STRING) || chr(10) || 'RT/RW 001/002' || chr(10) || 'Kecamatan : CIKARANG BARAT' || chr(10) || 'Berlaku Hingga : SEUMUR HIDUP' END
+  WHEN 'kk' THEN CASE doc_id % 16 WHEN 4 THEN 'KARTU KELUARGA' || chr(10) || 'No.' || chr(10) || n || chr(10) || 'Kopata Kotinga' || chr(10) || nm || chr(10) || 'DESA KEROBOKAN' || chr(10) || 'KEC KUTA UTARA' || chr(10)
+      || 'KAB. ' || upper(city) || chr(10) || 'Provinsl : BALI' || chr(10) || '0' || CAST(doc_id % 9 + 1 AS STRING) || '1/0O2 Kabupaten' || chr(10) || 'Dinas Kependudukan Dan Pencatatan Sipil'
+    WHEN 8 THEN 'KARTU KELUARGA' || chr(10) || n || chr(10) || 'Dexa/Kelurahan : KEROBOKAN' || chr(10) || 'Kec. KUTA' || chr(10) || 'Kabupaton/Kota ' || upper(city) || chr(10) || 'Ansi : JAWA BARAT' || chr(10)
+      || '00SI0U1 Kecamatan' || chr(10) || '1. ' || upper(nm) || ' 3216082501030001 L BEKASI ISLAM KEPALA KELUARGA'
+    WHEN 12 THEN 'KARTU KELUARGA' || chr(10) || 'No.' || n || chr(10) || upper(nm) || ' Desa X' || chr(10) || 'RT.045/RW.01' || CAST(doc_id % 9 AS STRING) || chr(10) || 'Gesalkeuran KEROBOKAN KAJA' || chr(10) || 'Kecarnatan KUTA' || chr(10)
+      || 'Kab/Kota : ' || upper(city) || chr(10) || 'Prov. 3BALI' || chr(10) || 'Status Hubungan Dalam Keluarga'
+    ELSE 'KARTU KELUARGA' || chr(10) || 'No KK : ' || n || chr(10) || 'Nama Kepala Keluarga : ' || nm || chr(10) || 'RTRW : 04' || CAST(doc_id % 9 + 1 AS STRING) || '1011' || chr(10)
+    || 'Desa/Kelurahan : KEROBOKAN KAJA' || chr(10) || 'Kecamatan : KUTA UTARA' || chr(10) || 'Kabupaten/Kota : ' || upper(city) || chr(10) || 'Provinsi : BALI' || chr(10) || 'Dinas Kependudukan Dan Pencatatan Sipil' END
+  WHEN 'sim' THEN 'SURAT IZIN MENGEMUDI' || chr(10) || 'POLRI' || chr(10) || CASE doc_id % 3 WHEN 0 THEN substr(n, 1, 14) WHEN 1 THEN 'No. SIM : ' || substr(n, 1, 12) ELSE substr(n, 1, 4) || '-' || substr(n, 5, 4) || '-' || substr(n, 9, 6) END || chr(10) || 'Nama : ' || nm || chr(10)
     || 'Tempat/Tgl Lahir : S' || upper(city) || ', ' || born || chr(10) || 'Jenis Kelamin : ' || jk || chr(10) || 'Golongan : B1'
   ELSE 'SURAT KETERANGAN' || chr(10) || 'Dokumen tidak dikenal oleh sistem.' END AS text
 FROM (
@@ -24,7 +33,7 @@ FROM (
     CASE doc_id % 4 WHEN 0 THEN 'kk' WHEN 1 THEN 'ktp' WHEN 2 THEN 'sim' ELSE 'unknown' END AS truth
   FROM (
     SELECT c_custkey AS doc_id, {variants} AS variant, '3216' || lpad(CAST((c_custkey * 7919) % 999999999999 AS STRING), 12, '0') AS number,
-      CASE c_custkey % 7 WHEN 0 THEN 'Budi Santoso' WHEN 1 THEN 'Sri Rejeki' WHEN 2 THEN 'Dipca Anugrah' WHEN 3 THEN 'Rina' WHEN 4 THEN 'Agus Salim Wijaya' WHEN 5 THEN 'Dewi Lestari' ELSE 'Hendra Gunawan' END AS name,
+      CASE c_custkey % 7 WHEN 0 THEN 'Budi Santoso' WHEN 1 THEN 'Sri Rejeki' WHEN 2 THEN 'Tirta Wibawa' WHEN 3 THEN 'Rina' WHEN 4 THEN 'Agus Salim Wijaya' WHEN 5 THEN 'Dewi Lestari' ELSE 'Hendra Gunawan' END AS name,
       CASE c_custkey % 5 WHEN 0 THEN 'Bekasi' WHEN 1 THEN 'Jakarta' WHEN 2 THEN 'Denpasar' WHEN 3 THEN 'Solo' ELSE 'Nowhere' END AS city,
       lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') || '-' || lpad(CAST(c_custkey % 12 + 1 AS STRING), 2, '0') || '-' || CAST(1950 + c_custkey % 50 AS STRING) AS born,
       CASE WHEN c_custkey % 2 = 0 THEN 'LAKI-LAKI' ELSE 'PEREMPUAN' END AS jk
@@ -55,7 +64,7 @@ SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'none_' || CAST(o_orderkey AS STRING) E
   CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE 'Budisantoso' END AS nama, '3216' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS nik, CASE WHEN o_orderkey % 4 = 0 THEN 'Jakarta' ELSE 'BEKASI' END AS tempat_lahir,
   '25/01/2003' AS tanggal_lahir, 'laki-laki' AS jenis_kelamin, CASE o_orderkey % 4 WHEN 0 THEN 'kk' WHEN 1 THEN 'ktp' WHEN 2 THEN 'sim' ELSE 'unknown' END AS jenis_dokumen, '' AS alamat,
   '' AS nomor_kk, 'Sri  Rejeki' AS nama_kepala, 'Kerobokan Kaja' AS desa_kelurahan, 'KUTA UTARA' AS kecamatan, '' AS kabupaten_kota, 'Bali' AS provinsi, '045-011' AS rtrw, '' AS no_sim
-FROM orders WHERE o_orderkey % 3 = 0
+FROM orders
 """
 
 #: Paths of files below an input folder.
@@ -72,13 +81,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str, source: str = "customer") -> DataFrame:
-    return spark.sql(sql.replace("{variants}", SPARK_VARIANTS).replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: table(spark, sf_dir, source)})
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, source: str = "customer", spread: bool = False) -> DataFrame:
+    """The SQL over one table; a small table whose rows cost much work is spread over all cores first."""
+    rows = table(spark, sf_dir, source)
+    if spread:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(sql.replace("{variants}", SPARK_VARIANTS).replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: rows})
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, variant, truth, text``."""
-    return run_sql(spark, sf_dir, CARDS)
+    return run_sql(spark, sf_dir, CARDS, spread=True)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

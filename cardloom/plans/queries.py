@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import addresses as ax
+from cardloom.functions import family
 from cardloom.functions import fields as fx
 from cardloom.functions import lexicon as lx
 from cardloom.functions import names as nx
@@ -68,8 +69,9 @@ NIK_GAPS = digits_sql(r"regexp_extract(text, '(\d[\d\-\s]{13,19}\d)', 1)")
 NIK_SQL = f"CASE WHEN length({NIK_LABEL}) >= 15 THEN left({NIK_LABEL}, 16) WHEN {NIK_FUSED} IS NOT NULL THEN left({NIK_FUSED}, 16) WHEN length({NIK_GAPS}) >= 15 AND regexp_matches({NIK_GAPS}, '^[1-9][0-9]') THEN left({NIK_GAPS}, 16) ELSE '' END"
 LABEL_LINES = f"list_filter({lines_sql()}, lambda x: regexp_matches(upper(x), '{fx.BIRTH_LABEL}'))"
 DATE_SQL = rf"coalesce(nullif(list_filter(list_transform({LABEL_LINES}, lambda x: regexp_extract(x, '(\d{{1,2}}[-/\s]\d{{1,2}}[-/\s]\d{{4}})', 1)), lambda d: d <> '')[1], ''), nullif(regexp_extract(text, '\b(\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{4}})\b', 1), ''), '')"
+_FILLED = f"list_filter({lines_sql()}, lambda x: {strip_sql('x')} <> '')"
+_DAY = r"[,\.\-:]\s*(\d{1,2})[-/\.](\d{2})\s*$"
 GENDER_SQL = r"CASE WHEN regexp_matches(upper(text), 'LAKI\s*[-]\s*LAKI|LAKI\s+LAKI|\bLELAKI\b|\bPRIA\b') THEN 'LAKI-LAKI' WHEN regexp_matches(upper(text), 'PEREMPUAN|\bWANITA\b') THEN 'PEREMPUAN' ELSE '' END"
-NAME_LINE = rf"coalesce(list_filter({lines_sql()}, lambda x: regexp_matches(upper(x), '\bNA\s*MA?\b') AND NOT regexp_matches(upper(x), 'KEPALA\s+KELUARGA'))[1], '')"
 
 
 def clean_name_sql(x: str) -> str:
@@ -187,17 +189,55 @@ def nik_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.nik(F.col("text")).alias("nik"))
 
 
-@query(f"{CARDS} SELECT doc_id, variant, {DATE_SQL} AS tanggal_lahir, {GENDER_SQL} AS jenis_kelamin FROM cards")
+@query(rf"""{CARDS}, f AS (SELECT doc_id, variant, {_FILLED} AS rows FROM cards),
+half AS (SELECT doc_id, variant, arg_min(lpad(regexp_extract(x, '{_DAY}', 1), 2, '0') || '-' || regexp_extract(x, '{_DAY}', 2) || '-' || year, i) AS d FROM
+  (SELECT *, coalesce(list_filter(list_transform(rows[i + 1:i + 3], lambda y: regexp_extract(y, '\b((?:19|20)\d{{2}})\b', 1)), lambda y: y <> '')[1], '') AS year FROM (SELECT doc_id, variant, rows, unnest(rows) AS x, generate_subscripts(rows, 1) AS i FROM f))
+  WHERE regexp_matches(x, '{_DAY}') AND year <> '' GROUP BY ALL)
+SELECT doc_id, variant, coalesce(nullif({DATE_SQL}, ''), d, '') AS tanggal_lahir, {GENDER_SQL} AS jenis_kelamin FROM cards LEFT JOIN half USING (doc_id, variant)""")
 def date_and_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.birth_date(F.col("text")).alias("tanggal_lahir"), fx.gender(F.col("text")).alias("jenis_kelamin"))
 
 
-@query()
+def city_sql(x: str) -> str:
+    """Upper-case city of the list that ``x`` stands for."""
+    low, cities = f"lower({strip_sql(x)})", words_list(lx.CITIES)
+    ends = ", ".join(f"CASE WHEN length({low}) >= {n} THEN list_filter({cities}, lambda k: ends_with(k, right({low}, {n})))[1] END" for n in range(4, 8))
+    return f"upper(CASE WHEN {low} = '' THEN {x} ELSE coalesce(CASE WHEN list_contains({cities}, {low}) THEN {low} END, list_filter({cities}, lambda k: contains({low}, k))[1], {ends}, {x}) END)"
+
+
+def title_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+
+
+def last_word_sql(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '\s+'), lambda w: length(w) >= 2)[-1]"
+
+
+_PLACE = strip_sql(r"regexp_replace(regexp_extract(x, ':\s*([^,\-]*)', 1), '[^A-Za-z\s]', '', 'g')")
+_PLACES = f"list_filter(list_transform({LABEL_LINES}, lambda x: {_PLACE}), lambda p: length(p) > 2)[1]"
+_BEFORE = r"regexp_extract(text, '([A-Za-z][A-Za-z\s]{0,25})[,\.\-:]+\s*\d{1,2}[-/\.]\d{2}[-/\.]\d{4}', 1)"
+_PARTED = r"([A-Za-z][A-Za-z\s]{0,20})[,\.\-:]+\s*\d{1,2}[-/\.]\d{2}\s*$"
+_BESIDE = strip_sql(r"""regexp_extract(x, '(?i)\b(?:ALAMAT|MAMAT)\b\s*[:"''*#@]?\s*(.+)', 1)""")
+
+
+@query(rf"""{CARDS}, f AS (SELECT doc_id, variant, text, {_FILLED} AS rows FROM cards),
+half AS (SELECT doc_id, variant, arg_min(regexp_extract(x, '{_PARTED}', 1), i) AS p FROM (SELECT doc_id, variant, rows, unnest(rows) AS x, generate_subscripts(rows, 1) AS i FROM f)
+  WHERE regexp_matches(x, '{_PARTED}') AND len(list_filter(rows[i + 1:i + 3], lambda y: regexp_matches(y, '\b(?:19|20)\d{{2}}\b'))) > 0 GROUP BY ALL),
+place AS (SELECT doc_id, variant, coalesce({_PLACES}, {last_word_sql(_BEFORE)}, {last_word_sql("p")}, '') AS raw FROM f LEFT JOIN half USING (doc_id, variant)),
+l AS (SELECT doc_id, variant, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM cards),
+m AS (SELECT *, regexp_matches(upper(x), '\b(?:ALAMAT|MAMAT)\b') AS label, regexp_matches(upper(x), '{fx.ADDRESS_STOP}') AS stop FROM l),
+t AS (SELECT *, max(label::INT) OVER w AS begun, CASE WHEN label THEN {_BESIDE} ELSE {strip_sql('x')} END AS part FROM m WINDOW w AS (PARTITION BY doc_id, variant ORDER BY i)),
+n AS (SELECT *, sum((part <> '' AND begun = 1)::INT) OVER (PARTITION BY doc_id, variant ORDER BY i) AS taken FROM t),
+e AS (SELECT *, coalesce(max((begun = 1 AND NOT label AND (stop OR taken >= 3))::INT) OVER (PARTITION BY doc_id, variant ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM n),
+a AS (SELECT doc_id, variant, left(regexp_replace(string_agg(part, ' ' ORDER BY i), '\s+', ' ', 'g'), 200) AS alamat FROM e WHERE begun = 1 AND ended = 0 AND (label OR NOT stop) AND part <> '' GROUP BY ALL)
+SELECT doc_id, variant, CASE WHEN raw = '' THEN '' ELSE {title_sql(city_sql('raw'))} END AS tempat_lahir, coalesce(alamat, '') AS alamat FROM place LEFT JOIN a USING (doc_id, variant)""")
 def place_and_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.birth_place(F.col("text")).alias("tempat_lahir"), fx.address(F.col("text")).alias("alamat"))
 
 
-_NAME_SQL = clean_name_sql(f"CASE WHEN contains({NAME_LINE}, ':') THEN regexp_extract({NAME_LINE}, ':(.*)', 1) ELSE regexp_extract({NAME_LINE}, '(?i)NA\\s*MA?\\s+([A-Za-z ]{{3,}})', 1) END")
+_NAME_LINES = rf"list_filter({lines_sql()}, lambda x: regexp_matches(upper(x), '\bNA\s*MA?\b') AND NOT regexp_matches(upper(x), 'KEPALA\s+KELUARGA'))"
+_NAME_WAYS = f"flatten(list_transform({_NAME_LINES}, lambda x: [regexp_extract(x, ':(.*)', 1), regexp_extract(x, '(?i)NA\\s*MA?\\s+([A-Za-z ]{{3,}})', 1)]))"
+_NAME_SQL = f"coalesce(list_filter(list_transform({_NAME_WAYS}, lambda r: {clean_name_sql('r')}), lambda r: r <> '')[1], '')"
 
 
 @query(f"{CARDS} SELECT doc_id, variant, {_NAME_SQL} AS nama FROM cards")
@@ -205,33 +245,103 @@ def name_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.name_from_label(F.col("text")).alias("nama"))
 
 
+def re2(pattern: str) -> str:
+    """A pattern with looks at neighbours for an engine that has none: the neighbours are consumed, which no captured value notices."""
+    return pattern.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])").replace("(?=", "(?:")
+
+
 def _header_sql(field: str) -> str:
     def value(p):
-        found = rf"regexp_replace({strip_sql(f'''regexp_extract(text, '(?im){p}', 1)''')}, '\s*[:\-#\d\.]\s*$', '')"
-        kept = f"array_to_string(list_filter(string_split_regex({found}, '\\s+'), lambda w: w <> '' AND NOT list_contains({words_list(fx.HEADER_STOP)}, upper(w))), ' ')"
+        own = f"regexp_extract(text, '(?im){re2(p)}', 1)"
+        found = rf"regexp_replace({strip_sql(own)}, '\s*[:\-—#\d\.]\s*$', '')"
+        kept = f"array_to_string(list_filter(string_split_regex({found}, '\\s+'), lambda w: w <> '' AND NOT list_contains({words_list(lx.HEADER_STOP)}, upper(w))), ' ')"
         return f"CASE WHEN length({kept}) >= 3 THEN upper({kept}) END"
 
-    return f"coalesce({', '.join(map(value, fx.HEADER_PATTERNS[field]))}, '') AS {field}"
+    return f"coalesce({', '.join(map(value, lx.HEADER_PATTERNS[field]))}, '') AS {field}"
 
 
-@query(f"{CARDS} SELECT doc_id, variant, {', '.join(map(_header_sql, fx.HEADER_PATTERNS))} FROM cards")
+@query(f"{CARDS} SELECT doc_id, variant, {', '.join(map(_header_sql, lx.HEADER_PATTERNS))} FROM cards")
 def kk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.cards(spark, sf_dir).select("doc_id", "variant", *[fx.header_field(F.col("text"), f).alias(f) for f in fx.HEADER_PATTERNS])
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", *[fx.header_field(F.col("text"), f).alias(f) for f in lx.HEADER_PATTERNS])
+
 
+# all lines of cards as rows: x at place i, stripped, y the line behind
+EVERY_LINE = f"""{CARDS}, l AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY doc_id, variant ORDER BY i), '') AS y FROM (SELECT doc_id, variant, {strip_sql('x')} AS x, i FROM (SELECT doc_id, variant, unnest({lines_sql()}) AS x, generate_subscripts({lines_sql()}, 1) AS i FROM cards)))"""
 
-_KK = digits_sql("regexp_replace(regexp_extract(text, '(?i)\\bNO(?:MOR)?\\s*[.:]?\\s*KK\\s*[:.\\-]?\\s*([0-9A-Za-z? ]{14,34})', 1), '[^0-9A-Za-z?]', '', 'g')", lx.KK_DIGITS)
 
+def _ok16(x: str) -> str:
+    return f"regexp_matches({x}, '^[1-9][0-9]')"
 
-@query(f"""{CARDS}, k AS (SELECT doc_id, variant, {_KK} AS d FROM cards)
-SELECT doc_id, variant, CASE WHEN NOT regexp_matches(d, '^[1-9][0-9]') THEN '' WHEN length(d) = 16 THEN d WHEN length(d) = 17 THEN substr(d, 2, 16) WHEN length(d) = 18 THEN substr(d, 3, 16)
-  WHEN length(d) > 18 THEN left(d, 16) WHEN length(d) = 15 THEN d || '0' WHEN length(d) = 14 THEN d ELSE '' END AS nomor_kk FROM k""")
+
+@query(f"""{EVERY_LINE}, near AS (
+  SELECT doc_id, variant, 0 AS i, 0 AS j, regexp_extract(text, '(?i){lx.FAMILY_NUMBER_LABELLED}', 1) AS raw, 1 AS way FROM cards
+  UNION ALL SELECT doc_id, variant, i, 0, coalesce(nullif(regexp_extract(x, '(?i){lx.FAMILY_NUMBER_LINE}{lx.FAMILY_NUMBER_VALUE}', 1), ''), CASE WHEN regexp_matches(x, '(?i){lx.FAMILY_NUMBER_LINE}$') THEN regexp_extract(y, '^{lx.FAMILY_NUMBER_VALUE}', 1) END, ''), 1 FROM l
+  UNION ALL SELECT doc_id, variant, i, generate_subscripts(r, 1), unnest(r), 2 FROM (SELECT doc_id, variant, i, list_filter(regexp_extract_all(x, '[0-9A-Za-z?#*]+'), lambda t: regexp_full_match(t, '[?#*]{{0,2}}[1-9][0-9A-Za-z?]{{13,17}}')) AS r FROM l WHERE NOT regexp_matches(x, '(?i){lx.OTHER_NUMBER_LINE}'))
+), d AS (SELECT *, {digits_sql("regexp_replace(raw, '[^0-9A-Za-z?]', '', 'g')", lx.KK_DIGITS)} AS d FROM near),
+v AS (SELECT *, CASE WHEN length(d) = 16 AND {_ok16('d')} THEN d WHEN length(d) = 17 AND {_ok16('substr(d, 2)')} THEN substr(d, 2) WHEN length(d) = 18 AND {_ok16('substr(d, 3)')} THEN substr(d, 3)
+  WHEN length(d) > 16 AND {_ok16('d')} THEN left(d, 16) WHEN length(d) = 15 AND {_ok16('d')} THEN d || '0' WHEN length(d) = 14 AND {_ok16('d')} THEN d ELSE '' END AS number FROM d),
+c AS (SELECT doc_id, variant, way, number, count(*) AS n, min(i * 1000 + j) AS f FROM v WHERE number <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, variant ORDER BY way, n DESC, f) AS k FROM c)
+SELECT doc_id, variant, coalesce(number, '') AS nomor_kk FROM cards LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (doc_id, variant)""")
 def family_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.family_number(F.col("text")).alias("nomor_kk"))
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", family.family_number(F.col("text")).alias("nomor_kk"))
 
 
-@query()
+def _pad3(x: str) -> str:
+    return f"CASE WHEN length({x}) < 3 THEN lpad({x}, 3, '0') ELSE {x} END"
+
+
+def _within(a: str, b: str) -> str:
+    return f"(coalesce(TRY_CAST({a} AS INT), 0) BETWEEN 1 AND 200 AND coalesce(TRY_CAST({b} AS INT), 0) BETWEEN 1 AND 50)"
+
+
+def _explicit(p: str) -> str:
+    a, b = f"regexp_extract(text, '{p}', 1)", f"regexp_extract(text, '{p}', 2)"
+    return f"CASE WHEN {a} <> '' THEN ({_pad3(a)}) || '/' || ({_pad3(b)}) END"
+
+
+def _fused(d: str) -> str:
+    p = lambda a, n: f"substr({d}, {a}, {n})"
+    seven = " ".join(f"WHEN length({d}) = 7 AND {_within(a, b)} THEN {a} || '/' || {b}" for a, b in ((p(1, 3), p(5, 3)), (p(2, 3), p(5, 3))))
+    return f"CASE {seven} WHEN length({d}) >= 6 THEN {p(1, 3)} || '/' || {p(4, 3)} END"
+
+
+def _licence(k: int) -> str:
+    pattern = r"([0-9A-Za-z]{3,5})\s*[-–]\s*([0-9A-Za-z]{3,7})\s*[-–]?\s*([0-9A-Za-z]{3,8})"
+    return digits_sql(f"regexp_extract(regexp_replace(x, '^[^0-9]+', ''), '{pattern}', {k})", lx.SIM_DIGITS)
+
+
+def _cut446(d: str) -> str:
+    return f"substr({d}, 1, 4) || '-' || substr({d}, 5, 4) || '-' || substr({d}, 9, 6)"
+
+
+_RT = "(?i)(?:RTRW|RTIRW|BURW|RT[I1]?RW)"
+_RT_A, _RT_B = (digits_sql(rf"regexp_extract(x, '([0-9A-Za-z]{{2,4}})\s*/\s*([0-9A-Za-z]{{2,4}})', {k})", lx.RTRW_FUSED) for k in (1, 2))
+_RT_RUN = digits_sql(r"regexp_extract(x, '(?i)([0-9A-Za-z]{6,8})\s+(?:Kabupaten|Kecamatan)', 1)", lx.RTRW_FUSED)
+_RT_BEHIND = digits_sql(f"regexp_extract(text, '{_RT}" + r"\s*[:\-]?\s*([0-9A-Za-z]{4,10})\b', 1)", lx.RTRW_DIGITS)
+_RT_BELOW = digits_sql(f"regexp_extract(text, '{_RT}" + r"\s*\n\s*([0-9A-Za-z]{4,10})', 1)", lx.RTRW_DIGITS)
+_RT_PLAIN, _RT_DOTS = _explicit(r"(?i)RT[/I\s.]*RW[.\s:]*(\d{2,3})[/\s\-](\d{2,3})"), _explicit(r"(?i)RT\.?(\d{2,3})/RW\.?(\d{2,3})")
+_WHOLE, _AFTER = digits_sql(r"regexp_replace(x, '\s+', '', 'g')", lx.SIM_DIGITS), digits_sql(r"regexp_extract(x, '[:\-]\s*(.*)$', 1)", lx.SIM_DIGITS)
+
+
+@query(rf"""{EVERY_LINE}, slash AS (SELECT doc_id, variant, arg_min(({_pad3('a')}) || '/' || ({_pad3('b')}), i) AS v4 FROM (SELECT *, {_RT_A} AS a, {_RT_B} AS b FROM l) WHERE length(a) >= 2 AND length(b) >= 2 AND {_within('a', 'b')} AND regexp_matches(x, '(?i)Kabupaten|Kota|BEKASI|JAKARTA') GROUP BY ALL),
+runs AS (SELECT doc_id, variant, arg_min({_fused('d')}, i) AS v5 FROM (SELECT *, {_RT_RUN} AS d FROM l) WHERE length(d) >= 6 GROUP BY ALL),
+one AS (SELECT doc_id, variant, {_RT_BEHIND} AS d2, {_RT_BELOW} AS d3, {_RT_PLAIN} AS v1, {_RT_DOTS} AS v1b FROM cards),
+s AS (SELECT doc_id, variant, x, row_number() OVER (PARTITION BY doc_id, variant ORDER BY i) AS i FROM l WHERE x <> ''),
+p AS (SELECT *, {_licence(1)} AS a, {_licence(2)} AS b, {_licence(3)} AS c, {_WHOLE} AS whole, {_AFTER} AS behind FROM s),
+w AS (SELECT doc_id, variant, i, CASE WHEN i <= 12 AND length(a || b || c) >= 10 AND length(a) >= 2 THEN 1 WHEN i <= 8 AND length(whole) >= 14 AND whole NOT LIKE '0%' THEN 2 WHEN i <= 10 AND regexp_matches(x, '(?i)\bNo\.?\s*SIM\b') AND length(behind) >= 12 THEN 3 END AS way,
+  lpad(left(a, 4), 4, '0') AS head, substr(a || b || c, 5) AS rest, whole, behind FROM p),
+n AS (SELECT doc_id, variant, arg_min(CASE way WHEN 1 THEN head || '-' || lpad(left(rest, 4), 4, '0') || '-' || CASE WHEN length(rest) >= 6 THEN lpad(substr(rest, 5, 6), 6, '0') ELSE rpad(substr(rest, 5, 6), 6, '0') END WHEN 2 THEN {_cut446('whole')} ELSE {_cut446('behind')} END, way * 1000 + i) AS number FROM w WHERE way IS NOT NULL GROUP BY ALL)
+SELECT doc_id, variant, coalesce(number, '') AS no_sim, coalesce(v1, v1b, {_fused('d2')}, {_fused('d3')}, v4, v5, '') AS rtrw FROM one LEFT JOIN slash USING (doc_id, variant) LEFT JOIN runs USING (doc_id, variant) LEFT JOIN n USING (doc_id, variant)""")
 def licence_and_rtrw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.licence_number(F.col("text")).alias("no_sim"), fx.rt_rw(F.col("text")).alias("rtrw"), fx.family_head(F.col("text")).alias("nama_kepala"))
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", fx.licence_number(F.col("text")).alias("no_sim"), fx.rt_rw(F.col("text")).alias("rtrw"))
+
+
+@query()
+def family_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ways = {"behind_label": family.head_behind_label, "below_number": family.head_below_number, "in_capitals": family.head_in_capitals, "below_noise": family.head_below_noise, "in_table": family.head_in_table}
+    text = F.col("text")
+    return plan.cards(spark, sf_dir).select("doc_id", "variant", family.family_head(text).alias("nama_kepala"), *[f(text).alias(n) for n, f in ways.items()])
 
 
 # lines of cards as rows: x at place i, y the line behind

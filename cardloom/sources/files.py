@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +17,19 @@ from cardloom.functions.text import strip
 # Settings and their defaults.
 DEFAULTS = {"input": "data", "lang": "ind", "export": "json", "file_template": "{jenis}_{nama}", "folder_template": "{JENIS}/{jenis}_{nama}", "separator": "_", "deskew": True, "dry_run": False, "ground_truth": "", "tesseract_path": ""}
 
+MEANINGS = {
+    "input": "folder with the documents' folders",
+    "lang": "language of the OCR hook",
+    "export": "json, csv or both",
+    "file_template": "name of a file, from template variables",
+    "folder_template": "folder of a file; / makes levels",
+    "separator": "between words, _ or -",
+    "deskew": "straighten images before OCR",
+    "dry_run": "plan only, no file is moved",
+    "ground_truth": "CSV of true values; empty: none",
+    "tesseract_path": "program of the OCR hook; empty: found on the path",
+}
+
 
 def only_images(rows: DataFrame, path: str = "path") -> DataFrame:
     """Rows whose ``path`` is an image and lies in no skipped folder; extensions in any case, folders as they are written."""
@@ -57,8 +72,31 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_settings(path: str) -> dict:
-    """Settings of a JSON file over the defaults; keys that start with an underscore or are unknown are left out."""
-    if not path.endswith(".json"):
-        raise ValueError("settings are read from JSON")
+    """Settings of a JSON or YAML file over the defaults; keys that start with an underscore are left out, unknown ones with a warning."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    kind = os.path.splitext(path)[1].lower()
+    if kind not in (".json", ".yaml", ".yml"):
+        raise ValueError(f"settings are read from JSON or YAML, not from {kind or 'a file without extension'}")
     with open(path, encoding="utf-8") as f:
-        return DEFAULTS | {k: v for k, v in json.load(f).items() if k in DEFAULTS}
+        try:
+            if kind == ".json":
+                own = json.load(f)
+            else:
+                import yaml
+
+                own = yaml.safe_load(f) or {}
+        except ImportError as e:
+            raise ValueError("YAML needs the yaml package") from e
+        except Exception as e:
+            raise ValueError(f"the settings can't be read: {e}") from e
+    unknown = [k for k in own if not k.startswith("_") and k not in DEFAULTS]
+    if unknown:
+        warnings.warn(f"unknown settings are ignored: {unknown}", stacklevel=2)
+    return DEFAULTS | {k: v for k, v in own.items() if k in DEFAULTS}
+
+
+def write_settings_template(path: str = "config.json") -> None:
+    """All settings with their defaults, and what they mean under a key that is not read."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"_keterangan": MEANINGS, **DEFAULTS}, f, ensure_ascii=False, indent=2)
