@@ -209,12 +209,12 @@ def codec(path: str) -> BytePairs:
 BATCH_CHARS = 4_000_000
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """(offset, texts) of slices that hold about ``BATCH_CHARS`` characters; nulls are empty."""
+def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 30) -> Iterator[tuple[int, list[str]]]:
+    """(offset, texts) of slices that hold about ``BATCH_CHARS`` characters and ``most`` rows at most; nulls are empty."""
     texts, start, held = [], 0, 0
     for i, x in enumerate(batch.column(column)):
         t = x.as_py() or ""
-        if texts and held + len(t) > BATCH_CHARS:
+        if texts and (held + len(t) > BATCH_CHARS or len(texts) == most):
             yield start, texts
             texts, start, held = [], i, 0
         texts.append(t)

@@ -6,6 +6,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,12 +37,45 @@ TAGS, NAMES, TEXT, NUMBERS = 96, 256, 32, 8
 WIDTH = TAGS + NAMES + TEXT + NUMBERS
 
 
+class Node:
+    """An element that is no inline one, and the elements around it; blocks share the nodes of their paths."""
+
+    __slots__ = ("tag", "names", "parent", "counts")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.counts: np.ndarray | None = None if parent else np.zeros(TAGS + NAMES, np.uint8)
+
+    def hashed(self) -> np.ndarray:
+        """How often each slot is met on the path, 3 at most."""
+        chain, node = [], self
+        while node.counts is None:
+            chain.append(node)
+            node = node.parent
+        own = node.counts
+        for node in reversed(chain):
+            own = own.copy()
+            for k in (slot("<" + node.tag, TAGS), *(TAGS + slot(n, NAMES) for n in node.names)):
+                own[k] = min(3, own[k] + 1)
+            node.counts = own
+        return own
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node
     text: str
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """Tag and names of each element around, outermost first."""
+        out, node = [], self.node
+        while node.parent:
+            out.append((node.tag, node.names))
+            node = node.parent
+        return tuple(reversed(out))
+
 
 def names_of(attributes: str) -> tuple[str, ...]:
     """Words of class, id and the like, in lower case."""
@@ -52,10 +86,15 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def cut(page: str | None) -> list[Block]:
-    """Blocks in page order.  Inline elements don't end a block; a paragraph ends where the next block element begins."""
+    """Blocks in page order.  Inline elements don't end a block; a paragraph ends where the next block element begins.
+
+    Work and memory grow with the page, however deep its elements lie in each other.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Node("", (), None)
+    stack: list[tuple[str, Node]] = []  # open elements; an inline one has the node around it
+    open_: Counter[str] = Counter()
     held: list[str] = []
     linked = at = 0
 
@@ -64,14 +103,18 @@ def cut(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, linked))
+            out.append(Block(stack[-1][1] if stack else root, text, linked))
         linked = 0
 
+    def pop(size: int):
+        while len(stack) > size:
+            open_[stack.pop()[0]] -= 1
+
     unclosed: set[str] = set()  # names without an end tag from here on, so that none is looked for twice
     while m := MARKUP.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
-            if any(x[0] == "a" for x in stack):
+            if open_["a"]:
                 linked += m.start() - at
         at = m.end()
         name = (m[2] or m[5] or "").lower()
@@ -90,19 +133,21 @@ def cut(page: str | None) -> list[Block]:
         if name not in INLINE:
             close()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if open_[name] else -1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    pop(i)
                     break
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
         elif name not in VOID:
             if name not in INLINE:
                 while stack and stack[-1][0] in INLINE:
-                    stack.pop()
+                    pop(len(stack) - 1)
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    stack.pop()
-            stack.append((name, names_of(m[3] or m[6] or "")))
+                    pop(len(stack) - 1)
+            around = stack[-1][1] if stack else root
+            stack.append((name, around if name in INLINE else Node(name, names_of(m[3] or m[6] or ""), around)))
+            open_[name] += 1
     if at < len(page):
         held.append(page[at:])
     close()
@@ -129,12 +174,9 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     before = 0
     for i, b in enumerate(blocks):
         row = out[i]
-        for tag, names in b.path:
-            row[slot("<" + tag, TAGS)] += 1
-            for n in names:
-                row[TAGS + slot(n, NAMES)] += 1
-        if b.path:
-            row[slot("." + b.path[-1][0], TAGS)] += 1
+        row[: TAGS + NAMES] = b.node.hashed()
+        if b.node.parent:
+            row[slot("." + b.node.tag, TAGS)] += 1
         words = b.text.lower().split(" ")
         np.add.at(row, [TAGS + NAMES + slot(w, TEXT) for w in words], 1 / len(words))
         n = len(b.text)

@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.llm.bpe import blocks
 from cardloom.llm.html_blocks import WIDTH, cut, vectors
 
 WEIGHTS = Path(__file__).with_name("html_model.npz")
 #: Blocks, with padding, that are run together at most, beyond one page.
 CELLS = 20_000
+#: Pages that are cut together at most.
+PAGES = 500
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -94,7 +97,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
     """Article text of each page."""
     cuts = [cut(p) for p in pages]
     labels = scores([vectors(b) for b in cuts])
-    return [" ".join(b.text for b, s in zip(blocks, odds, strict=True) if s > 0) for blocks, odds in zip(cuts, labels, strict=True)]
+    return [" ".join(b.text for b, s in zip(own, odds, strict=True) if s > 0) for own, odds in zip(cuts, labels, strict=True)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -102,9 +105,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = main_texts(part.column("html").to_pylist())
+            for start, pages in blocks(batch, "html", PAGES):
+                part = batch.slice(start, len(pages))
+                texts = main_texts(pages)
                 yield pa.RecordBatch.from_pydict(
                     {"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
                 )

@@ -1,7 +1,10 @@
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from cardloom.llm import html_extract, html_training
-from cardloom.llm.html_blocks import cut
+from cardloom.llm.html_blocks import cut, vectors
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">alpha</a></li><li><a href="/b">beta</a></li></ul></nav><div class="ad">Buy the thing now.</div>
@@ -50,6 +53,50 @@ def test_pages_of_the_tables(spark):
         assert t == " ".join(b.text for b in cut(r.html) if any(x[0] == "article" for x in b.path)), r.page_id
 
 
+class ArticleReader(HTMLParser):
+    """Text of article elements by the standard library's parser."""
+
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "small", "u", "sub", "sup", "mark"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, []
+
+    def edge(self, tag):
+        if tag not in self.INLINE:
+            self.parts.append(" ")
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.edge(tag)
+
+    def handle_endtag(self, tag):
+        self.edge(tag)
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_pages_of_the_tables_by_another_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    for r, t in zip(rows, html_extract.main_texts([r.html for r in rows]), strict=True):
+        reader = ArticleReader()
+        reader.feed(r.html)
+        reader.close()
+        assert t == " ".join("".join(reader.parts).split()), r.page_id
+
+
+def test_deep_pages_take_time_and_memory_in_proportion():
+    began = time.monotonic()
+    blocks = cut("<div class='x y'><b>" * 50_000 + "<article><p>deep</p>" + "</i></span>" * 50_000 + "<p>end")
+    assert [b.text for b in blocks] == ["deep", "end"] and len(blocks[0].path) == 50_002
+    assert vectors(blocks).shape[0] == 2
+    assert len(cut("<div>x" * 50_000)) == 50_000 and len(cut("<p><a>x" * 50_000)) == 50_000
+    assert time.monotonic() - began < 30
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (1, "u", "", 2), (None, "u", PAGE, 3), (4, "u", "<article>" + "<p>Some words of it.</p>" * 3000 + "</article>", 4)], "page_id long, url string, html string, n_chars int")
     rows = html_extract.extract(pages).collect()
