@@ -34,6 +34,36 @@ def test_exact_dedup(spark, docs):
     assert again.ingest(later.limit(0)).count() == 0
 
 
+def test_a_batch_that_comes_again_gets_its_verdict(spark, docs):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), buckets=2)
+    verdict = lambda name: sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in index.ingest(docs, batch=name).collect())
+    once = verdict("monday")
+    assert sum(r[3] for r in once) == 3
+    assert verdict("monday") == once and not any(r[3] for r in verdict("tuesday"))
+    before = sorted(map(tuple, index.entries().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.entries().collect())) == before and verdict("monday") == once
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.folder, again.buckets) == (index.folder, 2)
+    index.close()
+    assert not spark.catalog.tableExists(index.table)
+
+
+def test_the_index_is_joined_as_it_lies(spark, docs):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), buckets=4)
+    index.ingest(docs).collect()
+    batch = spark.createDataFrame([(b"x",)], "digest binary")
+    for how in ("left_anti", "inner"):
+        plan = batch.join(index.entries().hint("merge"), "digest", how)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+
+
+def test_user_columns_survive(spark):
+    data = spark.createDataFrame([(1, "a", "x", "y"), (2, "a", "z", "u"), (1, "a", "v", "w")], "doc_id long, text string, __digest string, drop_id string")
+    kept = exact_dedup.drop_duplicates(data)
+    assert kept.columns == data.columns and [r["__digest"] in "xv" for r in kept.collect()] == [True]
+
+
 def test_drop_duplicates(docs):
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
