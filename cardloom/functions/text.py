@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,25 +77,31 @@ def clean_text(x: Column) -> Column:
 
 def quality_score(x: Column) -> Column:
     """Weighted score of recognised text: words, keywords, numbers and names add, noisy lines and short tokens take away."""
-    count = lambda pattern, y=x: F.regexp_count(y, F.lit(pattern)).cast("int")
-    lower = F.lower(x)
-    found = lambda values, weight: reduce(lambda a, b: a + b, [F.contains(lower, F.lit(v)).cast("int") * weight for v in values])
-    long_words = F.least(count("[A-Za-z]{4,}"), F.lit(60))
-    keywords = found(lx.KEYWORDS, 8)
-    numbers = 6 * count(r"\d{2}[-/]\d{2}[-/]\d{4}") + 6 * count(r"(?U)\b\d{14,16}\b") + 3 * count(r"(?U)\b\d{10,13}\b")
-    trimmed = F.transform(lines(x), strip)
+    count = lambda pattern: F.regexp_count(x, F.lit(pattern)).cast("int")
     name = r"^[A-Z][A-Z\s]{3,35}$"
-    names = F.size(F.filter(trimmed, lambda y: y.rlike(name) & F.size(words(y)).between(2, 5) & (F.length(y) >= 5)))
-    numbered = F.size(F.filter(trimmed, lambda y: y.rlike(r"^\d+\.\s+[A-Z][A-Z\s]{3,35}$")))
-    extra = 15 * names + 12 * numbered + 10 * count(r"\d{1,2}[-/.]\d{1,2}[-/.]\d{4}") + found(lx.SCORE_CITIES, 10)
-    filled = F.filter(trimmed, lambda y: y != "")
-    noisy = F.size(F.filter(filled, lambda y: ~y.rlike("[A-Za-z]{3,}")))
-    base = long_words + keywords + numbers
-    noise = (base * (noisy / F.greatest(F.lit(1), F.size(filled))) * F.lit(0.9)).cast("int")
-    tokens = words(x)
-    short = F.size(F.filter(tokens, lambda t: F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) < 3))
-    excess = F.coalesce(F.try_divide(short.cast("double"), F.size(tokens)) - 0.5, F.lit(0.0))
-    return base + extra - noise - ((base + extra) * F.greatest(F.lit(0.0), excess)).cast("int")
+
+    def scored(p):
+        lower, trimmed, tokens = p["lower"], p["trimmed"], p["tokens"]
+        found = lambda values: F.size(F.filter(literal_array(values), lambda v: F.contains(lower, v)))
+        numbers = 6 * count(r"\d{2}[-/]\d{2}[-/]\d{4}") + 6 * count(r"(?U)\b\d{14,16}\b") + 3 * count(r"(?U)\b\d{10,13}\b")
+        base = F.least(count("[A-Za-z]{4,}"), F.lit(60)) + 8 * found(lx.KEYWORDS) + numbers
+        names = F.size(F.filter(trimmed, lambda y: (F.length(y) >= 5) & y.rlike(name) & F.size(words(y)).between(2, 5)))
+        numbered = F.size(F.filter(trimmed, lambda y: y.rlike(r"^\d+\.\s+[A-Z][A-Z\s]{3,35}$")))
+        extra = 15 * names + 12 * numbered + 10 * count(r"\d{1,2}[-/.]\d{1,2}[-/.]\d{4}") + 10 * found(lx.SCORE_CITIES)
+        filled = F.size(F.filter(trimmed, lambda y: y != ""))
+        noisy = F.size(F.filter(trimmed, lambda y: (y != "") & ~y.rlike("[A-Za-z]{3,}")))
+        short = F.size(F.filter(tokens, lambda t: F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) < 3))
+        excess = F.coalesce(F.try_divide(short.cast("double"), F.size(tokens)) - 0.5, F.lit(0.0))
+
+        def total(q):
+            noise = (q["base"] * (noisy / F.greatest(F.lit(1), filled)) * F.lit(0.9)).cast("int")
+            both = q["base"] + q["extra"]
+            return both - noise - (both * F.greatest(F.lit(0.0), excess)).cast("int")
+
+        return let(F.struct(base.alias("base"), extra.alias("extra")), total)
+
+    parts = F.struct(F.lower(x).alias("lower"), F.transform(lines(x), strip).alias("trimmed"), words(x).alias("tokens"))
+    return let(parts, scored)
 
 
 def slugify(x: Column, sep: str = "_") -> Column:

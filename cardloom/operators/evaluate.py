@@ -72,8 +72,9 @@ def match_truth(truth: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def field_scores(matched: DataFrame) -> DataFrame:
-    """``field, tp, fp, fn, precision, recall, f1``: a wrong value is a false positive only."""
-    pairs = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("t"), F.coalesce(F.col("record")[f], F.lit("")).alias("p")) for f in lx.EVALUATED_FIELDS]
+    """``field, tp, fp, fn, precision, recall, f1``: a wrong value is a false positive only; fields that the true values lack are empty."""
+    true = lambda f: F.coalesce(F.col(f), F.lit("")) if f in matched.columns else F.lit("")
+    pairs = [F.struct(F.lit(f).alias("field"), true(f).alias("t"), F.coalesce(F.col("record")[f], F.lit("")).alias("p")) for f in lx.EVALUATED_FIELDS]
     long = matched.select(F.explode(F.array(*pairs)).alias("e")).select("e.field", "e.t", "e.p")
     same = normalize_for_compare(F.col("t")) == normalize_for_compare(F.col("p"))
     has_t, has_p = F.col("t") != "", F.col("p") != ""

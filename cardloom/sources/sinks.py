@@ -205,10 +205,11 @@ def report_parts(records: DataFrame, scores: DataFrame | None = None) -> Iterabl
         share = 100.0 * r["n"] / max(1, batch["total"])
         yield f"<div class='bar'><span style='width:{share:.1f}%'></span> {html.escape(str(kind))}: {r['n']}</div>"
     yield _table("Kinds", list(own["kinds"].values()))
-    yield "<h2>Documents</h2><input id='q' placeholder='search'><table id='documents'>"
+    search = "for(const r of document.querySelectorAll('#documents tr'))r.hidden=!r.textContent.toLowerCase().includes(this.value.toLowerCase())"
+    yield f'<h2>Documents</h2><input placeholder="search" oninput="{search}"><table id="documents">'
     for row in document_rows(records).toLocalIterator():
         yield _cells([row.asDict()])
-    yield "</table><script>document.getElementById('q').oninput=e=>{for(const r of document.querySelectorAll('#documents tr'))r.hidden=!r.textContent.toLowerCase().includes(e.target.value.toLowerCase())}</script>"
+    yield "</table>"
     if scores is not None:
         yield _table("Scores", [r.asDict() for r in score_table(scores).orderBy("field").collect()])
         if "kk" not in own["kinds"]:

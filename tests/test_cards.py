@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import addresses as ax
+from cardloom.functions import family
 from cardloom.functions import fields as fx
 from cardloom.functions import names as nx
 from cardloom.functions import text as tx
@@ -11,8 +12,8 @@ from cardloom.operators import evaluate, naming, records, vote
 from cardloom.sources import files, sinks
 
 DEMO = {
-    "ktp_dipca": "PROVINSI JAWA BARAT\nKABUPATEN BEKASI\nNIK : 3216082501030001\nNama : Dipca Anugrah\nTempat/Tgl Lahir : BEKASI, 25-01-2003\nJenis Kelamin : LAKI-LAKI\nAlamat : JL. MERDEKA NO. 1 RT 001/002\nKecamatan : CIKARANG BARAT\nBerlaku Hingga : SEUMUR HIDUP",
-    "kk_sri": "KARTU KELUARGA\nNo KK : 5103060512010001\nNama Kepala Keluarga : Sri Rejeki Kumalaputri\nDesa/Kelurahan : KEROBOKAN KAJA\nKecamatan : KUTA UTARA\nKabupaten/Kota : BADUNG\nStatus Hubungan Dalam Keluarga\nDinas Kependudukan Dan Pencatatan Sipil",
+    "ktp_tirta": "PROVINSI JAWA BARAT\nKABUPATEN BEKASI\nNIK : 3216081203990007\nNama : Tirta Wibawa\nTempat/Tgl Lahir : BEKASI, 12-03-1999\nJenis Kelamin : LAKI-LAKI\nAlamat : JL. MERDEKA NO. 1 RT 001/002\nKecamatan : CIKARANG BARAT\nBerlaku Hingga : SEUMUR HIDUP",
+    "kk_ayu": "KARTU KELUARGA\nNo KK : 5103060512010001\nNama Kepala Keluarga : Ayu Pertiwi Kumalasari\nDesa/Kelurahan : KEROBOKAN KAJA\nKecamatan : KUTA UTARA\nKabupaten/Kota : BADUNG\nStatus Hubungan Dalam Keluarga\nDinas Kependudukan Dan Pencatatan Sipil",
     "sim_budi": "SURAT IZIN MENGEMUDI\nPOLRI\nNama : Budi Santoso\nTempat/Tgl Lahir : JAKARTA, 10-06-1990\nJenis Kelamin : LAKI-LAKI\nGolongan : B1\nBerlaku Hingga : 17-08-2030",
     "unknown_doc": "SURAT KETERANGAN\nDokumen tidak dikenal oleh sistem.\nFile ini akan masuk ke folder ERROR/.",
 }
@@ -27,14 +28,14 @@ def values(spark, inputs, function):
 @pytest.mark.parametrize(
     ("function", "pairs"),
     [
-        (fx.nik, {"NIK : 3216O82501O3OOO1": "3216082501030001", "no number": ""}),
+        (fx.nik, {"NIK : 3216O812O399OOO7": "3216081203990007", "no number": ""}),
         (tx.normalize_city, {"PATENBEKASI": "BEKASI", "SHEKASI": "BEKASI", "Paris": "PARIS"}),
         (tx.normalize_date, {"1/2/2003": "01-02-2003", "1 2 2003": "01-02-2003"}),
-        (tx.normalize_for_compare, {"25/01/2003": "25-01-2003", "LAKI-LAKI": "laki-laki", "dipca_anugrah": "dipcaanugrah"}),
+        (tx.normalize_for_compare, {"12/03/1999": "12-03-1999", "LAKI-LAKI": "laki-laki", "tirta_wibawa": "tirtawibawa"}),
         (tx.clean_name, {"Nama : Budi Santoso": "budi_santoso", "": ""}),
         (tx.is_plausible_name, {"dan": False, "kp_rawa_banteng": False, "budi_santoso": True}),
         (fx.rt_rw, {"RT.045/RW.011": "045/011", "RTRW 0451011": "045/011"}),
-        (fx.to_16_digits, {"321608250103000": "3216082501030000", "32160825010300": "32160825010300", "3216082501030": "", "03216082501030": ""}),
+        (family.to_16_digits, {"321608120399000": "3216081203990000", "32160812039900": "32160812039900", "3216081203990": "", "03216081203990": ""}),
     ],
 )
 def test_golden(spark, function, pairs):
@@ -47,17 +48,17 @@ def test_golden(spark, function, pairs):
         (
             nx.name_after_number,
             {
-                "3216082501030001\n::: 12 -- 9\nPROVINSI BALI\nDIPCA ANUGRAH": "dipca_anugrah",
+                "3216081203990007\n::: 12 -- 9\nPROVINSI BALI\nTIRTA WIBAWA": "tirta_wibawa",
                 "NIK\n1\n2\n3\n4\nBudi Santoso": "budi_santoso",
                 "NIK\n1\n2\n3\n4\n5\nBudi Santoso": "",
-                "Budi Santoso\n3216082501030001": "",
+                "Budi Santoso\n3216081203990007": "",
                 "": "",
             },
         ),
-        (nx.name_in_capitals, {'\"DIPCA ANUGRAH\nx': "dipca_anugrah", "Dipca Anugrah": "", "JAWA BARAT\nBUDI SANTOSO 1": "", "x\n" * 15 + "DIPCA ANUGRAH": ""}),
+        (nx.name_in_capitals, {'\"TIRTA WIBAWA\nx': "tirta_wibawa", "Tirta Wibawa": "", "JAWA BARAT\nBUDI SANTOSO 1": "", "x\n" * 15 + "TIRTA WIBAWA": ""}),
         (
             nx.name_on_licence,
-            {"1223-0301-000680\n12 - 3\nDIPCA ANUGRAH": "dipca_anugrah", "x\n1. SRI REJEKI": "sri_rejeki", "POLRI\n2. Foo Barita\nBudi Santoso": "budi_santoso", "Budi Santoso": ""},
+            {"1223-0301-000680\n12 - 3\nTIRTA WIBAWA": "tirta_wibawa", "x\n1. SRI REJEKI": "sri_rejeki", "POLRI\n2. Foo Barita\nBudi Santoso": "budi_santoso", "Budi Santoso": ""},
         ),
         (ax.clean_licence_address, {"4. JL. MERDEKA NO.54": "JL. MERDEKA NO.54", "5) KP RAWA | BANTENG 12": "KP RAWA BANTENG", "JALAN ANU XX": "JALAN ANU"}),
         (ax.licence_address_below_gender, {"PRIA\nKP RAWA BANTENG\nRT.05/01 CKR BARAT\nKAB. BEKASI": "KP RAWA BANTENG RT.05/01 CKR BARAT", "WANITA\nKAB. BEKASI\nJL ANU": "", "JL ANU": ""}),
@@ -79,6 +80,61 @@ def test_licence_address_of_later_variants(spark):
     assert records.settle(found).first().alamat_sim == "JL. SATU"
 
 
+@pytest.mark.parametrize(
+    ("function", "pairs"),
+    [
+        (
+            family.family_number,
+            {
+                "NOMOR KK: 51O3O6O5l2OlOOO4\nx": "5103060512010004",
+                "No. 5103060512010004": "5103060512010004",
+                "No.\n?2140120212753\n": "72140120212753",
+                "x\n5103060512010004 y": "5103060512010004",
+                "NIK 5103060512010004": "",
+                "5103060512010004 5103060512010005 5103060512010005": "5103060512010005",
+                "No KK : 5103060512010004\nx 5103060512010005": "5103060512010004",
+            },
+        ),
+        (family.head_behind_label, {"Nama Kepala Keluarga : Tirta Wibawa / Desa X": "TIRTA WIBAWA", "Kopata Kotinga\nGunadarma": "GUNADARMA", "Kepala Keluarga\nNo 12": "", "": ""}),
+        (family.head_below_number, {"No. 3216081203990007\n\nTIRTA WIBAWA Desa X": "TIRTA WIBAWA", "TIRTA WIBAWA\nNo. 3216081203990007": "", "No. 3216\nJAWA BARAT\nTIRTA WIBAWA: x": "TIRTA WIBAWA"}),
+        (family.head_in_capitals, {"KARTU KELUARGA\nTirta Wibawa": "TIRTA WIBAWA", "tirta wibawa": "", "Tirta Wibawa 1": ""}),
+        (family.head_below_noise, {"Kopata Kelunga\nxx 12\nGunadarma": "GUNADARMA", "x\nGunadarma": ""}),
+        (family.head_in_table, {"1. TIRTA WIBAWA 3216081203990007 L KEPALA KELUARGA": "TIRTA WIBAWA", "2 TIRTA WIBAWA KEPALA KELUARGA": ""}),
+        (family.head_from_header, {"Nama Kepala Keluarga : Tirta Wibawa": "tirta_wibawa", "x": ""}),
+        (fx.rt_rw, {"RTRW\n045011": "045/011", "005/001 Kabupaten X": "005/001", "00SI0U1 Kabupaten": "005/001", "RTRW : 04": "", "005/001": ""}),
+        (fx.birth_place, {"BEKASI, 12.03.1999": "Bekasi", "JAKARTA A, 12-03-1999": "Jakarta", "JAKARTA-12-03\nx\n1999": "Jakarta", "JAKARTA-12-03\nx": ""}),
+        (
+            fx.address,
+            {
+                "Alamat : JL A\nRT 1\nAlamat : JL B": "JL A",
+                "Alamat\nJL SATU\nBLOK DUA\nNO TIGA\nX": "JL SATU BLOK DUA NO TIGA",
+                'Alamat "Jl.Mawar': "Jl.Mawar",
+                "Alamat : A1\n\nB2\nC3": "A1 B2 C3",
+                "LAMAT : X": "",
+                "MAMAT * KP RAWA\nKECAMATAN X": "KP RAWA KECAMATAN X",
+            },
+        ),
+        (fx.licence_number, {"12230301000680": "1223-0301-000680", "No. SIM : 122303010006": "1223-0301-0006", "No. SIM : 12": ""}),
+        (fx.name_from_label, {"NAMA 12 : \nNama Tirta Wibawa": "tirta_wibawa", "Nama : Tirta": "tirta", "Nama Tirta : 1": "tirta"}),
+    ],
+)
+def test_ways_without_clean_labels(spark, function, pairs):
+    assert values(spark, pairs, function) == list(pairs.values())
+
+
+@pytest.mark.parametrize(
+    ("field", "pairs"),
+    [
+        ("desa_kelurahan", {"Dexa/Kelurahan: KUTA\n": "KUTA", "Gesalkeuran  KUTA RAYA\n": "KUTA RAYA", "DESA SUKAMAJU": "SUKAMAJU", "Desafkelurahan # KUTA": "KUTA"}),
+        ("kecamatan", {"Kec. KUTA UTARA\n": "KUTA UTARA", "KEC KUTA Kab X": "KUTA", "Kecarnatan KUTA\n": "KUTA"}),
+        ("kabupaten_kota", {"Kabupaton/Kota BADUNG": "BADUNG", "KAB. BADUNG Prov": "BADUNG", "Kab/Kota : BADUNG": "BADUNG"}),
+        ("provinsi", {"Provinsl : BALI": "BALI", "Ansi . JAWA BARAT\n": "JAWA BARAT", "Prov. 3JAWA BARAT": "JAWA BARAT"}),
+    ],
+)
+def test_header_patterns(spark, field, pairs):
+    assert values(spark, pairs, lambda x: fx.header_field(x, field)) == list(pairs.values())
+
+
 def test_demo_scores(spark):
     assert values(spark, DEMO.values(), tx.quality_score) == [168, 86, 130, 35]
 
@@ -86,9 +142,9 @@ def test_demo_scores(spark):
 def test_demo_records(spark):
     texts = spark.createDataFrame([(i, "raw", 6, t) for i, t in enumerate(DEMO.values())] + [(9, "raw", 6, None)], "doc_id long, label string, psm int, text string")
     ktp, kk, sim, other, empty = sorted(records.build_records(texts).collect())
-    assert (ktp.jenis_dokumen, ktp.status, ktp.nama, ktp.nik, ktp.tempat_lahir, ktp.tanggal_lahir, ktp.jenis_kelamin) == ("ktp", "VALID", "dipca_anugrah", "3216082501030001", "Bekasi", "25-01-2003", "LAKI-LAKI")
+    assert (ktp.jenis_dokumen, ktp.status, ktp.nama, ktp.nik, ktp.tempat_lahir, ktp.tanggal_lahir, ktp.jenis_kelamin) == ("ktp", "VALID", "tirta_wibawa", "3216081203990007", "Bekasi", "12-03-1999", "LAKI-LAKI")
     assert ktp.alamat == "JL. MERDEKA NO. 1 RT 001/002 Kecamatan : CIKARANG BARAT"
-    assert (kk.jenis_dokumen, kk.nama, kk.nomor_kk, kk.desa_kelurahan, kk.kecamatan, kk.kabupaten_kota, kk.provinsi) == ("kk", "SRI REJEKI KUMALAPUTRI", "5103060512010001", "KEROBOKAN KAJA", "KUTA UTARA", "BADUNG", "")
+    assert (kk.jenis_dokumen, kk.nama, kk.nomor_kk, kk.desa_kelurahan, kk.kecamatan, kk.kabupaten_kota, kk.provinsi) == ("kk", "AYU PERTIWI KUMALASARI", "5103060512010001", "KEROBOKAN KAJA", "KUTA UTARA", "BADUNG", "")
     assert (kk.fields_filled, kk.fields_total, kk.field_completeness) == (5, 8, 0.62)
     assert (sim.jenis_dokumen, sim.nama, sim.tempat_lahir, sim.tanggal_lahir, sim.no_sim, sim.field_completeness) == ("sim", "budi_santoso", "Jakarta", "10-06-1990", "", 0.75)
     assert (other.jenis_dokumen, other.status) == (empty.jenis_dokumen, empty.status) == ("unknown", "ERROR")
