@@ -8,6 +8,7 @@ Everything before and behind keeps its counts: a boundary that both versions sha
 Defined results
 * a null text is empty; positions outside the text are moved to its ends; a null insert is empty, a null edit list or edit does nothing;
 * edits of a document apply in order, each to the text that the ones before have left;
+* stored counts that don't add up to the text's length are left aside, and the text is cut anew;
 * rows that repeat an id are documents of their own; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from cardloom.llm.bpe import BytePairs, blocks, codec
 from cardloom.llm.unit_cache import CACHE_BYTES, ENTRY, LONG
 
-#: Characters before an edit whose pre-tokens it may change: an added token's length and the pattern's look ahead.
+#: Characters before an edit whose pre-tokens it may change by the pattern's look ahead; added tokens that are longer count with their length.
 CONTEXT = 16
 #: Pre-tokens in a block.
 BLOCK = 64
@@ -48,6 +49,7 @@ class Counter:
 
     def __init__(self, own: BytePairs):
         self.own, self.known = own, dict.fromkeys(own.added, 1)
+        self.context = max([CONTEXT, *map(len, own.added)])
 
     def counts(self, parts: list[str]) -> list[int]:
         if len(self.known) * (ENTRY + LONG) > CACHE_BYTES:
@@ -65,7 +67,7 @@ class TokenTree:
 
     def __init__(self, counter: Counter, text: str, chars: list[int] | None = None, tokens: list[int] | None = None):
         self.counter, self.text = counter, text
-        if chars is None:
+        if chars is None or sum(chars) != len(text):
             parts = list(pretokens(counter.own, text))
             chars, tokens = list(map(len, parts)), counter.counts(parts)
         self.recounted = 0
@@ -106,10 +108,11 @@ class TokenTree:
         start = min(max(start, 0), len(self.text))
         stop = min(start + max(delete, 0), len(self.text))
         shift = len(insert) - (stop - start)
-        block, at = self._find(max(0, start - CONTEXT))
+        context = self.counter.context
+        block, at = self._find(max(0, start - context))
         first = 0
         own = self.chars[block]
-        while first < len(own) and at + own[first] <= start - CONTEXT:
+        while first < len(own) and at + own[first] <= start - context:
             at += own[first]
             first += 1
         self.text = self.text[:start] + insert + self.text[stop:]
