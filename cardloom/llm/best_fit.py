@@ -41,6 +41,8 @@ LENGTH = 2048
 PLANS = ((256, 256), (512, 1024), (256, 1536), (1024, 1024))
 #: Pieces of one length that are numbered together.
 PART = 100_000
+#: Offsets of parts that are broadcast at most, 24 MB; beyond that they are merged.
+MOST_OFFSETS = 1_000_000
 #: Rows of a plan at most: each configuration uses up a group or leaves less of it than the configuration holds, which is
 #: 8 pieces at most where the smallest large one has more than 256 tokens.
 MOST_ROWS = 1536 * 8 * 8
@@ -176,7 +178,9 @@ def ranked(rows: DataFrame, by: str, order: list[str], counts: dict[int, int]) -
     before = F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")
     offsets = stage(sizes.select(by, "part", before.alias("before")), "ranks")
     within = F.row_number().over(Window.partitionBy(by, "part").orderBy(*order)) - 1
-    return rows.withColumn("rank", within).join(F.broadcast(offsets), [by, "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
+    few = sum(1 + n // PART for n in counts.values()) <= MOST_OFFSETS
+    offsets = F.broadcast(offsets) if few else offsets.hint("merge")
+    return rows.withColumn("rank", within).join(offsets, [by, "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
 
 
 def counted(rows: DataFrame, by: str) -> dict[int, int]:

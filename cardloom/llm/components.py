@@ -9,16 +9,19 @@ of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cardloom.llm.rows_out import without
 from cardloom.llm.scratch import forget, stage
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-    return row[0], row[1] or 0
+def _table(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``edges`` as a table, and two numbers that tell whether it has changed; they are taken as it is written."""
+    seen = Observation()
+    sums = F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("hash")
+    table = stage(edges.observe(seen, F.count(F.lit(1)).alias("rows"), sums), name)
+    return table, (seen.get["rows"], seen.get["hash"] or 0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,9 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     A root has no row of its own unless an edge joins it with itself; nodes without edges have none either.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    ordered = stage(ordered, "edges")
-    before = _state(ordered)
-    while True:
+    ordered, before = _table(ordered, "edges")
+    while before[0]:
         both = ordered.union(ordered.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -37,12 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
         forget(ordered)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        ordered = stage(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        ordered, now = _table(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
         forget(large)
-        now = _state(ordered)
         if now == before:
-            return ordered.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         before = now
+    return ordered.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def text_hash(text) -> Column:

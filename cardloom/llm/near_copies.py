@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm import simhash
+from cardloom.llm.bpe import blocks
 from cardloom.llm.components import components, keep_first, text_hash
 from cardloom.llm.rows_out import maybe
 from cardloom.llm.scratch import forget, stage
@@ -40,7 +41,9 @@ BITS = 3
 #: Texts that the members of a prefix group are compared with in one round, and rounds at most.
 LEADERS, ROUNDS = 4, 6
 #: Rounds end when the pairs left are no more than so many for each row of a prefix group, or a round has joined few of them.
-PAIRS = 32
+PAIRS = 64
+#: Times that each text is compared with its strongest partner before all pairs that are left.
+STRONGEST = 1
 #: One text in so many is read for the frequent shingles; as many of these are set last at most.
 SAMPLE, FREQUENT = 32, 200_000
 #: A shingle that so many texts have by the sample has its group of texts spread over tasks.
@@ -103,8 +106,9 @@ def sets_of(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = pa.array([shingles(x.as_py()) for x in batch.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "shingles": own})
+            for start, part in blocks(batch, "text"):
+                own = pa.array([shingles(x) for x in part], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(start, len(part)), "shingles": own})
 
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
@@ -126,19 +130,20 @@ def signatures(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = [shingles(x.as_py()) for x in batch.column("text")]
-            first = [prefix(x, frequent, ranks) for x in own]
-            times = [len(x) for x in first]
-            nodes = batch.column("node").to_numpy()
-            fps = np.array([simhash.majority(x.view(np.uint64)) for x in own], np.uint64).view(np.int64)
-            token = np.concatenate([*first, fps])
-            node = np.concatenate([np.repeat(nodes, times), nodes])
-            # size of the set, and place of the shingle, in one number
-            size = np.concatenate([np.repeat(np.array([len(x) for x in own], np.int64) << 32, times), np.zeros(len(own), np.int64)])
-            size[: len(size) - len(own)] += np.concatenate([*map(np.arange, times), np.zeros(0, np.int64)])
-            # fingerprints, and shingles that very many texts have, are spread by text: token and node change places
-            turned = np.isin(token, hot) | (size == 0)
-            yield pa.RecordBatch.from_pydict({"token": np.where(turned, node, token), "node": np.where(turned, token, node), "size": np.where(turned, -size, size)})
+            for start, part in blocks(batch, "text"):
+                own = [shingles(x) for x in part]
+                first = [prefix(x, frequent, ranks) for x in own]
+                times = [len(x) for x in first]
+                nodes = batch.column("node").slice(start, len(part)).to_numpy()
+                fps = np.array([simhash.majority(x.view(np.uint64)) for x in own], np.uint64).view(np.int64)
+                token = np.concatenate([*first, fps])
+                node = np.concatenate([np.repeat(nodes, times), nodes])
+                # size of the set, and place of the shingle, in one number
+                size = np.concatenate([np.repeat(np.array([len(x) for x in own], np.int64) << 32, times), np.zeros(len(own), np.int64)])
+                size[: len(size) - len(own)] += np.concatenate([*map(np.arange, times), np.zeros(0, np.int64)])
+                # fingerprints, and shingles that very many texts have, are spread by text: token and node change places
+                turned = np.isin(token, hot) | (size == 0)
+                yield pa.RecordBatch.from_pydict({"token": np.where(turned, node, token), "node": np.where(turned, token, node), "size": np.where(turned, -size, size)})
 
     rows = texts.select("node", "text").mapInArrow(run, "token bigint, node bigint, size bigint")
     group = Window.partitionBy("token").orderBy("size", "node")
@@ -154,7 +159,8 @@ def signatures(texts: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs`` (``a, b``, two nodes) those with a similarity of 0.8 or more, as a table."""
     pairs = stage(pairs, "candidates")
-    chosen = maybe(texts, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct())
+    chosen = maybe(texts, "node", ends)
     sets = sets_of(chosen).groupBy("node").agg(F.first("shingles").alias("shingles"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -206,11 +212,28 @@ def leader_pairs(rows: DataFrame, seed: int) -> DataFrame:
     return met.withColumn("shared", 2 * F.col("shared")).where(may_be_near()).select("a", "b")
 
 
+def strongest_first(met: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """``edges`` and what all of ``met`` (``a, b, shared``) adds: first each text is compared with the one that shares most with it, and
+    only pairs that this hasn't joined are compared then.  Every pair is compared or joined."""
+    for _ in range(STRONGEST):
+        one = met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        two = met.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+        best = stage(one.union(two).distinct(), "best-pairs")
+        edges = stage(edges.union(similar(best, texts)), "links")
+        roots = components(edges)
+        near, far = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")).hint("merge") for x in "ab")
+        apart = met.join(best.hint("merge"), ["a", "b"], "left_anti").join(near, "a", "left").join(far, "b", "left")
+        met = stage(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "shared"), "open-pairs")
+    return edges.union(similar(met.select("a", "b"), texts))
+
+
 def links(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges ``a, b`` that connect the texts of each group; ``found`` are candidates by fingerprint."""
     edges, before = similar(found, texts), float("inf")
     for turn in range(ROUNDS + 1):
+        # what is joined already comes as stars
         roots = components(edges)
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         named = shared.join(roots.hint("merge"), "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         named = stage(named, "named-prefixes")
         groups = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
@@ -223,7 +246,7 @@ def links(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
         if left / 2 <= PAIRS * rows or left > 0.7 * before or turn == ROUNDS:
             other = open_.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("far"))
             met = pairs_met(open_, other, (F.col("node") < F.col("other")) & (F.col("root") != F.col("far")))
-            return edges.union(similar(met.where(may_be_near()).select("a", "b"), texts))
+            return strongest_first(stage(met.where(may_be_near()).select("a", "b", "shared"), "open-pairs"), edges, texts)
         edges = stage(edges.union(similar(leader_pairs(open_, LEADERS * turn), texts)), "links")
         forget(open_)
         before = left

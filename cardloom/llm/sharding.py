@@ -32,6 +32,8 @@ _ML_H, _ML_L = _ML >> 16, _ML & 0xFFFF
 _MASK = 0xFFFFFFFF
 #: Ranges per shard that are numbered independently.
 RANGES = 1024
+#: Rows of the table of offsets at most, 24 MB.
+MOST_OFFSETS = 1_000_000
 
 
 def jump_path(key: F.Column, most: int) -> F.Column:
@@ -80,6 +82,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     The texts are read once; the staged rows have 40 bytes each.  The table of offsets has at most
     ``shards * ranges`` rows, whatever the input, and is broadcast for that reason.
     """
+    if shards * ranges > MOST_OFFSETS:
+        raise ValueError("too many offsets to broadcast; take fewer ranges")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col).cast("long")
     crc = F.crc32(text.cast("binary"))

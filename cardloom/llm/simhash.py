@@ -230,8 +230,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     def replicate(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(fps), 20_000):
-                row, key, home = anchors(fps[at : at + 20_000], bits)
+            for at in range(0, len(fps), 4_000):
+                row, key, home = anchors(fps[at : at + 4_000], bits)
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(key), "fp": pa.array(fps[at + row].view(np.int64)), "home": pa.array(home)})
 
     columns = "anchor bigint, fp bigint, home boolean"

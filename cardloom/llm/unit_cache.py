@@ -16,7 +16,7 @@ import numpy as np
 
 #: Bytes that one table of known units may take; then the worker starts it anew.  Units that are longer than ``LONG`` characters, such as whole texts of
 #: scripts without blanks, are not kept.
-CACHE_BYTES, LONG = 64 << 20, 64
+CACHE_BYTES, LONG = 96 << 20, 64
 #: Bytes of an entry besides its key and value: the table's slot and two object heads.
 ENTRY = 170
 

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from cardloom.llm import chat_format, exact_dedup, quality_rules, sharding
@@ -146,6 +147,17 @@ def test_a_bad_host_goes_and_a_small_one_does_not(spark):
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == kept
 
 
+def test_sql_agrees_where_hosts_fail(spark, tmp_path):
+    good = " ".join(f"w{i}" for i in range(30))
+    data = [(i, "short" if i % 10 else good, "bad") for i in range(60)] + [(100 + i, good if i % 5 else None, "good") for i in range(60)] + [(200, "short", None), (201, good, "small")]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(con.execute(f"SELECT doc_id, kept FROM ({quality_rules.ORACLE})").fetchall())
+    got = {r.doc_id: r.kept for r in quality_rules.op8_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == want and not got[0] and got[101] and len(got) == len(data)
+
+
 def test_a_clean_text_stays_beside_a_rejected_one_of_its_id_and_length(spark):
     good, bad = " ".join(f"w{i:03}" for i in range(30)), "same " * 30
     assert len(good.replace(" ", "")) == len(bad.replace(" ", ""))
