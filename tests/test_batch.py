@@ -233,4 +233,4 @@ def test_command_line(spark, tmp_path, capsys):
     assert command.main(["run", *args, "--stamp", "b", "--config", str(tmp_path / "c.json")]) == 0
     assert (tmp_path / "KTP/ktp_tirta_wibawa/ktp_tirta_wibawa.jpg").read_text() == "KTP_A/ktp_tirta.jpg"
     assert (tmp_path / "ERROR/LAIN/unknown_doc.jpg").exists() and (tmp_path / "metadata/laporan_b.html").exists()
-    assert json.load(open(tmp_path / "metadata/f1_score_b.json"))["per_field"]["nik"]["f1"] == 1.0
+    assert json.load(open(tmp_path / "metadata/f1_score_b.json"))["per_field"]["nomor_kk"]["f1"] == 1.0
