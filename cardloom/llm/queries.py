@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm import best_fit, bpe, chat_format, exact_dedup, html_extract, quality_rules, sharding, simhash, token_counts, token_matrix
+from cardloom.llm import best_fit, bpe, chat_format, exact_dedup, filter_audit, html_extract, periodic_runs, quality_rules, sharding, simhash, token_counts, token_matrix
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_best_fit": best_fit.op9_best_fit,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op2_sharding": sharding.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
