@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm import best_fit, bpe, chat_format, exact_dedup, filter_audit, html_extract, periodic_runs, quality_rules, sharding, simhash, token_counts, token_matrix
+from cardloom.llm import best_fit, bpe, chat_format, exact_dedup, filter_audit, html_extract, language_id, periodic_runs, quality_rules, sharding, simhash, token_counts, token_matrix
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_best_fit": best_fit.op9_best_fit,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_language_id": language_id.op11_language_id,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
