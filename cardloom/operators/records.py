@@ -91,14 +91,12 @@ def settle(found: DataFrame) -> DataFrame:
     return counts.groupBy("doc_id").pivot("field", names).agg(F.max_by("value", rank)).na.fill("", names)
 
 
-def build_records(texts: DataFrame) -> DataFrame:
-    """Records of the documents in ``texts`` (``doc_id, label, psm, text``); a document without any text is an ``ERROR`` of kind ``unknown``."""
-    # by number, so that AQE doesn't merge partitions that are small in bytes but long to read
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = settle(candidates(best_and_kind(score_variants(texts.repartition(parts, "doc_id")))))
+def judged(settled: DataFrame) -> DataFrame:
+    """Records from the values that votes have settled: what a kind takes from which field, status and completeness; other columns are carried."""
     kk = F.col("jenis_dokumen") == "kk"
-    out = out.select(
-        "doc_id",
+    used = {"alamat_kk", "alamat_sim", "alamat", "nik", "nama", "jenis_dokumen", "jenis_kelamin", "tempat_lahir", "tanggal_lahir", "no_sim", *FAMILY_ONLY}
+    out = settled.select(
+        *[c for c in settled.columns if c not in used],
         "jenis_dokumen",
         "jenis_kelamin",
         F.when(kk, F.col("alamat_kk")).otherwise(first_of(F.col("alamat"), F.left("alamat_sim", F.lit(200)))).alias("alamat"),
@@ -110,6 +108,13 @@ def build_records(texts: DataFrame) -> DataFrame:
     return evaluate.completeness(out.withColumn("status", F.when(ok, "VALID").otherwise("ERROR")))
 
 
+def build_records(texts: DataFrame) -> DataFrame:
+    """Records of the documents in ``texts`` (``doc_id, label, psm, text``); a document without any text is an ``ERROR`` of kind ``unknown``."""
+    # by number, so that AQE doesn't merge partitions that are small in bytes but long to read
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return judged(settle(candidates(best_and_kind(score_variants(texts.repartition(parts, "doc_id"))))))
+
+
 def confidence_scores(texts: DataFrame) -> DataFrame:
     """``doc_id, confidence_scores, mean_confidence`` from cleaned variants (``doc_id, text``): for each of six fields the share in percent of
     a document's variants that agree on its most frequent value, and their mean."""
