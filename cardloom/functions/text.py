@@ -64,6 +64,11 @@ def digits(x: Column, table: tuple[str, str] | None = None) -> Column:
     return F.regexp_replace(F.translate(x, *table) if table else x, "[^0-9]", "")
 
 
+def word_digits(x: Column) -> Column:
+    """``x`` with letters and signs that stand for digits as those digits; other characters stay."""
+    return F.translate(x, *lx.WORD_DIGITS)
+
+
 def literal_array(values) -> Column:
     """Array of words without blanks; one literal, so that plans stay short."""
     return F.split(F.lit(" ".join(values)), " ")

@@ -56,6 +56,47 @@ def by_type(records: DataFrame) -> DataFrame:
     )
 
 
+def batch_figures(records: DataFrame) -> DataFrame:
+    """All figures of a batch in one pass: a row for each kind, and one for the whole batch, whose ``jenis_dokumen`` is null and ``whole`` true.
+
+    Totals, rates and completeness are those of :func:`batch_stats` and :func:`by_type`, the rest those of :func:`progress`, :func:`naming_compliance`,
+    :func:`time_figures` and :func:`time_by_type`.  A batch without records has no row.
+    """
+    valid, dry = F.expr(VALID), F.contains("status", F.lit("DRY-RUN"))
+    failed = F.expr("contains(status, 'ERROR')")
+    by_hand = F.create_map(*[F.lit(x) for kv in lx.MANUAL_SECONDS.items() for x in kv])
+    ms = F.try_to_number(F.regexp_extract("waktu_proses", r"(\d+)", 1), F.lit("999999999999")).cast("long")
+    issues = F.size(naming_issues(F.col("nama_file_baru"), F.col("jenis_dokumen")))
+    rows = records.select(
+        F.coalesce("jenis_dokumen", F.lit("")).alias("jenis_dokumen"), ms.alias("ms"),
+        F.when(ms.isNotNull(), F.coalesce(by_hand[F.col("jenis_dokumen")], F.lit(lx.MANUAL_SECONDS_DEFAULT))).alias("hand"), valid.alias("is_valid"), failed.alias("is_error"), dry.alias("is_dry"),
+        F.when(valid, F.col("field_completeness")).alias("completeness"), F.when(valid, issues).alias("issues"),
+    )
+    share = lambda part, all_: F.bround(F.coalesce(F.try_divide(part * F.lit(100.0), all_), F.lit(0.0)), 1)
+    good, named, total = F.count_if(F.col("issues") == 0), F.count("issues"), F.count(F.lit(1))
+    own = rows.groupingSets([["jenis_dokumen"], []], "jenis_dokumen").agg(
+        (F.grouping("jenis_dokumen") == 1).alias("whole"),
+        total.alias("total"),
+        F.count_if("is_valid").alias("valid"),
+        F.count_if("is_error").alias("error"),
+        share(F.count_if("is_valid"), total).alias("success_rate_pct"),
+        F.bround(F.coalesce(F.avg("completeness"), F.lit(0.0)), 3).alias("avg_completeness"),
+        F.count_if(F.col("is_valid") & ~F.col("is_dry")).alias("done"),
+        F.count_if("is_dry").alias("dry_run"),
+        F.count_if(F.col("is_error") & ~F.col("is_dry")).alias("failed"),
+        share(good, named).alias("compliance_pct"),
+        good.alias("names_valid"),
+        F.count_if(F.col("issues") > 0).alias("names_invalid"),
+        F.bround(F.avg("ms"), 0).alias("avg_ms"),
+        F.min("ms").alias("min_ms"),
+        F.max("ms").alias("max_ms"),
+        F.bround(F.sum("ms") / F.lit(1000.0), 1).alias("total_s"),
+        F.sum("hand").alias("manual_s"),
+        F.bround(F.coalesce(F.try_divide(F.sum("hand") * F.lit(1000.0), F.sum("ms")), F.lit(0.0)), 1).alias("speedup"),
+    )
+    return own.where("total > 0")
+
+
 def match_truth(truth: DataFrame, records: DataFrame) -> DataFrame:
     """Rows of ``truth`` (key ``nama_file``) with the record of that original name, else of that new name; unmatched rows stay.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.operators import selection
+
 # Angles in degrees from which a pass counts (card outline, blobs, lines, projection), and the least total.
 OUTLINE, BLOBS, LINES, PROJECTION, LEAST = 10.0, 0.5, 0.8, 20.0, 0.5
 # Share of the old score that a straightened image must keep, and how much better an image turned by 180 degrees must be.
@@ -41,7 +43,7 @@ def quick_score(rows: DataFrame, keys: list[str], score: str = "score") -> DataF
 
 def median_angle(rows: DataFrame, key: str, angle: str, least: int) -> DataFrame:
     """Median of a key's angles if it has enough of them."""
-    return rows.groupBy(key).agg(F.count(angle).alias("n"), F.median(angle).alias(angle)).where(F.col("n") >= least).drop("n")
+    return selection.exact_median(rows, key, angle, least).select(key, F.col("median").alias(angle))
 
 
 def dominant_angle(rows: DataFrame, key: str, angle: str, bins: int = 36) -> DataFrame:

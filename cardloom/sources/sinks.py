@@ -133,16 +133,23 @@ def write_naming(records: DataFrame, root: str, stamp: str) -> list[str]:
     return out
 
 
+#: Figures of the whole batch by section of the report, under their names there.
+_SECTIONS = {
+    "batch": {c: c for c in ("total", "valid", "error", "success_rate_pct", "avg_completeness")},
+    "naming": {"compliance_pct": "compliance_pct", "valid": "names_valid", "invalid": "names_invalid"},
+    "time": {c: c for c in ("avg_ms", "min_ms", "max_ms", "total_s", "manual_s", "speedup")},
+    "progress": {"valid": "done", "dry_run": "dry_run", "error": "failed"},
+}
+_ZERO = {"avg_ms": None, "min_ms": None, "max_ms": None, "total_s": None, "manual_s": None, "success_rate_pct": 0.0, "avg_completeness": 0.0, "compliance_pct": 0.0, "speedup": 0.0}
+
+
 def metrics(records: DataFrame) -> dict:
-    """All figures of a batch; aggregates only."""
-    plain = lambda r: {k: v for k, v in r.asDict().items()}
-    return {
-        "batch": plain(evaluate.batch_stats(records).first()),
-        "kinds": {r["jenis_dokumen"]: plain(r) for r in evaluate.by_type(records).orderBy("jenis_dokumen").collect()},
-        "naming": plain(evaluate.naming_compliance(records).first()),
-        "time": plain(evaluate.time_figures(records).first()),
-        "progress": plain(evaluate.progress(records).first()),
-    }
+    """All figures of a batch, from one pass over the records; an empty batch has zeros."""
+    rows = [r.asDict() for r in evaluate.batch_figures(records).orderBy("whole", "jenis_dokumen").collect()]
+    whole = next((r for r in rows if r["whole"]), {})
+    out = {name: {k: whole.get(c, _ZERO.get(c, 0)) for k, c in own.items()} for name, own in _SECTIONS.items()}
+    kinds = {r["jenis_dokumen"]: {"jenis_dokumen": r["jenis_dokumen"], "n": r["total"], "n_valid": r["valid"], "avg_completeness": r["avg_completeness"]} for r in rows if not r["whole"]}
+    return {"batch": out["batch"], "kinds": kinds, **{k: out[k] for k in ("naming", "time", "progress")}}
 
 
 def write_metrics(records: DataFrame, root: str, stamp: str) -> str:
