@@ -173,3 +173,15 @@ def elapsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time between the first and the last event of a user."""
     rows = plan.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
     return rows.select("user_id", listing.elapsed(F.col("a"), F.col("b")).alias("elapsed"))
+
+
+def _unicode_words(sql: str) -> str:
+    """Numbers between word boundaries, counted as words of digits only: the boundaries of the other engine know ASCII alone."""
+    for low, high in ((14, 16), (10, 13)):
+        words = f"list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+'), lambda w: regexp_full_match(w, '\\p{{Nd}}{{{low},{high}}}'))"
+        sql = sql.replace(f"len(regexp_extract_all(text, '\\b\\d{{{low},{high}}}\\b'))", f"len({words})")
+    return sql
+
+
+# the score's SQL over documents in place of cards
+ORACLES["quality_score_docs"] = _unicode_words(ORACLES["quality_score_cards"][len(CARDS) :].replace("FROM cards)", "FROM documents)").replace("doc_id, variant,", "doc_id,")).replace(", p AS (", "WITH p AS (", 1)
