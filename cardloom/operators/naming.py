@@ -5,13 +5,16 @@ Nothing here touches a file: a plan is a DataFrame, and :func:`apply_plan` is th
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import lexicon as lx
 from cardloom.functions.text import digits, slugify
+from cardloom.sources import tree
 
 
 def validate_template(template: str) -> list[str]:
@@ -133,32 +136,11 @@ def existing_files(spark, root: str) -> DataFrame:
 def apply_plan(plan: DataFrame, root: str, report: str) -> DataFrame:
     """Move ``path_asal`` to ``root/path`` for each row; ``path_asal, path, outcome`` of all rows are written to ``report`` and returned.
 
-    ``outcome`` is ``moved``, ``already moved`` (the source is gone and the target there, as after an earlier attempt), ``target exists``
-    or ``no source``; a copy is finished under another name before it takes its own.  ``root`` must be a folder that all executors see.
+    The moves are written in two phases (:mod:`cardloom.sources.tree`): all copies are made before a file of the tree or a source changes, and a job that
+    fails changes nothing.  ``outcome`` is ``moved``, ``already moved`` (the source is gone and the target there, as after an earlier attempt), ``target exists``
+    or ``no source``.  ``root`` must be a folder that driver and executors share; an older report in its folder is replaced.
     """
-
-    def move(batches):
-        import os
-        import shutil
-
-        import pandas as pd
-
-        def one(source, path):
-            target = os.path.join(root, path)
-            if not os.path.exists(source):
-                return "already moved" if os.path.exists(target) else "no source"
-            if os.path.exists(target):
-                return "target exists"
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.part-{os.getpid()}"
-            shutil.copy2(source, part)
-            os.rename(part, target)
-            os.remove(source)
-            return "moved"
-
-        for batch in batches:
-            yield pd.DataFrame({"path_asal": batch["path_asal"], "path": batch["path"], "outcome": [one(s, p) for s, p in zip(batch["path_asal"], batch["path"], strict=True)]})
-
-    columns = "path_asal string, path string, outcome string"
-    plan.select("path_asal", "path").mapInPandas(move, columns).write.mode("overwrite").json(report)  # once: reading the outcomes moves nothing
-    return plan.sparkSession.read.schema(columns).json(report)
+    shutil.rmtree(report, ignore_errors=True)
+    os.makedirs(report)
+    tree.write_tree(plan.select("path", F.col("path_asal").alias("source")), root, report)
+    return plan.sparkSession.read.schema("path_asal string, path string, outcome string").json(report)

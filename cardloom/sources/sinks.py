@@ -12,11 +12,14 @@ import json
 import os
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cardloom.functions.text import first_of
 from cardloom.operators import evaluate
+from cardloom.sources import tree
 
 # Columns of the flat table, in order.
 FLAT_COLUMNS = """
@@ -42,23 +45,20 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(name, r"(?U)[^\w\-.]", "_")
 
 
+@F.pandas_udf(StringType())
+def _indented(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=2))
+
+
 def write_each(records: DataFrame, folder: str) -> DataFrame:
-    """One file ``<slug>.json`` per document in ``folder``, which all executors see; ``slug, records`` where several records
+    """One file ``<slug>.json`` per document in ``folder``, which driver and executors share, all of them or none; ``slug, records`` where several records
     share a slug, of which the one with the greatest ``path_asal`` or else the greatest JSON is in the file."""
     name = F.coalesce(F.nullif("nama_file_baru", F.lit("")), F.col("nama_file_asli"), F.lit(""))
     last = F.col("path_asal") if "path_asal" in records.columns else F.lit("")
     rows = records.select(slug(name).alias("slug"), F.to_json(F.struct(*records.columns)).alias("json"), last.alias("last"))
     rows = rows.groupBy("slug").agg(F.max_by("json", F.struct("last", "json")).alias("json"), F.count(F.lit(1)).alias("records"))
 
-    def write(part):
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            target = os.path.join(folder, f"{r.slug}.json")
-            with open(f"{target}.part-{os.getpid()}", "w", encoding="utf-8") as f:
-                f.write(json.dumps(json.loads(r.json), ensure_ascii=False, indent=2))
-            os.replace(f.name, target)
-
-    rows.select("slug", "json").foreachPartition(write)
+    tree.write_tree(rows.select(F.concat("slug", F.lit(".json")).alias("path"), _indented("json").alias("content")), folder)
     return rows.where("records > 1").select("slug", "records")
 
 
