@@ -2,7 +2,8 @@
 
 A page is cut into blocks (:mod:`html_blocks`); a bidirectional LSTM in numpy reads the vectors of all its blocks and says of each whether it
 belongs to the article.  The weights come from :mod:`html_training`, which trains on pages made up from a seed; they are stored beside this module.
-Pages of a batch are run together, padded by length; a task holds one Arrow batch.
+Pages of a batch are run together, padded by length; a page of more than ``CELLS`` blocks is read in slices that hand the state on, so a task holds one Arrow batch and the
+vectors of ``CELLS`` blocks.
 
 Defined results
 * a null or empty page, and one without article blocks, has the empty text;
@@ -33,14 +34,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None) -> np.ndarray:
+def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
     """Hidden states [time, page, hidden] of inputs [time, page, width]; where the mask is 0 the state stays.
 
-    ``keep`` collects what training needs of each step.
+    ``keep`` collects what training needs of each step; ``state`` is where to begin, if it isn't empty, and holds where the last step ended.
     """
     steps, pages, _ = x.shape
     hidden = u.shape[0]
-    h, c = np.zeros((pages, hidden), np.float32), np.zeros((pages, hidden), np.float32)
+    h, c = state or (np.zeros((pages, hidden), np.float32), np.zeros((pages, hidden), np.float32))
     given = x @ w + b
     out = np.empty((steps, pages, hidden), np.float32)
     for t in range(steps):
@@ -54,6 +55,8 @@ def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
         c = m * new + (1 - m) * c
         h = m * (o * np.tanh(new)) + (1 - m) * h
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -93,10 +96,25 @@ def scores(pages: list[np.ndarray], model: dict[str, np.ndarray] | None = None)
     return out
 
 
+def long_scores(blocks: list, model: dict[str, np.ndarray] | None = None, cells: int = CELLS) -> np.ndarray:
+    """:func:`scores` of one page of very many blocks, ``cells`` of which have their vectors at a time."""
+    m = model or weights()
+    before = np.append(0, np.cumsum([len(b.text) for b in blocks]))
+    odds = np.full(len(blocks), m["c"], np.float32)
+    parts = [(a, min(len(blocks), a + cells)) for a in range(0, len(blocks), cells)]
+    for d, turn in (("0", 1), ("1", -1)):
+        state: list = []
+        for a, e in parts[::turn]:
+            x = vectors(blocks, a, e, int(before[a]))[::turn, None]
+            odds[a:e] += (lstm(x, np.ones(x.shape[:2], np.float32), m["w" + d], m["u" + d], m["b" + d], state=state)[:, 0] @ m["v" + d])[::turn]
+    return odds
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
     """Article text of each page."""
     cuts = [cut(p) for p in pages]
-    labels = scores([vectors(b) for b in cuts])
+    labels = scores([vectors(b) if len(b) <= CELLS else vectors([]) for b in cuts])
+    labels = [long_scores(b) if len(b) > CELLS else s for b, s in zip(cuts, labels)]
     return [" ".join(b.text for b, s in zip(own, odds, strict=True) if s > 0) for own, odds in zip(cuts, labels, strict=True)]
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from cardloom.llm.html_blocks import WIDTH, cut, vectors
 from cardloom.llm.html_extract import WEIGHTS, lstm, pad, scores, sigmoid
 
-HIDDEN, PAGES, EPOCHS, SEED = 16, 4000, 6, 11
+HIDDEN, PAGES, EPOCHS, SEED = 16, 9000, 6, 11
 MARK = ""  # a private character at the head of article blocks
 
 # Words that pages use in class and id names.
@@ -31,6 +31,14 @@ SPARE_NAMES = {
     "form": "form newsletter subscribe signup login search contact".split(),
     "comments": "comments comment discussion replies responses respond comment-list disqus feedback".split(),
 }
+#: Headings of what is not the article, by kind.
+HEADINGS = {
+    "comments": ["Comments", "3 Comments", "Leave a reply", "Kommentare (2)", "Commentaires", "Comentarios", "Discussion"],
+    "sidebar": ["Related", "Popular", "Recommended", "Tags", "Share this", "Mehr zum Thema", "Sur le même sujet", "Relacionado"],
+    "form": ["Newsletter", "Subscribe", "Search", "Login", "Suche", "Recherche", "Buscar"],
+    "notice": ["We use cookies", "Cookies", "Privacy", "Datenschutz"],
+    "advert": ["Advertisement", "Sponsored", "Anzeige", "Publicité", "Publicidad"],
+}
 TAG_OF = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}
 SYLLABLES = ["the", "an", "ti", "on", "er", "in", "re", "ed", "nd", "ou", "sch", "ung", "lich", "ver", "ä", "ß", "é", "que", "tion", "eau", "ción", "ado", "ñ", "ko", "ra", "mi", "ye", "да", "но", "的", "a", "st"]
 
@@ -61,6 +69,21 @@ class Maker:
             text = " ".join(words)
         return text
 
+    def opaque(self) -> str:
+        """A name that tells nothing, as styling tools make them."""
+        r = self.r
+        own = lambda n: "".join(r.choice("abcdefghkmnpqrtvwxyz0123456789") for _ in range(n))
+        return r.choice([lambda: "c-" + own(4), lambda: "css-" + own(6), lambda: "sc-" + own(6), lambda: own(2) + "_" + own(4), lambda: r.choice("abcdexyz") + str(r.randint(1, 99)), lambda: r.choice(["wrap", "page", "site", "root", "app", "top", "center", "inner", "outer", "layout"])])()
+
+    def wrapped(self, body: str, most: int = 3) -> str:
+        """``body`` in some elements that don't tell what is in them."""
+        for _ in range(self.r.choice([0, 0, 1, 1, 2, most])):
+            kind = self.r.random()
+            names = "" if kind < 0.35 else f' {self.r.choice(["class", "id"])}="{self.opaque()}"' if kind < 0.75 else self.names(self.plain_names)
+            tag = self.r.choice(["div", "div", "div", "section", "span" if "<p" not in body and "<div" not in body else "div", "center"])
+            body = f"<{tag}{names}>{body}</{tag}>"
+        return body
+
     def names(self, words: list[str]) -> str:
         if self.r.random() < 0.15:
             return ""
@@ -74,20 +97,29 @@ class Maker:
         return f"<ul>{items}</ul>" if item.startswith("<li") else items
 
     def spare(self, kind: str) -> str:
-        tag = TAG_OF.get(kind, "div") if self.r.random() < 0.6 else "div"
+        tag = TAG_OF.get(kind, "div") if self.r.random() < 0.6 else self.r.choice(["div", "div", "section", "ul" if kind == "menu" else "div"])
         names = self.names(self.spare_names[kind])
-        if tag == "div" and not names:
+        plainly = TAG_OF.get(kind) == tag or kind == "menu"  # its tag, its links or its fields tell it
+        if not plainly and not names:
             names = f' class="{self.r.choice(self.spare_names[kind])}"'
+        if names and self.r.random() < 0.25:
+            names = names.replace('="', '="' + self.r.choice(["top-", "site-", "page-", "main-", "post-", "l-", "block-", "js-"]))
+        elif plainly and self.r.random() < 0.4:
+            names = f' class="{self.opaque()}"'
+        told = self.r.choice(HEADINGS[kind]) if kind in HEADINGS and self.r.random() < 0.6 else None
+        if told and kind == "comments" and self.r.random() < 0.25:
+            names = f' class="{self.opaque()}"'  # the heading alone tells it
+        head = lambda low, high: told or self.sentence(low, high)
         p = lambda most=3: f"<p>{self.prose(most)}</p>"
         inner = {
             "menu": lambda: self.links(self.r.randint(3, 9)),
             "header": lambda: self.r.choice([f"<h1>{self.word()}</h1>", "", f"<span>{self.sentence(1, 4)}</span>"]) + self.links(self.r.randint(0, 5)),
             "footer": lambda: self.r.choice(["&copy; ", "", "© 2024 "]) + self.sentence() + self.r.choice(["", " &middot; " + self.sentence(), self.links(3), p()]),
-            "sidebar": lambda: f"<h3>{self.sentence(1, 4)}</h3>" + self.r.choice([self.links(self.r.randint(2, 7)), p() + p()]),
-            "notice": lambda: self.r.choice([p(), self.prose(2)]) + self.r.choice(["", "<button>OK</button>"]),
-            "advert": lambda: self.r.choice([self.prose(2), p(), f"<a href='/buy'>{self.sentence()}</a>"]),
-            "form": lambda: f"<label>{self.word()}</label><input name=q>" + self.r.choice(["", self.prose(1)]) + f"<button>{self.word()}</button>",
-            "comments": lambda: f"<h3>{self.sentence(1, 3)}</h3>" + "".join(self.r.choice(["<div class='comment'>{}{}</div>", "<li>{}{}</li>", "{}{}"]).format(f"<span>{self.word()}</span>", p(4)) for _ in range(self.r.randint(1, 5))),
+            "sidebar": lambda: f"<h3>{head(1, 4)}</h3>" + self.r.choice([self.links(self.r.randint(2, 7)), p() + p()]),
+            "notice": lambda: (f"<b>{told}</b> " if told else "") + self.r.choice([p(), self.prose(2)]) + self.r.choice(["", "<button>OK</button>"]),
+            "advert": lambda: (f"<small>{told}</small>" if told else "") + self.r.choice([self.prose(2), p(), f"<a href='/buy'>{self.sentence()}</a>"]),
+            "form": lambda: p() if "class" in names and self.r.random() < 0.25 else (f"<h4>{told}</h4>" if told else "") + f"<label>{self.word()}</label><input name=q>" + self.r.choice(["", self.prose(1)]) + f"<button>{self.word()}</button>",
+            "comments": lambda: f"<h3>{told or (self.sentence(1, 3))}</h3>" + "".join(self.r.choice(["<div class='comment'>{}{}</div>", "<div>{}{}</div>", "<li>{}{}</li>", "{}{}"]).format(f"<span>{self.word()}</span>", p(4)) for _ in range(self.r.randint(1, 5))),
         }[kind]()
         return f"<{tag}{names}>{inner}</{tag}>"
 
@@ -110,43 +142,65 @@ class Maker:
                 parts.append("<table>" + "".join(f"<tr><td>{MARK}{self.word()}</td><td>{MARK}{self.sentence(1, 5)}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>")
             elif kind < 0.93:
                 parts.append(f"<p>{MARK}<b>{title}<br>{MARK}<p>{MARK}{self.prose()}</p>")
-            elif kind < 0.95:
+            elif kind < 0.94:
                 parts.append(f"<pre>{MARK}{self.sentence()}</pre>")
+            elif kind < 0.96:
+                parts.append(f"<figure{self.names(self.plain_names) if r.random() < 0.3 else ''}><img src=x><figcaption>{MARK}{self.sentence(2, 9)}</figcaption></figure>")
             else:
                 parts.append(self.spare(r.choice(["advert", "sidebar", "form", "notice"])))
         if r.random() < 0.15:
             parts.append(self.spare("comments"))
         # what follows a line break inside the article's own blocks belongs to it as well
-        body = "".join(x.replace("<br>", "<br>" + MARK) if MARK in x else x for x in parts)
+        if r.random() < 0.08:
+            # paragraphs that are only set apart by line breaks
+            parts = [p[3:].removesuffix("</p>") + r.choice(["<br><br>", "<br>\n<br>", "<br/>"]) if p.startswith("<p>" + MARK) and "<p>" not in p[3:] else p for p in parts]
+        parts = [x.replace("<br>", "<br>" + MARK).replace("<br/>", "<br/>" + MARK) if MARK in x else x for x in parts]
+        if r.random() < 0.12:
+            parts.insert(1, f"<p class='{r.choice(['byline', 'meta', 'date', 'author', self.opaque()])}'>{MARK}{self.sentence(2, 5)}</p>")
+        if r.random() < 0.3:
+            # in sections, asides between them or inside
+            cuts = sorted(r.sample(range(1, len(parts)), min(len(parts) - 1, r.randint(1, 3)))) if len(parts) > 1 else []
+            tag = r.choice(["section", "section", "div"])
+            groups = [parts[a:b] for a, b in zip([0, *cuts], [*cuts, len(parts)])]
+            body = "".join((f"<{tag}>{''.join(g)}</{tag}>" if r.random() < 0.9 else "".join(g)) + (self.spare(r.choice(["sidebar", "advert", "form"])) if r.random() < 0.3 else "") for g in groups)
+        else:
+            body = "".join(parts)
+        body = self.wrapped(body, 2) if r.random() < 0.25 else body
         shape = r.random()
-        if shape < 0.5:
+        if shape < 0.3:
             return f"<article{self.names(self.article_names) if r.random() < 0.5 else ''}>{body}</article>"
-        if shape < 0.7:
-            return f"<main><div{self.names(self.article_names)}>{body}</div></main>"
-        return f"<div class=\"{r.choice(self.article_names)}\">{body}</div>" if shape < 0.95 else body
+        if shape < 0.42:
+            return f"<main>{self.wrapped(body, 1)}</main>"
+        if shape < 0.6:
+            return f"<div class=\"{r.choice(self.article_names)}\">{body}</div>"
+        # nothing tells it but what is in it
+        return f"<div class='{self.opaque()}'>{body}</div>" if shape < 0.75 else f"<div id='{self.opaque()}'>{body}</div>" if shape < 0.85 else f"<div>{body}</div>" if shape < 0.92 else body
 
     def page(self) -> str:
         r = self.r
         before = [k for k in ("header", "menu", "notice", "advert", "sidebar", "form") if r.random() < 0.35]
         after = [k for k in ("sidebar", "comments", "advert", "form", "menu", "notice", "footer") if r.random() < (0.7 if k == "footer" else 0.3)]
         r.shuffle(before)
-        head = f'<head><meta charset="utf-8"><title>{self.sentence(2, 10)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
-        body = "".join(self.spare(k) for k in before) + "<!-- x -->" + self.article() + "".join(self.spare(k) for k in after)
-        if r.random() < 0.3:
-            body = f"<div{self.names(self.plain_names)}>{body}</div>"
-        return f"<!DOCTYPE html><html>{head}<body>{body}" + ("</body></html>" if r.random() < 0.9 else "")
+        if r.random() < 0.2:
+            before, after = [], []
+        elif r.random() < 0.2:
+            before, after = [k for k in before[:1]], [k for k in after[:1]]
+        title = f"<title>{self.sentence(2, 10)}</title>" if r.random() < 0.85 else ""
+        head = r.choice([f'<head><meta charset="utf-8">{title}<style>p{{margin:0}}</style><script>var t="</p>";</script></head>', f"<head>{title}</head>", "" if r.random() < 0.5 else title])
+        body = "".join(self.spare(k) for k in before) + r.choice(["<!-- x -->", "", "\n"]) + self.article() + "".join(self.spare(k) for k in after)
+        if r.random() < 0.5:
+            body = self.wrapped(body)
+        return r.choice(["<!DOCTYPE html>", "<!DOCTYPE html>", ""]) + f"<html>{head}<body>{body}" + ("</body></html>" if r.random() < 0.9 else "")
 
 
 def labelled(pages: int, seed: int, fold: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
     """Vectors and labels of the blocks of made-up pages."""
     out = []
     for k in range(pages):
-        blocks = cut(Maker(seed * 1_000_003 + k, fold).page())
-        labels = np.array([MARK in b.text for b in blocks], np.float32)
-        for b in blocks:
-            b.text = b.text.replace(MARK, "").strip()
-        kept = [i for i, b in enumerate(blocks) if b.text]
-        out.append((vectors([blocks[i] for i in kept]), labels[kept]))
+        page = Maker(seed * 1_000_003 + k, fold).page()
+        labels = [MARK in b.text for b in cut(page) if b.text.replace(MARK, "").strip()]
+        # what is learned from is the page without marks
+        out.append((vectors(cut(page.replace(MARK, ""))), np.array(labels, np.float32)))
     return out
 
 
