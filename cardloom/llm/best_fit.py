@@ -4,13 +4,13 @@ The plan is made from counts, the documents follow it in Spark:
 
 1. Each document becomes pieces of at most ``LENGTH`` tokens; only their lengths and checksums travel on.  A full piece is a sequence by itself.
 2. The number of pieces of each length (at most ``LENGTH`` numbers, whatever the corpus) goes to the driver.
-3. Linear grouping: pieces longer than the small ones, in descending order, are dealt into groups of equal cardinality, and each counts with
-   the largest length of its group.  With these few sizes, configurations are chosen one after the other: the largest size that is
-   left, filled up as far as possible by a knapsack over the sizes left; a configuration is used as often as the counts allow.  Plans are made for several
-   numbers of groups and bounds of the small ones, and the one with the fewest sequences is taken.
+3. Linear grouping: pieces longer than the small ones, in descending order, are dealt into a few groups of equal cardinality, and each counts with
+   the largest length of its group.  For these few sizes the configurations are optimised together: the linear programme over all configurations, solved by column generation with
+   a knapsack for the next configuration, and its times rounded down.  Each configuration leaves some room to small pieces where there are enough of these.
 4. Actual pieces take the places: the rank of a piece in its group says which copy of which configuration it belongs to.
-5. Small pieces go, by descending length, to the fullest sequence that still takes them, with the room that the actual pieces left.  This runs on counts
-   as well: the number of sequences for each room, the number of pieces for each length.
+5. Small pieces, and those that the rounded times leave over, go by descending length to the fullest sequence that still takes them, with the room that the actual pieces left.  Where
+   small pieces can't fill these rooms, a share of the sequences, the emptiest, is dissolved before and its pieces go the same way by their actual lengths, which regains what rounding up has lost.
+   This runs on counts as well: the number of sequences for each room, the number of pieces for each length.
 
 Ranks are numbered in parts of each length, one for every ``PART`` pieces, so pieces of one length are spread over many tasks.  What is broadcast (plan rows,
 offsets) is bounded by ``LENGTH``, the groups and a row for every ``PART`` pieces.
@@ -37,15 +37,16 @@ from cardloom.llm.scratch import stage
 from cardloom.llm.unit_cache import unit_ids
 
 LENGTH = 2048
-#: Plans that are made: pieces up to the first number are small, and larger ones are dealt into so many groups.
-PLANS = ((256, 256), (512, 1024), (256, 1536), (1024, 1024))
+#: Pieces up to so many tokens are small; larger ones are dealt into so many groups, each of which is tried.
+SMALL, GROUPS = 512, (64, 96, 128)
+#: Room of a sequence that is left to small pieces where there are enough of them: it is filled better than the few tokens that rounding up leaves.
+RESERVE = 512
+#: Turns of the column generation at most, for each size; share of the sequences that are dissolved where small pieces can't fill all rooms.
+TURNS, DISSOLVED = 30, 0.7
 #: Pieces of one length that are numbered together.
 PART = 100_000
 #: Offsets of parts that are broadcast at most, 24 MB; beyond that they are merged.
 MOST_OFFSETS = 1_000_000
-#: Rows of a plan at most: each configuration uses up a group or leaves less of it than the configuration holds, which is
-#: 8 pieces at most where the smallest large one has more than 256 tokens.
-MOST_ROWS = 1536 * 8 * 8
 END = (0).to_bytes(4, "little")
 
 
@@ -96,39 +97,81 @@ def group_sizes(counts: dict[int, int], groups: int) -> tuple[int, list[int], li
     return each, [lengths[int(np.searchsorted(upto, f, "right"))] for f in firsts], [min(each, total - f) for f in firsts]
 
 
-def fullest(sizes: list[int], left: list[int], first: int, length: int) -> dict[int, int]:
-    """{group: pieces} of the configuration that holds one piece of group ``first`` and fills the sequence best."""
-    room = length - sizes[first]
-    mask = (1 << (room + 1)) - 1
-    reached, layers = 1, []  # bit i: a sum of i can be reached
-    for g in range(first, len(sizes)):
-        for _ in range(min(left[g] - (g == first), room // sizes[g])):
-            more = (reached | reached << sizes[g]) & mask
-            if more == reached:
-                break
-            layers.append((g, reached))
-            reached = more
-        if reached >> room & 1:
+class Ranked:
+    """Lengths of pieces by rank, longest first, from their counts."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.lengths = np.array(sorted(counts, reverse=True))
+        self.upto = np.cumsum([counts[x] for x in self.lengths.tolist()])
+
+    def rooms(self, times: int, used: list[tuple[int, int]], length: int) -> dict[int, int]:
+        """Copies by room of a configuration whose copy ``j`` holds the pieces from rank ``first + j * k`` on, ``k`` of them, for each ``(first, k)``: the lengths change at few copies."""
+        turns = [np.array([0])] + [-(-(self.upto - first - i) // k) for first, k in used for i in range(k)]
+        starts = np.unique(np.concatenate(turns))
+        starts = starts[(starts >= 0) & (starts < times)]
+        taken = sum(self.lengths[np.searchsorted(self.upto, first + starts * k + i, "right")] for first, k in used for i in range(k))
+        out: dict[int, int] = defaultdict(int)
+        for room, n in zip((length - taken).tolist(), np.diff(np.append(starts, times)).tolist()):
+            out[room] += n
+        return out
+
+    def between(self, first: int, end: int) -> dict[int, int]:
+        """Pieces by length from rank ``first`` to ``end``."""
+        n = np.diff(np.clip(np.append(0, self.upto), first, end))
+        return {int(x): int(k) for x, k in zip(self.lengths, n) if k}
+
+
+def priciest(sizes: np.ndarray, worth: np.ndarray, length: int) -> tuple[float, np.ndarray]:
+    """Knapsack: the configuration (pieces of each size) that holds most worth, and its worth."""
+    best, added = np.zeros(length + 1), []  # by room; one piece more in each turn
+    while True:
+        new, last = best.copy(), np.full(length + 1, -1)
+        for g, (size, w) in enumerate(zip(sizes, worth)):
+            more = best[: length + 1 - size] + w
+            better = more > new[size:] + 1e-12
+            new[size:][better], last[size:][better] = more[better], g
+        if (last < 0).all():
             break
-    at, used = reached.bit_length() - 1, defaultdict(int, {first: 1})
-    for g, before in reversed(layers):
-        if not before >> at & 1:
-            used[g] += 1
-            at -= sizes[g]
-    return dict(used)
+        best = new
+        added.append(last)
+    used, room = np.zeros(len(sizes)), length
+    for last in reversed(added):
+        if last[room] >= 0:
+            used[last[room]] += 1
+            room -= sizes[last[room]]
+    return float(best[length]), used
 
 
 def configurations(sizes: list[int], counts: list[int], length: int = LENGTH) -> list[tuple[int, dict[int, int]]]:
-    """(times, {group: pieces}) that use up the counts."""
-    left, out = list(counts), []
-    for first in range(len(sizes)):
-        while left[first]:
-            used = fullest(sizes, left, first, length)
-            times = min(left[g] // n for g, n in used.items())
-            for g, n in used.items():
-                left[g] -= times * n
-            out.append((times, used))
-    return out
+    """(times, {group: pieces}) that use up the counts but for a few pieces of each configuration.
+
+    The linear programme of all configurations at once, with the fewest sequences: configurations come in one by one, the one that the prices of the sizes make the most worth (column generation with a
+    knapsack), until none is worth more than the sequence it takes.  There are as many configurations as sizes; the times are rounded down.
+    """
+    if not sizes:
+        return []
+    own, left = np.array(sizes), list(counts)
+    base = np.diag((length // own).astype(float))
+    times = np.array(counts) / base.diagonal()
+    for _ in range(TURNS * len(sizes)):
+        worth, column = priciest(own, np.linalg.solve(base.T, np.ones(len(sizes))), length)
+        if worth <= 1 + 1e-7:
+            break
+        step = np.linalg.solve(base, column)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(step > 1e-9, np.maximum(times, 0) / step, np.inf)
+        out = int(ratio.argmin())
+        times = times - ratio[out] * step
+        times[out], base[:, out] = ratio[out], column
+    plan = []
+    for n, column in sorted(zip(times, base.T), key=lambda x: (-x[0], x[1].tolist())):
+        used = {g: int(k) for g, k in enumerate(column) if k > 0.5}
+        whole = min([int(n + 1e-6), *(left[g] // k for g, k in used.items())])
+        if whole > 0:
+            for g, k in used.items():
+                left[g] -= whole * k
+            plan.append((whole, used))
+    return plan
 
 
 def fill_rooms(rooms: dict[int, int], counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -188,35 +231,67 @@ def counted(rows: DataFrame, by: str) -> dict[int, int]:
     return {int(r[0]): r[1] for r in rows.groupBy(by).agg(F.count(F.lit(1))).collect()}
 
 
-def plan_large(counts: dict[int, int], length: int, plans: tuple[tuple[int, int], ...]) -> tuple[int, int, list[tuple[int, int, int, int, int]]]:
-    """Longest small piece, cardinality of a group and places (group, first rank in it, pieces, first sequence, pieces for each sequence) of the
-    plan that needs the fewest sequences with its small pieces.  It is counted with rooms of the rounded sizes; the actual pieces need no more."""
-    best, bound = None, -(-sum(x * n for x, n in counts.items()) // length)
-    for small, groups in plans:
-        each, sizes, members = group_sizes({x: n for x, n in counts.items() if x > small}, groups)
-        places, taken, sequences, rooms = [], [0] * len(sizes), 0, defaultdict(int)
-        for times, used in configurations(sizes, members, length):
+def reserves(large: int, small: int, length: int) -> list[int]:
+    """Rooms that sequences of large pieces may leave to small ones: none, and steps up to what ``small`` tokens of them can fill, ``RESERVE`` at most."""
+    most, step = RESERVE * length // LENGTH, max(1, RESERVE * length // LENGTH // 8)
+    return [r for r in range(0, most + 1, step) if not r or r * large <= 0.8 * small * (length - r)]
+
+
+def plan_large(counts: dict[int, int], length: int, groups: tuple[int, ...] = GROUPS, small: dict[int, int] | None = None) -> tuple[int, list[tuple[int, int, int, int, int]], int]:
+    """Cardinality of a group, 2 at least, places (group, first rank in it, pieces, first sequence, pieces for each sequence) of the configurations, and the number of sequences that this comes to.
+
+    Each configuration leaves a room for small pieces (``small``, numbers by length), but for pieces that are longer than that allows, which have a sequence each.  Plans are made for several such rooms
+    and numbers of groups, and the one that needs the fewest sequences is taken: the rooms that the actual pieces leave are known from the counts.
+    """
+    small = small or {}
+    tokens = lambda own: sum(x * n for x, n in own.items())
+    line, best = Ranked(counts), None
+    bound = -(-(tokens(counts) + tokens(small)) // length)
+    choices = [(own, r) for own in groups for r in reserves(tokens(counts), tokens(small), length)]
+    for own, reserve in choices:
+        each, sizes, members = group_sizes(counts, max(1, min(own, sum(counts.values()) // 2)))
+        alone = sum(s > length - reserve for s in sizes)  # the first groups
+        plan = [(members[g], {g: 1}) for g in range(alone)]
+        plan += [(times, {alone + g: k for g, k in used.items()}) for times, used in configurations(sizes[alone:], members[alone:], length - reserve)]
+        places, taken, sequences, rooms, loose = [], [0] * len(sizes), 0, defaultdict(int), defaultdict(int, small)
+        for times, used in plan:
+            for room, n in line.rooms(times, [(g * each + taken[g], k) for g, k in used.items()], length).items():
+                rooms[room] += n
             for g, k in used.items():
                 places.append((g, taken[g], times * k, sequences, k))
                 taken[g] += times * k
-            rooms[length - sum(sizes[g] * k for g, k in used.items())] += times
             sequences += times
-        needed = fill_rooms(rooms, {x: n for x, n in counts.items() if x <= small}, length)[1]
+        for g in range(len(sizes)):
+            for x, n in line.between(g * each + taken[g], g * each + members[g]).items():
+                loose[x] += n
+        needed = fill_rooms(rooms, loose, length)[1]
         if best is None or needed < best[0]:
-            best = needed, small, each, places
+            best = needed, each, places
         if needed <= bound:
             break
-    return best[1:]
+    return best[1], best[2], best[0]
+
+
+def least_room(rooms: dict[int, int], small: int) -> int:
+    """Room from which a sequence is dissolved: none where ``small`` tokens of small pieces fill all rooms, else the emptiest ``DISSOLVED`` of the sequences."""
+    if small >= sum(r * n for r, n in rooms.items()):
+        return 1 << 30
+    most, upto = sum(rooms.values()) * DISSOLVED, 0
+    for room in sorted(rooms, reverse=True):
+        upto += rooms[room]
+        if upto > most:
+            return room + 1 if upto > 2 * most else room
+    return 1 << 30
 
 
-def pack(items: DataFrame, length: int = LENGTH, plans: tuple[tuple[int, int], ...] = PLANS) -> DataFrame:
+def pack(items: DataFrame, length: int = LENGTH, groups: tuple[int, ...] = GROUPS, small: int = SMALL) -> DataFrame:
     """``items`` (``doc_id, piece, length`` and more columns) with ``sequence_id`` and ``offset``."""
     spark = items.sparkSession
     counts = counted(items, "length")
-    small, each, places = plan_large({x: n for x, n in counts.items() if x < length}, length, plans)
-    large, minor_counts = {x: n for x, n in counts.items() if small < x < length}, {x: n for x, n in counts.items() if x <= small and x < length}
-    if len(places) > MOST_ROWS:
-        raise AssertionError("the plan is larger than its bound")
+    small = min(small, length - 1)
+    large = {x: n for x, n in counts.items() if small < x < length}
+    minor_counts = {x: n for x, n in counts.items() if x <= small}
+    each, places, _ = plan_large(large, length, groups, minor_counts)
     order = ["doc_id", "piece", "ids_crc32"]
     upto, above = 0, {}
     for x in sorted(large, reverse=True):
@@ -224,19 +299,28 @@ def pack(items: DataFrame, length: int = LENGTH, plans: tuple[tuple[int, int], .
         upto += large[x]
 
     full = items.where(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
-    plan = "g int, low bigint, n bigint, first bigint, each bigint"
     steps = spark.createDataFrame([*above.items()], "length bigint, above bigint")
     ranks = ranked(items.where((F.col("length") > small) & (F.col("length") < length)), "length", order, large)
     own = ranks.join(F.broadcast(steps), "length").withColumn("rank", F.col("rank") + F.col("above"))
     own = own.withColumn("g", F.expr(f"CAST(rank div {each} AS int)")).withColumn("q", F.pmod("rank", F.lit(each)))
-    spots = F.broadcast(spark.createDataFrame(places, plan).withColumnRenamed("g", "pg"))
-    placed = own.join(spots, (F.col("g") == F.col("pg")) & (F.col("q") >= F.col("low")) & (F.col("q") < F.col("low") + F.col("n")))
+    # as many configurations as groups, of LENGTH / SMALL sizes at most
+    spots = F.broadcast(spark.createDataFrame(places, "pg int, low bigint, n bigint, first bigint, each bigint"))
+    placed = own.join(spots, (F.col("g") == F.col("pg")) & (F.col("q") >= F.col("low")) & (F.col("q") < F.col("low") + F.col("n")), "left")
     placed = placed.withColumn("sequence_id", F.expr("first + (q - low) div each"))
+    # pieces beyond the whole configurations have no sequence yet
     placed = stage(placed.select(*items.columns, "sequence_id"), "placed")
 
-    rooms = stage(placed.groupBy("sequence_id").agg((F.lit(length) - F.sum("length")).alias("room")), "rooms")
+    room = (F.lit(length) - F.sum("length")).alias("room")
+    rooms = stage(placed.where("sequence_id IS NOT NULL").groupBy("sequence_id").agg(room), "rooms")
     with_room = counted(rooms, "room")
-    fill, total = fill_rooms(with_room, minor_counts, length)
+    least = least_room(with_room, sum(x * n for x, n in minor_counts.items()))
+    rooms, with_room = rooms.where(F.col("room") < least), {r: n for r, n in with_room.items() if r < least}
+    kept = rooms.select("sequence_id", F.lit(True).alias("stays")).hint("merge")
+    told = stage(placed.join(kept, "sequence_id", "left"), "told")
+    placed = told.where("stays").select(*items.columns, "sequence_id")
+    loose = items.where(F.col("length") <= small).unionByName(told.where("stays IS NULL").select(*items.columns))
+    loose_counts = minor_counts | counted(told.where("stays IS NULL"), "length")
+    fill, total = fill_rooms(with_room, loose_counts, length)
     upto, below = 0, {}
     for x in sorted(with_room):
         below[x] = upto
@@ -245,12 +329,14 @@ def pack(items: DataFrame, length: int = LENGTH, plans: tuple[tuple[int, int], .
     numbers = numbers.join(F.broadcast(spark.createDataFrame([*below.items()], "room bigint, below bigint")), "room")
     numbers = numbers.select((F.col("rank") + F.col("below")).alias("number"), "sequence_id")
 
-    minor = ranked(items.where((F.col("length") <= small) & (F.col("length") < length)), "length", order, minor_counts)
+    minor = ranked(loose, "length", order, loose_counts)
     # a row for each length and room at most
     spots = F.broadcast(spark.createDataFrame(fill, "size bigint, low bigint, n bigint, first bigint, each bigint"))
     minor = minor.join(spots, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
     minor = minor.withColumn("number", F.expr("first + (rank - low) div each")).select(*items.columns, "number")
-    minor = minor.join(numbers, "number", "left").withColumn("sequence_id", F.coalesce("sequence_id", "number"))  # new sequences follow the others
+    # sequences of their own follow those of the configurations
+    after = max((first + n // k for _, _, n, first, k in places), default=0)
+    minor = minor.join(numbers, "number", "left").withColumn("sequence_id", F.coalesce("sequence_id", F.col("number") + after))
 
     everything = placed.unionByName(minor.select(*placed.columns))
     line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order).rowsBetween(Window.unboundedPreceding, 0)

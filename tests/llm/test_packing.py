@@ -53,7 +53,7 @@ def test_pack_places_everything(spark):
         lengths = [rng.choice([rng.randint(1, 64), rng.randint(20, 40), 33, 5]) for _ in range(n)]
         rows = [(i // 3, 0, x, 5) for i, x in enumerate(lengths)]
         items = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
-        out = best_fit.pack(items, length, ((small, 12), (small, 64))).collect()
+        out = best_fit.pack(items, length, (64,), small).collect()
         assert sorted((r.doc_id, r.length) for r in out) == sorted((a, x) for a, _, x, _ in rows)
         used = check_places(out, length)
         plain = len(token_matrix.best_fit_decreasing(np.array(lengths, int), length))
@@ -68,6 +68,54 @@ def test_as_few_sequences_as_best_fit_decreasing(spark, monkeypatch):
     assert check_places(rows, best_fit.LENGTH) <= plain
 
 
+def worth_of_all(sizes, length):
+    """Sums of all configurations of three sizes."""
+    a, b, c = sizes
+    return [(i, j, k) for i in range(length // a + 1) for j in range(length // b + 1) for k in range(length // c + 1) if i * a + j * b + k * c <= length]
+
+
+def test_knapsack_finds_the_most_worth():
+    rng = random.Random(8)
+    for _ in range(30):
+        sizes, worth = sorted(rng.sample(range(5, 40), 3), reverse=True), [rng.random() for _ in range(3)]
+        best, used = best_fit.priciest(np.array(sizes), np.array(worth), 60)
+        want = max(sum(n * w for n, w in zip(c, worth)) for c in worth_of_all(sizes, 60))
+        assert abs(best - want) < 1e-9 and abs(used @ np.array(worth) - want) < 1e-9 and used @ np.array(sizes) <= 60
+
+
+def test_configurations_are_optimised_together():
+    # one of each fills a sequence, which no size by itself does
+    plan = best_fit.configurations([900, 700, 448], [1000, 1000, 1000], 2048)
+    assert plan == [(1000, {0: 1, 1: 1, 2: 1})]
+    rng = random.Random(9)
+    for _ in range(5):
+        sizes = sorted((rng.randint(513, 2047) for _ in range(20)), reverse=True)
+        counts = [rng.randint(50, 100) for _ in sizes]
+        plan = best_fit.configurations(sizes, counts, 2048)
+        used = [0] * 20
+        for times, own in plan:
+            assert sum(sizes[g] * k for g, k in own.items()) <= 2048
+            for g, k in own.items():
+                used[g] += times * k
+        assert all(u <= n for u, n in zip(used, counts)) and len(plan) <= 20
+        # what is left over is less than one more turn of each configuration
+        assert sum(n - u for u, n in zip(used, counts)) <= 3 * 20
+        assert sum(times for times, _ in plan) <= len(token_matrix.best_fit_decreasing(np.repeat(sizes, counts), 2048))
+
+
+def test_groups_are_few_and_hold_many(spark):
+    """Linear grouping on the lengths of a table: cardinality far above 1, sequences with two or more large pieces."""
+    rng = random.Random(10)
+    lengths = [rng.randint(1, 2047) for _ in range(6000)]
+    counts = {x: lengths.count(x) for x in set(lengths) if x > best_fit.SMALL}
+    each, places, _ = best_fit.plan_large(counts, 2048, small={x: lengths.count(x) for x in set(lengths) if x <= best_fit.SMALL})
+    assert len({g for g, *_ in places}) <= best_fit.GROUPS[-1] < len(counts) / 10 and each > 30
+    held = defaultdict(int)
+    for _, _, n, first, k in places:
+        held[first] += k
+    assert sum(k >= 2 for k in held.values()) > 10
+
+
 def test_pieces_and_documents(spark):
     long = "word " * 3000
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (2, "a b", 3), (None, "a b", 4), (4, long, 5)], "doc_id long, text string, length int")
