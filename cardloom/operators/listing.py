@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import strip
@@ -50,10 +50,23 @@ def logger(root: str, stamp: str, name: str = "cardloom") -> logging.Logger:
     return out
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``path, line_no, value`` of a table read as text: the number of each line in its file, from 0, however the file was split.
+
+    A split's lines come in order; where it begins in the file is known, and what the splits before it hold is a prefix sum over a few numbers.  No task holds more than a split.
+    """
+    own = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("seen"))
+    inside = own.withColumn("k", F.row_number().over(Window.partitionBy("path", "at").orderBy("seen")) - 1)
+    splits = own.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"))
+    before = splits.select("path", "at", (F.sum("n").over(Window.partitionBy("path").orderBy("at")) - F.col("n")).alias("before"))
+    return inside.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("k")).alias("line_no"), "value")
+
+
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """``file, line, tag`` of all logs below ``root/logs``, newest file first by name."""
-    rows = spark.read.option("pathGlobFilter", "*.log").text(f"{root}/logs").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return rows.select("file", F.col("value").alias("line"), log_tag(F.col("value")).alias("tag")).orderBy(F.desc("file"))
+    """``file, line_no, line, tag`` of all logs below ``root/logs``, newest file first by name, lines in their order."""
+    rows = numbered_lines(spark.read.option("pathGlobFilter", "*.log").text(f"{root}/logs"))
+    named = rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), "line_no", F.col("value").alias("line"), log_tag(F.col("value")).alias("tag"))
+    return named.orderBy(F.desc("file"), "line_no")
 
 
 def latest(names: DataFrame, pattern: str = r"^laporan_.*\.html$") -> DataFrame:

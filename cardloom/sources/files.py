@@ -8,6 +8,7 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +57,21 @@ def recognise(images: DataFrame, read: Callable[[bytes, int], str], modes: tuple
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """True values, all strings and trimmed; of rows with one ``nama_file`` the last counts, blank ones go.
+    """True values, all strings and trimmed; of rows with one ``nama_file`` the last counts, blank ones go; of several files the last by name.
 
-    Raises ``ValueError`` without a ``nama_file`` column.
+    Raises ``ValueError`` without a ``nama_file`` column, ``FileNotFoundError`` where there is no file.  A file isn't split, as values may hold line feeds.
     """
-    rows = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
+    try:
+        rows = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from None
+        raise
     names = {c: c.lstrip("﻿").strip().lower() for c in rows.columns}
     names = {c: {"kepala_keluarga": "nama_kepala", "rt_rw": "rtrw"}.get(n, n) for c, n in names.items()}
     if "nama_file" not in names.values():
         raise ValueError("the table of true values has no column nama_file")
-    rows = rows.select(*[strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("__row"))
+    rows = rows.select(*[strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(n) for c, n in names.items()], F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("__row"))
     others = [n for n in names.values() if n != "nama_file"]
     last = rows.where("nama_file <> ''").groupBy("nama_file").agg(F.max_by(F.struct(*others), "__row").alias("v"))
     return last.select("nama_file", "v.*")
