@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 import time
@@ -15,7 +16,7 @@ from cardloom.functions.fields import classify
 from cardloom.functions.text import clean_text, quality_score
 from cardloom.operators import evaluate, listing, naming, records
 from cardloom.plans import demo
-from cardloom.sources import files, sinks
+from cardloom.sources import files, images, sinks
 
 #: Fields that are shown of one document, by kind.
 SHOWN = {"kk": ("nomor_kk", "nama_kepala", "desa_kelurahan", "kecamatan", "kabupaten_kota", "provinsi", "rtrw", "alamat"), "sim": ("no_sim", "nama", "tempat_lahir", "tanggal_lahir", "jenis_kelamin", "alamat")}
@@ -26,7 +27,8 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("cardloom", description="records from text variants of identity cards")
     parts = out.add_subparsers(dest="step", required=True)
     run = parts.add_parser("run", help="records, plan of moves, figures and reports of a batch")
-    run.add_argument("texts", help="Parquet of doc_id, path, label, psm, text")
+    run.add_argument("texts", help="Parquet of doc_id, path, label, psm, text; with --ocr a folder of images, the batch's own")
+    run.add_argument("--ocr", help="module:function that reads a grey image in a mode: (array, mode) -> text")
     run.add_argument("root", help="folder of the batch, which all executors see")
     run.add_argument("--config", help="settings as JSON or YAML")
     for name in ("export", "file-template", "folder-template", "separator", "ground-truth"):
@@ -106,6 +108,12 @@ def explain(texts: DataFrame) -> None:
         print(listing.box(f"{r.doc_id} {r.jenis_dokumen.upper()} {r.status}", [[(f, v if len(v) <= 80 else v[:80] + "...") for f, v in shown], [("confidence", f"{r.mean_confidence}%")]], 80))
 
 
+def hook(name: str):
+    """The function that ``module:function`` names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def template_help() -> str:
     return "variables: " + " ".join(f"{{{v}}}" for v in lx.TEMPLATE_VARIABLES) + '\nexample: --file-template "{nik}_{nama}" --folder-template "{JENIS}/{kabupaten}/{kecamatan}"'
 
@@ -132,7 +140,8 @@ def main(argv: list[str] | None = None) -> int:
         explain(spark.read.parquet(args.texts).where(F.col("doc_id") == args.doc_id))
     else:
         log = listing.logger(args.root, args.stamp)
-        done = batch(spark.read.parquet(args.texts), args.root.rstrip("/"), own, args.stamp)
+        texts = images.texts_of_folder(spark, args.texts, hook(args.ocr)) if args.ocr else spark.read.parquet(args.texts)
+        done = batch(texts, args.root.rstrip("/"), own, args.stamp)
         report(done, args.root.rstrip("/"), own, args.stamp)
         log.info("records: %s/metadata/records_%s", args.root, args.stamp)
     return 0

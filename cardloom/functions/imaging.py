@@ -167,9 +167,9 @@ def variants(image: np.ndarray) -> list[tuple[str, np.ndarray]]:
 
 
 def variants_again(image: np.ndarray) -> list[tuple[str, np.ndarray]]:
-    """Variants of the second pass, for images whose best score is low."""
+    """Variants of the second pass, for images whose best score is low; those with local contrast are left to the OCR hook."""
     out = []
     for tag, (share, target) in SHADOW_AGAIN.items():
         lit = without_shadow(image, share, target)
-        out += [(f"sh_{tag}", lit), (f"sh_{tag}_otsu", binarised(lit)), (f"sh_{tag}_eq", equalised(lit))]
+        out += [(f"sh_{tag}_plain", lit), (f"sh_{tag}_otsu", binarised(lit)), (f"sh_{tag}_eq", equalised(lit))]
     return out

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import imaging
+from cardloom.functions.text import quality_score
+from cardloom.operators.lineage import kept
 from cardloom.sources.files import only_images
 
 VARIANT = "path string, label string, height int, width int, data binary"
@@ -63,3 +65,22 @@ def recognise(rows: DataFrame, read: Callable[[np.ndarray, int], str], modes: tu
             yield pd.DataFrame(out, columns=["path", "label", "psm", "text"])
 
     return rows.mapInPandas(run, "path string, label string, psm int, text string")
+
+
+def texts_of_folder(spark: SparkSession, root: str, read: Callable[[np.ndarray, int], str], modes: tuple[int, ...] = (6, 11, 3), least: int = 50) -> DataFrame:
+    """``doc_id, path, label, psm, text`` of the images below ``root``; both names are the path below it.
+
+    All variants are read first; images whose best score is below ``least`` are decoded once more and read in the variants of the second pass, whose texts come on top.  An image
+    without any text has one row, with the empty text.  Readings are kept before they are judged, so each image is read once in each pass.
+    """
+    top = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
+    named = lambda rows: rows.withColumn("path", F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), top, -1)).select(F.col("path").alias("doc_id"), "path", "label", "psm", "text")
+    images = decode(spark, root)
+    first = kept(recognise(variants(images), read, modes))
+    scored = first.withColumn("score", quality_score(F.coalesce("text", F.lit("")))).groupBy("path").agg(F.max("score").alias("score"))
+    all_ = images.select("path").join(scored, "path", "left")
+    low = all_.where(F.coalesce("score", F.lit(0)) < least).select("path")
+    second = kept(recognise(variants(images.join(low, "path", "left_semi"), imaging.variants_again), read, modes))
+    none = images.select("path").join(first.unionByName(second).select("path").distinct(), "path", "left_anti")
+    empty = none.select("path", F.lit("raw_gray").alias("label"), F.lit(modes[0]).alias("psm"), F.lit("").alias("text"))
+    return named(first.unionByName(second).unionByName(empty))
