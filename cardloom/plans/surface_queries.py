@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import lexicon as lx
 from cardloom.functions import text as tx
-from cardloom.operators import evaluate, lexicon_join, listing, orientation, records, selection
+from cardloom.operators import evaluate, lexicon_join, listing, naming, orientation, records, selection
 from cardloom.plans import cards as plan
 from cardloom.plans import sql_surface
 from cardloom.plans.queries import _HAND, _MS, _STEM, CARDS, CLASSIFY_SQL, FULL, GENDER_SQL, NIK_SQL, ORACLES, _NAME_SQL, clean_name_sql, query, strip_sql
@@ -185,3 +187,64 @@ def _unicode_words(sql: str) -> str:
 
 # the score's SQL over documents in place of cards
 ORACLES["quality_score_docs"] = _unicode_words(ORACLES["quality_score_cards"][len(CARDS) :].replace("FROM cards)", "FROM documents)").replace("doc_id, variant,", "doc_id,")).replace(", p AS (", "WITH p AS (", 1)
+
+# -- templates -----------------------------------------------------------------
+
+_STAMP, _SEP = "20240131_120000", "_"
+_TEMPLATE = "{JENIS}/{jenis}_{NAMA}--{nik}/{nik6}{tgl}_{tgl_compact}/ {tempat}!{jk}_{tanggal}_{timestamp}/{nokk}{nokk6}/{kepala}-{KEPALA}/../{desa}/{kecamatan}_{kabupaten}_{provinsi}/{rtrw}{nama}"
+
+
+def _slug_of(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({strip_sql(x)}), '[^a-z0-9]+', '_', 'g'), '^[_\\-]+|[_\\-]+$', '', 'g')"
+
+
+def _variables_sql() -> dict[str, str]:
+    """Each variable of a template over the columns of a record, with ``number`` and ``own_nik`` beside them."""
+    kk = lambda x: f"CASE WHEN jenis_dokumen = 'kk' THEN {x} ELSE '' END"
+    or_else = lambda x, y: f"coalesce(nullif({x}, ''), '{y}')"
+    six = lambda x: f"rpad(left({x}, 6), 6, '0')"
+    name, head = or_else(_slug_of("nama"), "unknown"), kk(_slug_of("nama_kepala"))
+    return {
+        "jenis": "lower(jenis_dokumen)", "JENIS": "upper(jenis_dokumen)", "nama": name, "NAMA": f"upper({name})", "nik": or_else("own_nik", "nonik"), "nik6": six("own_nik"),
+        "tgl": or_else("replace(tanggal_lahir, '/', '-')", "notgl"), "tgl_compact": or_else("regexp_replace(tanggal_lahir, '[^0-9]', '', 'g')", "notgl"), "tempat": or_else(_slug_of("tempat_lahir"), "notempat"),
+        "jk": "CASE upper(jenis_kelamin) WHEN 'LAKI-LAKI' THEN 'L' WHEN 'PEREMPUAN' THEN 'P' ELSE 'X' END", "tanggal": f"'{_STAMP[:8]}'", "timestamp": f"'{_STAMP}'",
+        "nokk": "number", "nokk6": f"CASE WHEN number = '' THEN '' ELSE {six('number')} END", "kepala": head, "KEPALA": f"upper({head})", "desa": kk(_slug_of("desa_kelurahan")),
+        "kecamatan": kk(_slug_of("kecamatan")), "kabupaten": kk(_slug_of("kabupaten_kota")), "provinsi": kk(_slug_of("provinsi")), "rtrw": kk("replace(rtrw, '/', '_')"),
+    }
+
+
+def _column_of(variable: str) -> str:
+    """Upper-case variables have columns of their own: names of columns don't tell case apart."""
+    return "v_" + (variable.lower() + "_upper" if variable.isupper() else variable)
+
+
+def _template_sql() -> str:
+    pieces = re.split(r"\{(\w+)\}", _TEMPLATE)
+    whole = " || ".join(_column_of(x) if i % 2 else f"'{x}'" for i, x in enumerate(pieces))
+    safe = r"regexp_replace(regexp_replace(regexp_replace(s, '[^a-zA-Z0-9_\-\.]', '', 'g'), '[_\-]{2,}', '_', 'g'), '^[_\-]+|[_\-]+$', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({whole}, '/'), lambda s: {safe}), lambda s: s <> ''), '/')"
+
+
+@query(f"""WITH records AS ({plan.RECORDS}), n AS (SELECT *, CASE WHEN jenis_dokumen = 'kk' THEN regexp_replace(nomor_kk, '[^0-9]', '', 'g') ELSE '' END AS number FROM records),
+k AS (SELECT *, coalesce(nullif(number, ''), regexp_replace(nik, '[^0-9]', '', 'g')) AS own_nik FROM n), v AS (SELECT doc_id, {', '.join(f'{sql} AS {_column_of(name)}' for name, sql in _variables_sql().items())} FROM k)
+SELECT *, {_template_sql()} AS path FROM v""")
+def template_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All variables of a template, and a path that uses them all."""
+    context = naming.template_context(_SEP, _STAMP)
+    path = naming.apply_template(_TEMPLATE, context, _SEP)
+    return plan.records(spark, sf_dir).select("doc_id", *[context[v].alias(_column_of(v)) for v in lx.TEMPLATE_VARIABLES], path.alias("path"))
+
+
+_WANTED = "SELECT c_custkey AS doc_id, 'd' || CAST(c_nationkey % 3 AS STRING) AS folder, 'f' || CAST(c_custkey % 40 AS STRING) || '.jpg' AS file FROM customer"
+_THERE = "SELECT 'd' || CAST(c_nationkey % 3 AS STRING) AS folder, 'f' || CAST(c_custkey % 40 AS STRING) || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '_' || CAST(c_custkey % 17 AS STRING) END || '.jpg' AS file FROM customer WHERE c_custkey % 7 = 0"
+
+
+@query(rf"""WITH w AS ({_WANTED}), t AS ({_THERE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, file ORDER BY doc_id) - CASE WHEN (folder, file) IN (SELECT (folder, file) FROM t) THEN 0 ELSE 1 END AS late FROM w),
+free AS (SELECT folder, file, n, row_number() OVER (PARTITION BY folder, file ORDER BY n) AS k FROM (SELECT DISTINCT folder, file FROM w), (SELECT unnest(range(1, (SELECT max(late) FROM r) + 20)) AS n)
+  WHERE (folder, replace(file, '.jpg', '_' || n || '.jpg')) NOT IN (SELECT (folder, file) FROM t))
+SELECT doc_id, r.folder || '/' || CASE WHEN late = 0 THEN r.file ELSE replace(r.file, '.jpg', '_' || n || '.jpg') END AS path FROM r LEFT JOIN free ON r.folder = free.folder AND r.file = free.file AND late = k""")
+def suffixes_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that rows share, and that files have already, with and without numbers."""
+    wanted, existing = (plan.run_sql(spark, sf_dir, sql) for sql in (_WANTED, _THERE))
+    return naming.suffix_duplicates(wanted, "doc_id", existing=existing).select("doc_id", "path")
