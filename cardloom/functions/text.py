@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from cardloom.functions import lexicon as lx
 
 
+#: All white space that Unicode knows.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def words(x: Column) -> Column:
@@ -34,9 +38,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def filled(value: Column) -> Column:
+    """The value, computed once; null if it is empty."""
+    return F.get(F.filter(F.array(value), lambda x: x != ""), 0)
+
+
 def first_filled(values: Column) -> Column:
     """First element that is neither null nor empty, or the empty string."""
-    return first(F.filter(values, lambda x: F.coalesce(x, F.lit("")) != ""))
+    return first(F.filter(values, lambda x: x != ""))
+
+
+def first_value(rows: Column, value: Callable[[Column], Column]) -> Column:
+    """First ``value`` of a row that is neither null nor empty, or the empty string; rows behind it are not read."""
+    return F.aggregate(rows, F.lit(""), lambda s, x: F.when(s != "", s).otherwise(F.coalesce(value(x), F.lit(""))))
 
 
 def most_frequent(values: Column) -> Column:
@@ -56,7 +70,7 @@ def with_next(rows: Column) -> Column:
 
 def first_of(*candidates: Column) -> Column:
     """First candidate that is neither null nor empty, else the empty string."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit(""))
+    return F.coalesce(*map(filled, candidates), F.lit(""))
 
 
 def digits(x: Column, table: tuple[str, str] | None = None) -> Column:
@@ -74,10 +88,21 @@ def literal_array(values) -> Column:
     return F.split(F.lit(" ".join(values)), " ")
 
 
+def one_of(word: Column, values) -> Column:
+    """Is the word among words that have neither blanks nor commas?"""
+    return F.find_in_set(word, F.lit(",".join(values))) > 0
+
+
 def clean_text(x: Column) -> Column:
     """ASCII, line feeds, tabs and accented Latin letters; other characters become blanks, which are squeezed."""
-    kept = F.regexp_replace(x, "[^\\x20-\\x7E\\n\\t\\u00C0-\\u024F]", " ")
-    return strip(F.regexp_replace(F.regexp_replace(kept, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    # of ASCII only control characters go, and one class is tried faster than five ranges
+    other = F.regexp_replace(x, "[^\\x20-\\x7E\\n\\t\\u00C0-\\u024F]", " ")
+    kept = F.when(x.rlike("[^\\x00-\\x7F]"), other).otherwise(F.regexp_replace(x, "\\p{Cntrl}(?<![\n\t])", " "))
+    # most texts have nothing to squeeze
+    has = lambda y, part: F.contains(y, F.lit(part))
+    blanks = lambda y: F.when(has(y, "  ") | has(y, "\t"), F.regexp_replace(y, "[ \t]+", " ")).otherwise(y)
+    feeds = lambda y: F.when(has(y, "\n\n\n"), F.regexp_replace(y, "\n{3,}", "\n\n")).otherwise(y)
+    return strip(let(let(kept, blanks), feeds))
 
 
 def quality_score(x: Column) -> Column:
@@ -86,17 +111,18 @@ def quality_score(x: Column) -> Column:
     name = r"^[A-Z][A-Z\s]{3,35}$"
 
     def scored(p):
-        lower, trimmed, tokens = p["lower"], p["trimmed"], p["tokens"]
+        lower, trimmed = p["lower"], p["trimmed"]
         found = lambda values: F.size(F.filter(literal_array(values), lambda v: F.contains(lower, v)))
-        numbers = 6 * count(r"\d{2}[-/]\d{2}[-/]\d{4}") + 6 * count(r"(?U)\b\d{14,16}\b") + 3 * count(r"(?U)\b\d{10,13}\b")
-        base = F.least(count("[A-Za-z]{4,}"), F.lit(60)) + 8 * found(lx.KEYWORDS) + numbers
-        names = F.size(F.filter(trimmed, lambda y: (F.length(y) >= 5) & y.rlike(name) & F.size(words(y)).between(2, 5)))
+        numbers = 6 * count(r"\d{2}[-/]\d{2}[-/]\d{4}") + 6 * count(r"(?U)(?=\d)\b\d{14,16}\b") + 3 * count(r"(?U)(?=\d)\b\d{10,13}\b")
+        base = F.least(count(r"\p{Alpha}{4,}"), F.lit(60)) + 8 * found(lx.KEYWORDS) + numbers
+        names = F.size(F.filter(trimmed, lambda y: (F.length(y) >= 5) & y.rlike(name) & let(F.size(words(y)), lambda n: n.between(2, 5))))
         numbered = F.size(F.filter(trimmed, lambda y: y.rlike(r"^\d+\.\s+[A-Z][A-Z\s]{3,35}$")))
         extra = 15 * names + 12 * numbered + 10 * count(r"\d{1,2}[-/.]\d{1,2}[-/.]\d{4}") + 10 * found(lx.SCORE_CITIES)
         filled = F.size(F.filter(trimmed, lambda y: y != ""))
-        noisy = F.size(F.filter(trimmed, lambda y: (y != "") & ~y.rlike("[A-Za-z]{3,}")))
-        short = F.size(F.filter(tokens, lambda t: F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) < 3))
-        excess = F.coalesce(F.try_divide(short.cast("double"), F.size(tokens)) - 0.5, F.lit(0.0))
+        noisy = F.size(F.filter(trimmed, lambda y: (y != "") & ~y.rlike(r"\p{Alpha}{3,}")))
+        # tokens with three letters or digits are counted where they stand; the others are short
+        tokens, long_ = count(r"(?U)\S+"), count(r"(?U)(?<!\S)[^\sA-Za-z0-9]*+[A-Za-z0-9](?:[^\sA-Za-z0-9]*+[A-Za-z0-9]){2}\S*+")
+        excess = let(tokens, lambda n: F.coalesce(F.try_divide((n - long_).cast("double"), n) - 0.5, F.lit(0.0)))
 
         def total(q):
             noise = (q["base"] * (noisy / F.greatest(F.lit(1), filled)) * F.lit(0.9)).cast("int")
@@ -105,7 +131,7 @@ def quality_score(x: Column) -> Column:
 
         return let(F.struct(base.alias("base"), extra.alias("extra")), total)
 
-    parts = F.struct(F.lower(x).alias("lower"), F.transform(lines(x), strip).alias("trimmed"), words(x).alias("tokens"))
+    parts = F.struct(F.lower(x).alias("lower"), F.transform(lines(x), strip).alias("trimmed"))
     return let(parts, scored)
 
 
@@ -122,32 +148,42 @@ def normalize_for_compare(x: Column) -> Column:
 
 def normalize_date(x: Column) -> Column:
     """``DD-MM-YYYY`` with padded day and month; other shapes stay as they are."""
-    parts = F.split(F.regexp_replace(strip(x), r"[\s/]", "-"), "-", -1)
     pad = lambda y: F.when(F.length(y) < 2, F.lpad(y, 2, "0")).otherwise(y)
-    return F.when(F.size(parts) == 3, F.concat_ws("-", pad(F.get(parts, 0)), pad(F.get(parts, 1)), F.get(parts, 2))).otherwise(x)
+
+    def joined(own):
+        parts = F.split(F.regexp_replace(strip(own), r"[\s/]", "-"), "-", -1)
+        return let(parts, lambda p: F.when(F.size(p) == 3, F.concat_ws("-", pad(F.get(p, 0)), pad(F.get(p, 1)), F.get(p, 2))).otherwise(own))
+
+    return let(x, joined)
 
 
 def clean_name(x: Column) -> Column:
     """Slug of at most five words that may belong to a name."""
-    text = strip(F.regexp_replace(F.regexp_replace(x, r"[^A-Za-z\s]", " "), r"\s+", " "))
-    stop = literal_array(lx.NAME_STOPWORDS)
-    kept = F.filter(F.split(F.lower(text), " ", -1), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
-    return F.when(F.length(text) < 3, "").otherwise(F.array_join(F.slice(kept, 1, 5), "_"))
+    # what stands between ASCII letters becomes one blank
+    text = F.btrim(F.regexp_replace(x, r"\P{Alpha}+", " "))
+    kept = lambda own: F.filter(F.split(F.lower(own), " ", -1), lambda w: (F.length(w) >= 2) & ~one_of(w, lx.NAME_STOPWORDS))
+    return let(text, lambda own: F.when(F.length(own) < 3, "").otherwise(F.array_join(F.slice(kept(own), 1, 5), "_")))
 
 
 def is_plausible_name(slug: Column) -> Column:
-    parts = F.split(slug, "_", -1)
-    stop = literal_array(lx.NAME_STOPWORDS)
-    own = F.size(F.filter(parts, lambda w: ~F.array_contains(stop, w)))
-    plain = F.replace(slug, F.lit("_"), F.lit(""))
-    vowels = F.coalesce(F.try_divide(F.regexp_count(plain, F.lit("(?i)[aeiou]")).cast("double"), F.length(plain)), F.lit(1.0))
-    return (
-        F.size(parts).between(1, 4)
-        & (F.length(slug) >= 5)
-        & (own >= F.when(F.size(parts) > 2, 2).otherwise(1))
-        & F.forall(parts, lambda w: F.length(w) >= 3)
-        & (vowels >= 0.20)
-    )
+
+    def judge(own):
+        plain = F.replace(own, F.lit("_"), F.lit(""))
+        vowels = let(plain, lambda p: F.coalesce(F.try_divide(F.regexp_count(p, F.lit("(?i)[aeiou]")).cast("double"), F.length(p)), F.lit(1.0)))
+
+        def shaped(parts):
+            free = F.size(F.filter(parts, lambda w: ~one_of(w, lx.NAME_STOPWORDS)))
+            few = F.size(parts).between(1, 4) & F.forall(parts, lambda w: F.length(w) >= 3)
+            return few & (free >= F.when(F.size(parts) > 2, 2).otherwise(1))
+
+        return (F.length(own) >= 5) & let(F.split(own, "_", -1), shaped) & (vowels >= 0.20)
+
+    return let(slug, judge)
+
+
+def plausible(slug: Column) -> Column:
+    """The slug if it reads as a name, else the empty string."""
+    return let(slug, lambda own: F.when(is_plausible_name(own), own).otherwise(""))
 
 
 def normalize_city(x: Column) -> Column:
@@ -155,13 +191,20 @@ def normalize_city(x: Column) -> Column:
 
     Tried in turn: the whole, a city inside it, the rest after one to four leading letters, and endings of four to seven letters.
     """
-    low = F.lower(strip(x))
     cities = literal_array(lx.CITIES)
-    inside = F.get(F.filter(cities, lambda c: F.contains(low, c)), 0)
 
-    def ending(n):
-        return F.get(F.filter(cities, lambda c: (F.length(low) >= n) & F.endswith(c, F.right(low, F.lit(n)))), 0)
+    def city(low):
+        inside = F.when(low.rlike("|".join(lx.CITIES)), F.get(F.filter(cities, lambda c: F.contains(low, c)), 0))
+
+        def ending(n):
+            # the first city that has the reading's last letters as its own last ones
+            own = [c for c in lx.CITIES if len(c) >= n]
+            at = F.array_position(literal_array([c[-n:] for c in own]), F.right(low, F.lit(n)))
+            return F.when(F.length(low) >= n, F.get(literal_array(own), at.cast("int") - 1))
+
+        return F.coalesce(F.when(one_of(low, lx.CITIES), low), inside, *map(ending, range(4, 8)))
+
+    def named(own):
+        return let(F.lower(strip(own)), lambda low: F.when(low == "", own).otherwise(F.coalesce(city(low), own)))
 
-    ends = [ending(n) for n in range(4, 8)]
-    found = F.coalesce(F.when(F.array_contains(cities, low), low), inside, *ends)
-    return F.upper(F.when(low == "", x).otherwise(F.coalesce(found, x)))
+    return F.upper(let(x, named))

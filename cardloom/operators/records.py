@@ -15,7 +15,7 @@ from cardloom.functions import family
 from cardloom.functions import fields as fx
 from cardloom.functions import lexicon as lx
 from cardloom.functions import names as nx
-from cardloom.functions.text import clean_name, clean_text, first_of, quality_score, strip
+from cardloom.functions.text import clean_name, clean_text, first_of, let, quality_score, strip
 from cardloom.operators import evaluate, vote
 
 #: Fields that are settled by a plain vote, and how each is read: on family cards, and on others.
@@ -60,9 +60,9 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     found = [one(f, F.when(kk, read(text))) for f, read in FAMILY.items()]
     found += [one(f, F.when(~kk, read(text))) for f, read in OTHERS.items() if f != "tempat_lahir"]
-    place = F.when(~kk, fx.birth_place(text))
+    place = F.when(~kk, let(fx.birth_place(text), lambda p: F.when(F.length(p) > 2, p)))
     found += [
-        one("tempat_lahir", F.when(F.length(place) > 2, place)),
+        one("tempat_lahir", place),
         one("no_sim", F.when(sim, fx.licence_number(text))),
         one("nama", F.when(~kk, nx.plausible(fx.name_from_label(text)))),
         one("nama", nx.unlabelled_name(text, kind), order * 2 + 1),
