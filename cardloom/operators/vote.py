@@ -46,12 +46,14 @@ def rank_variants(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def confidence(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``key, field, confidence``: share in percent of a key's variants that agree on the most frequent value of a field."""
-    total = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    long = rows.unpivot([key], fields, "field", "value").withColumn("value", strip(F.lower("value")))
-    top = long.where("value <> ''").groupBy(key, "field", "value").count().groupBy(key, "field").agg(F.max("count").alias("top"))
-    every = total.select(key, "total", F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    share = F.bround(F.coalesce("top", F.lit(0)) / F.col("total") * 100, 1)
-    return every.join(top, [key, "field"], "left").select(key, "field", share.alias("confidence"))
+    # one shuffle, of a row for each variant; all counts keep its partitioning
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = rows.select(key, *fields).repartition(parts, key).unpivot([key], fields, "field", "value").withColumn("value", strip(F.lower("value")))
+    counts = long.groupBy(key, "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    # rows without a key agree with none
+    agree = F.max(F.when((F.col("value") != "") & F.col(key).isNotNull(), F.col("n")))
+    share = F.bround(F.coalesce(agree, F.lit(0)) / F.sum("n") * 100, 1)
+    return counts.groupBy(key, "field").agg(share.alias("confidence"))
 
 
 def pick_orientation(rows: DataFrame, key: str) -> DataFrame:
