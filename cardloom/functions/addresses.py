@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cardloom.functions.names import filled_lines
-from cardloom.functions.text import first, strip, with_next
+from cardloom.functions.text import first_of, let, strip, with_next
 
 # What tells an address, what ends one on a licence, and the number of a licence's field.
 LICENCE_WORD = r"(?iU)\b(?:KP|JL|JALAN|PERUM|DUSUN|GANG|GG|BLOK|RT|RW|KAV|KOMPLEK)\b"
@@ -24,73 +24,78 @@ def _squeeze(x: Column) -> Column:
 
 
 def _long_enough(x: Column) -> Column:
-    return F.when(F.length(x) >= LEAST, x).otherwise("")
+    return let(x, lambda own: F.when(F.length(own) >= LEAST, own).otherwise(""))
 
 
 def clean_licence_address(x: Column) -> Column:
     """Without field number, a number at the end that belongs to no label, one or two capitals at the end, and symbols."""
-    own = F.regexp_replace(F.replace(x, F.lit("|"), F.lit(" ")), FIELD_NUMBER, "")
-    labelled = own.rlike(r"(?i)(?:NO|KM|RT|RW|KAV|BLOK|GG|GANG)\s*[.:]?\s*\d+\s*$")
-    own = F.when(labelled, own).otherwise(F.regexp_replace(own, r"\s+[\d.]+\s*$", ""))
+    labelled = lambda own: own.rlike(r"(?i)(?:NO|KM|RT|RW|KAV|BLOK|GG|GANG)\s*[.:]?\s*\d+\s*$")
+    bare = F.regexp_replace(F.replace(x, F.lit("|"), F.lit(" ")), FIELD_NUMBER, "")
+    own = let(bare, lambda own: F.when(labelled(own), own).otherwise(F.regexp_replace(own, r"\s+[\d.]+\s*$", "")))
     return _squeeze(F.regexp_replace(F.regexp_replace(own, r"(?U)\b[A-Z]{1,2}\b\s*$", ""), r"(?U)[^\w\s/.\-]", " "))
 
 
 def licence_address_below_gender(text: Column) -> Column:
     """Up to two of the three lines below the first one with a gender, until one that ends an address."""
-    rows = filled_lines(text)
-    at = F.array_position(F.transform(rows, lambda x: x.rlike(LICENCE_GENDER)), True).cast("int")
     start = F.struct(F.lit(0).alias("taken"), F.lit("").alias("value"))
 
     def step(s, x):
-        own = clean_licence_address(x)
         ended = x.rlike(LICENCE_STOP) | x.rlike(r"(?iU)KAB\.|KAB\b|KABUPATEN|KOTA\b")
-        return (
-            F.when((s["taken"] >= 2) | ended, F.struct(F.lit(2).alias("taken"), s["value"].alias("value")))
-            .when(own == "", s)
-            .otherwise(F.struct((s["taken"] + 1).alias("taken"), strip(F.concat_ws(" ", s["value"], own)).alias("value")))
-        )
+        grown = lambda own: F.struct((s["taken"] + 1).alias("taken"), strip(F.concat_ws(" ", s["value"], own)).alias("value"))
+        more = let(clean_licence_address(x), lambda own: F.when(own == "", s).otherwise(grown(own)))
+        return F.when(s["taken"] >= 2, s).when(ended, F.struct(F.lit(2).alias("taken"), s["value"].alias("value"))).otherwise(more)
 
-    return F.when(at > 0, _long_enough(F.aggregate(F.slice(rows, at + 1, F.lit(3)), start, step, lambda s: s["value"]))).otherwise("")
+    def below(rows, at):
+        return F.when(at > 0, _long_enough(F.aggregate(F.slice(rows, at + 1, F.lit(3)), start, step, lambda s: s["value"]))).otherwise("")
+
+    def read(rows):
+        return let(F.array_position(F.transform(rows, lambda x: x.rlike(LICENCE_GENDER)), True).cast("int"), lambda at: below(rows, at))
+
+    return let(filled_lines(text), read)
 
 
 def licence_address_elsewhere(text: Column) -> Column:
     """Numbered lines with an address word, else the first line with one; the line behind may go on with it."""
-    pairs = with_next(filled_lines(text))
     word = lambda x: x.rlike(LICENCE_WORD) & ~x.rlike(LICENCE_STOP)
     open_ = lambda y: (y != "") & ~y.rlike(LICENCE_STOP) & ~y.rlike(r"(?i)KAB\.|KABUPATEN")
 
     def numbered(s, p):
-        own, more = clean_licence_address(p["x"]), clean_licence_address(p["y"])
         goes_on = open_(p["y"]) & ~p["y"].rlike("(?i)PEDAGANG|PELAJAR") & (p["y"].rlike(LICENCE_WORD) | p["y"].rlike(FIELD_NUMBER))
-        both = F.filter(F.array(own, F.when(goes_on, more).otherwise("")), lambda v: v != "")
-        return F.when((F.size(s) < 2) & p["x"].rlike(FIELD_NUMBER) & word(p["x"]) & (own != ""), F.concat(s, both)).otherwise(s)
+        more = F.when(goes_on, clean_licence_address(p["y"])).otherwise("")
+        both = lambda own: F.when(own != "", F.concat(s, F.filter(F.array(own, more), lambda v: v != ""))).otherwise(s)
+        return F.when((F.size(s) < 2) & p["x"].rlike(FIELD_NUMBER) & word(p["x"]), let(clean_licence_address(p["x"]), both)).otherwise(s)
 
-    fields = F.aggregate(pairs, F.expr("CAST(array() AS array<string>)"), numbered, lambda s: _long_enough(_squeeze(F.array_join(s, " "))))
+    fields = lambda pairs: F.aggregate(pairs, F.expr("CAST(array() AS array<string>)"), numbered, lambda s: _long_enough(_squeeze(F.array_join(s, " "))))
 
     def plain(p):
         more = F.when(open_(p["y"]) & p["y"].rlike(LICENCE_WORD), clean_licence_address(p["y"])).otherwise("")
         return _long_enough(_squeeze(F.concat_ws(" ", clean_licence_address(p["x"]), more)))
 
-    anywhere = first(F.transform(F.slice(F.filter(pairs, lambda p: word(p["x"])), 1, 1), plain))
-    return F.coalesce(F.nullif(fields, F.lit("")), anywhere)
+    anywhere = lambda pairs: F.transform(F.slice(F.filter(pairs, lambda p: word(p["x"])), 1, 1), plain)
+    # the passes below find nothing on a card that has no address word at all
+    read = lambda pairs: first_of(fields(pairs), F.get(anywhere(pairs), 0))
+    return F.when(text.rlike(LICENCE_WORD), let(with_next(filled_lines(text)), read)).otherwise("")
 
 
 def clean_family_address(x: Column) -> Column:
     """From the first address word to the next label of a place; without such a word the whole, if it has five characters."""
     plain = lambda y: strip(F.regexp_replace(y, r"[^A-Za-z0-9\s./]", " "))
-    found = F.regexp_extract(x, f"(?i)(?:{FAMILY_WORD}).+", 0)
-    cut = F.regexp_replace(found, r"(?is)\s+(?:Kecamatan|Kelurahan|Kabupaten|Kota).*$", "")
-    return F.when(found != "", plain(cut)).when(F.length(plain(x)) >= LEAST, plain(x)).otherwise("")
+    cut = lambda found: F.regexp_replace(found, r"(?is)\s+(?:Kecamatan|Kelurahan|Kabupaten|Kota).*$", "")
+    return let(x, lambda own: let(F.regexp_extract(own, f"(?i)(?:{FAMILY_WORD}).+", 0), lambda found: F.when(found != "", plain(cut(found))).otherwise(_long_enough(plain(own)))))
 
 
 def family_address(text: Column) -> Column:
     """Of the first line with the address label (its value, or the next line), unless a line before it has an address word."""
 
     def read(p):
-        label = p["x"].rlike(r"(?iU)\bAlamat\b")
         behind = F.regexp_extract(p["x"], r"(?i)Alamat\s*:?\s*(.*)$", 1)
-        raw = F.when(label, F.when(F.length(strip(behind)) > 3, behind).otherwise(p["y"])).when(p["x"].rlike(f"(?i){FAMILY_WORD}|BLOK"), p["x"]).otherwise("")
-        return F.struct(label.alias("label"), clean_family_address(raw).alias("value"))
+
+        def raw(label):
+            beside = let(behind, lambda b: F.when(F.length(strip(b)) > 3, b).otherwise(p["y"]))
+            own = F.when(label, clean_family_address(beside)).when(p["x"].rlike(f"(?i){FAMILY_WORD}|BLOK"), clean_family_address(p["x"])).otherwise("")
+            return F.struct(label.alias("label"), own.alias("value"))
+
+        return let(p["x"].rlike(r"(?iU)\bAlamat\b"), raw)
 
     ends = F.filter(F.transform(with_next(filled_lines(text)), read), lambda r: r["label"] | (r["value"] != ""))
     return F.coalesce(F.get(F.transform(ends, lambda r: r["value"]), 0), F.lit(""))
