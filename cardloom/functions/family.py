@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import lexicon as lx
 from cardloom.functions.names import filled_lines, first_behind
-from cardloom.functions.text import digits, first, first_filled, first_of, is_plausible_name, let, lines, literal_array, most_frequent, strip, with_next
+from cardloom.functions.text import digits, first, first_of, first_value, is_plausible_name, let, lines, literal_array, most_frequent, one_of, strip, with_next
 
 HEAD_LABEL = rf"(?:Nama\s+)?(?:{'|'.join(lx.HEAD_FIRST)})\s+(?:{'|'.join(lx.HEAD_SECOND)})"
 
@@ -49,8 +49,12 @@ def family_number(text: Column) -> Column:
 
 def _name(parts: Column) -> Column:
     """The words in upper case, at most four, if they read as a name."""
-    slug = F.lower(F.array_join(parts, "_"))
-    return F.when((F.size(parts) > 0) & is_plausible_name(slug), F.upper(F.array_join(F.slice(parts, 1, 4), " "))).otherwise("")
+
+    def judge(own):
+        slug = F.lower(F.array_join(own, "_"))
+        return F.when((F.size(own) > 0) & is_plausible_name(slug), F.upper(F.array_join(F.slice(own, 1, 4), " "))).otherwise("")
+
+    return let(parts, judge)
 
 
 def _words(x: Column, least: int = 2) -> Column:
@@ -68,25 +72,23 @@ def _none_of(parts: Column, values) -> Column:
 
 def head_behind_label(text: Column) -> Column:
     """Behind the label or a misreading of it, else on the next line."""
-    stop = literal_array([*lx.HEAD_SKIP, *lx.HEAD_PLACES])
-    places = literal_array(lx.HEAD_PLACES)
+    stop = [*lx.HEAD_SKIP, *lx.HEAD_PLACES]
 
     def read(p):
         behind = F.regexp_replace(p["x"], rf"(?i)^.*?(?:{HEAD_LABEL})\s*[:\-—\?]?\s*", "")
         behind = _cut(_cut(behind, r"\s*[:/]\s*(?:Desa|Desm|Kel|Kec|Kabupaten|Provinsi|Desnfaturahan|Desn)"), r"\s*[—–]")
         plain = lambda x, n: F.filter(F.split(F.regexp_replace(x, r"[^A-Za-z\s]", " "), r"\s+"), lambda w: F.length(w) >= n)
-        own = let(F.filter(plain(behind, 2), lambda w: ~F.array_contains(stop, F.lower(w))), lambda w: F.when(F.size(w) <= 4, _name(w)).otherwise(""))
+        own = let(F.filter(plain(behind, 2), lambda w: ~one_of(F.lower(w), stop)), lambda w: F.when(F.size(w) <= 4, _name(w)).otherwise(""))
 
         def below(w):
             enough = F.size(w).between(2, 4) | ((F.size(w) == 1) & (F.length(F.get(w, 0)) >= 5))
             lower = F.transform(w, lambda x: F.lower(x))
             return F.when(enough & _none_of(lower, lx.HEAD_SKIP) & ~p["y"].rlike(r"\d"), _name(w)).otherwise("")
 
-        next_ = let(F.filter(plain(p["y"], 3), lambda w: ~F.array_contains(places, F.lower(w))), below)
+        next_ = let(F.filter(plain(p["y"], 3), lambda w: ~one_of(F.lower(w), lx.HEAD_PLACES)), below)
         return first_of(own, next_)
 
-    labelled = F.filter(with_next(filled_lines(text)), lambda p: p["x"].rlike("(?i)" + HEAD_LABEL))
-    return first_filled(F.transform(labelled, read))
+    return first_value(with_next(filled_lines(text)), lambda p: F.when(p["x"].rlike("(?i)" + HEAD_LABEL), read(p)))
 
 
 def head_below_number(text: Column) -> Column:
@@ -97,11 +99,11 @@ def head_below_number(text: Column) -> Column:
         own = _cut(strip(F.regexp_replace(x, "^[^A-Za-z]+", "")), r"\s+(?:Desa|Desai|Desaf|Desm|Dexa|Desnfaturahan|Kelurahan|Desn)")
         own = strip(_cut(strip(_cut(own, ":")), r"\s*[—–]"))
 
-        def judge(w):
+        def judge(own, w):
             free = _none_of(F.transform(w, lambda y: F.lower(y)), lx.HEAD_PLACES)
             return F.when(F.size(w).between(1, 5) & free & ~own.rlike(r"\d{3,}"), _name(w)).otherwise("")
 
-        return let(_words(own), judge)
+        return let(own, lambda o: let(_words(o), lambda w: judge(o, w)))
 
     return first_behind(filled_lines(text), number, value, 9)
 
@@ -112,14 +114,14 @@ def head_in_capitals(text: Column) -> Column:
     def value(x):
         own = strip(_cut(_cut(strip(F.regexp_replace(x, "^[^A-Za-z]+", "")), r"\s+(?:Desa|Desai|/Kelurahan|Kecamatan)"), ":"))
 
-        def judge(w):
+        def judge(own, w):
             capital = F.forall(w, lambda y: y.rlike("^[A-Z]"))
             free = _none_of(F.transform(w, lambda y: F.upper(y)), lx.HEAD_CAPITALS)
             return F.when(F.size(w).between(2, 4) & capital & free & ~own.rlike(r"\d"), F.upper(F.array_join(w, " "))).otherwise("")
 
-        return let(_words(own, 3), judge)
+        return let(own, lambda o: let(_words(o, 3), lambda w: judge(o, w)))
 
-    return first_filled(F.transform(F.slice(filled_lines(text), 1, 12), value))
+    return first_value(F.slice(filled_lines(text), 1, 12), value)
 
 
 def head_below_noise(text: Column) -> Column:
@@ -134,7 +136,7 @@ def head_below_noise(text: Column) -> Column:
 
     def below(rows):
         at = F.array_position(F.transform(rows, lambda x: x.rlike(f"(?i){'|'.join(lx.HEAD_NOISE)}")), True).cast("int")
-        return F.when(at > 0, first_filled(F.transform(F.slice(rows, at + 1, F.lit(8)), value))).otherwise("")
+        return let(at, lambda k: F.when(k > 0, first_value(F.slice(rows, k + 1, F.lit(8)), value)).otherwise(""))
 
     return let(filled_lines(text), below)
 
@@ -144,16 +146,18 @@ def head_in_table(text: Column) -> Column:
 
     def value(x):
         own = strip(_cut(strip(F.regexp_replace(x, r"^\s*1[\s.|]+", "")), r"\s+\d{5,}"))
-        places = literal_array(lx.HEAD_PLACES)
-        return let(F.filter(_words(own), lambda w: ~F.array_contains(places, F.lower(w))), lambda w: F.when(F.size(w).between(1, 5), _name(w)).otherwise(""))
+        return let(F.filter(_words(own), lambda w: ~one_of(F.lower(w), lx.HEAD_PLACES)), lambda w: F.when(F.size(w).between(1, 5), _name(w)).otherwise(""))
+
+    return first_value(filled_lines(text), lambda x: F.when(x.rlike(r"^\s*1[\s.|]+") & x.rlike(r"(?i)KEPALA\s+KELUARGA"), value(x)))
+
 
-    rows = F.filter(filled_lines(text), lambda x: x.rlike(r"^\s*1[\s.|]+") & x.rlike(r"(?i)KEPALA\s+KELUARGA"))
-    return first_filled(F.transform(rows, value))
+#: The ways to the head, in the order in which they count.
+HEAD_WAYS = {"behind_label": head_behind_label, "below_number": head_below_number, "in_capitals": head_in_capitals, "below_noise": head_below_noise, "in_table": head_in_table}
 
 
 def family_head(text: Column) -> Column:
     """Name of the family's head in upper case, by the first way that gives one."""
-    return first_of(head_behind_label(text), head_below_number(text), head_in_capitals(text), head_below_noise(text), head_in_table(text))
+    return first_of(*[way(text) for way in HEAD_WAYS.values()])
 
 
 def head_from_header(text: Column) -> Column:

@@ -81,17 +81,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str, source: str = "customer", spread: bool = False) -> DataFrame:
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that is small for the work its rows cost, dealt over all cores."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, source: str = "customer", dealt: bool = False) -> DataFrame:
     """The SQL over one table; a small table whose rows cost much work is spread over all cores first."""
-    rows = table(spark, sf_dir, source)
-    if spread:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    rows = spread(spark, sf_dir, source) if dealt else table(spark, sf_dir, source)
     return spark.sql(sql.replace("{variants}", SPARK_VARIANTS).replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: rows})
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, variant, truth, text``."""
-    return run_sql(spark, sf_dir, CARDS, spread=True)
+    return run_sql(spark, sf_dir, CARDS, dealt=True)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def normalize_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.when(k % 6 == 0, "PATEN").when(k % 6 == 1, "SH").when(k % 6 == 2, "").otherwise("X")
     city = F.get(tx.literal_array(lx.CITIES), (k % 54).cast("int"))
     noisy = F.concat(noise, F.substring(city, (k % 3).cast("int") + 1, F.lit(99)))
-    return plan.table(spark, sf_dir, "customer").select("c_custkey", noisy.alias("city")).select("c_custkey", tx.normalize_city(F.col("city")).alias("city"))
+    return plan.spread(spark, sf_dir, "customer").select("c_custkey", noisy.alias("city")).select("c_custkey", tx.normalize_city(F.col("city")).alias("city"))
 
 
 # -- fields --------------------------------------------------------------------
@@ -339,9 +339,9 @@ def licence_and_rtrw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def family_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = {"behind_label": family.head_behind_label, "below_number": family.head_below_number, "in_capitals": family.head_in_capitals, "below_noise": family.head_below_noise, "in_table": family.head_in_table}
-    text = F.col("text")
-    return plan.cards(spark, sf_dir).select("doc_id", "variant", family.family_head(text).alias("nama_kepala"), *[f(text).alias(n) for n, f in ways.items()])
+    rows = plan.cards(spark, sf_dir).select("doc_id", "variant", *[way(F.col("text")).alias(n) for n, way in family.HEAD_WAYS.items()])
+    # each way is gone once; the head is the first that gave a name
+    return rows.select("doc_id", "variant", tx.first_of(*map(F.col, family.HEAD_WAYS)).alias("nama_kepala"), *family.HEAD_WAYS)
 
 
 # lines of cards as rows: x at place i, y the line behind
