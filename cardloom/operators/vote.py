@@ -48,7 +48,8 @@ def confidence(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``key, field, confidence``: share in percent of a key's variants that agree on the most frequent value of a field."""
     # one shuffle, of a row for each variant; all counts keep its partitioning
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = rows.select(key, *fields).repartition(parts, key).unpivot([key], fields, "field", "value").withColumn("value", strip(F.lower("value")))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    long = rows.select(key, *fields).repartition(parts, key).select(key, F.inline(pairs)).withColumn("value", strip(F.lower("value")))
     counts = long.groupBy(key, "field", "value").agg(F.count(F.lit(1)).alias("n"))
     # rows without a key agree with none
     agree = F.max(F.when((F.col("value") != "") & F.col(key).isNotNull(), F.col("n")))

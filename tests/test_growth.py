@@ -37,7 +37,7 @@ def test_ways_to_the_head_are_gone_once(spark):
 def test_confidence_shuffles_once(spark):
     rows = spark.createDataFrame([(1, "A", ""), (1, "a ", "x"), (1, "b", None), (None, "q", "q")], "d int, f string, g string")
     out = vote.confidence(rows, "d", ["f", "g"])
-    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert {tuple(r) for r in out.collect()} == {(1, "f", 66.7), (1, "g", 33.3), (None, "f", 0.0), (None, "g", 0.0)}
 
 
