@@ -16,7 +16,7 @@ import numpy as np
 
 #: Bytes that one table of known units may take; then the worker starts it anew.  Units that are longer than ``LONG`` characters, such as whole texts of
 #: scripts without blanks, are not kept.
-CACHE_BYTES, LONG = 96 << 20, 64
+CACHE_BYTES, LONG = 48 << 20, 64
 #: Bytes of an entry besides its key and value: the table's slot and two object heads.
 ENTRY = 170
 
@@ -28,7 +28,7 @@ class Known(dict):
 
     def learn(self, found: dict[str, bytes]) -> None:
         """Keep what is short enough."""
-        kept = {k: v for k, v in found.items() if len(k) <= LONG}
+        kept = found if max(map(len, found), default=0) <= LONG else {k: v for k, v in found.items() if len(k) <= LONG}
         self.taken += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
         self.update(kept)
 
@@ -37,8 +37,10 @@ class Known(dict):
             self.clear()
             self.taken = 0
 
-#: A word of precomposed Latin-1 letters, and a mark after it that is a token of its own.  Lower case is one letter for one letter here.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A word of precomposed Latin-1 letters, and marks after it that are a pre-token of their own.  Lower case is one letter for one letter here.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
+#: Bytes of such letters as the byte-level alphabet writes them; printable ones are themselves.
+LETTERS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class UnitIds:
@@ -55,14 +57,21 @@ class UnitIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # does the token end a word?
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known, self.words = Known(), Known()
+        #: Does the model alone give what the library gives for words?
+        own = ["a", "z", "the", "abcdefghijklmnopqrstuvwxyz", "qzxjkvbpyg", *"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"]
+        self.plain = True
+        self.plain = self._words(own) == dict(zip(own, self._library(own), strict=True))
 
     def _library(self, units: list[str]) -> Iterable[bytes]:
         for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of lower-case words, many in one text; they are told apart by the tokens that end a word."""
+        """Ids of lower-case words: from the file's model itself where nothing before it changes them but the byte-level alphabet, else many in one text, told apart by the tokens that end a word."""
         out: dict[str, bytes] = {}
+        if self.plain:
+            merge = self.tokenizer.model.tokenize
+            return {w: array("I", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS))]).tobytes() for w in words}
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -85,7 +94,8 @@ class UnitIds:
         words = self.words
         new = self._words(list({w for _, w, _ in simple if w not in words}))
         words.learn(new)
-        marks = dict(zip(("", ".", ","), self._library(["", ".", ","]), strict=True))
+        ends = list({m for _, _, m in simple})
+        marks = dict(zip(ends, self._library(ends), strict=True))
         found = dict(zip(other, self._library(other), strict=True))
         found.update((u, (new[w] if w in new else words[w]) + marks[m]) for u, w, m in simple)
         return found
@@ -95,19 +105,23 @@ class UnitIds:
         self.known.trim()
         self.words.trim()
         self.known[""] = b""
-        get = self.known.__getitem__
+        get = self.known.get
         out, later, new = [], [], set()
-        for t in texts:  # a text's units are looked up while the processor's caches hold them
+        for t in texts:  # each unit is looked up once
             units = (t or "").replace("\n", " ").split(" ")
+            ids = list(map(get, units))
             try:
-                out.append(b"".join(map(get, units)))
-            except KeyError:
-                new.update([u for u in units if u not in self.known])
-                later.append((len(out), units))
+                out.append(b"".join(ids))
+            except TypeError:  # some are not known yet
+                gaps = [(k, u) for k, (u, x) in enumerate(zip(units, ids, strict=True)) if x is None]
+                new.update([u for _, u in gaps])
+                later.append((len(out), ids, gaps))
                 out.append(b"")
         found = self._learn(list(new))
-        for i, units in later:
-            out[i] = b"".join([found[u] if u in found else get(u) for u in units])
+        for i, ids, gaps in later:
+            for k, u in gaps:
+                ids[k] = found[u]
+            out[i] = b"".join(ids)
         self.known.learn(found)
         return out
 
