@@ -8,7 +8,9 @@ what they can share at all.  The order puts frequent shingles last, so a common
 is read off a sample of the texts; the order has no influence on the result, only on the number of candidates.  Every candidate is verified on the whole sets.
 
 A large group of near copies is not compared pair by pair: in each round the texts of a prefix group are compared with ``LEADERS`` of them,
-and in the end only those that no link has joined yet.
+and in the end only those that no link has joined yet.  Where very many of a group are left (copies of one text that differ by a little too much), each is written as what it
+differs in from one of them, its centre: two sets differ in as much as their differences do, so near copies that aren't both joined with the centre share some of the
+first of these, and what all have of the common text meets nothing any more.
 
 Texts are read where they lie: prefixes are shuffled once, sets only of texts in candidate pairs, texts only where they may be dropped.
 
@@ -42,6 +44,8 @@ BITS = 3
 LEADERS, ROUNDS = 4, 6
 #: Rounds end when the pairs left are no more than so many for each row of a prefix group, or a round has joined few of them.
 PAIRS = 64
+#: A prefix group with more open partners than so many for each of its texts is met by differences from its centre.
+CROWD = 16
 #: Times that each text is compared with its strongest partner before all pairs that are left.
 STRONGEST = 1
 #: One text in so many is read for the frequent shingles; as many of these are set last at most.
@@ -122,10 +126,10 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tokens[order], order.astype(np.int64), top["count"].to_numpy(np.int64)[order] * SAMPLE
 
 
-def signatures(texts: DataFrame) -> DataFrame:
+def signatures(texts: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """``token, node, n, at``: prefix shingles that two or more texts have, the size of the text's set and the shingle's place in its order, without rows
     whose neighbours by size in the group are too small and too large to be near copies; and for each text a row with its fingerprint as token and size 0."""
-    frequent, ranks, texts_of = frequent_shingles(texts)
+    frequent, ranks, texts_of = common
     hot = frequent[texts_of >= HOT]
 
     def run(batches):
@@ -156,16 +160,21 @@ def signatures(texts: DataFrame) -> DataFrame:
     return kept.select(*ends, n("size").cast("int").alias("n"), F.abs("size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs`` (``a, b``, two nodes) those with a similarity of 0.8 or more, as a table."""
-    pairs = stage(pairs, "candidates")
+def with_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, x, y``: ``pairs`` (a table ``a, b`` of nodes) with both sets."""
     ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct())
     chosen = maybe(texts, "node", ends)
     sets = sets_of(chosen).groupBy("node").agg(F.first("shingles").alias("shingles"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     # grows with the corpus: never broadcast
-    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of ``pairs`` (``a, b``, two nodes) those with a similarity of 0.8 or more, as a table."""
+    pairs = stage(pairs, "candidates")
+    met = with_sets(pairs, texts)
     found = stage(met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
     forget(pairs)
     return found
@@ -212,6 +221,85 @@ def leader_pairs(rows: DataFrame, seed: int) -> DataFrame:
     return met.withColumn("shared", 2 * F.col("shared")).where(may_be_near()).select("a", "b")
 
 
+def difference_prefix(added: np.ndarray, removed: np.ndarray, n: int, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set's difference from its centre (those ``added`` to it and those ``removed``), as many as tell it from all that are no near copies.
+
+    Of two near copies of ``n`` and ``m`` shingles the one lacks ``(n + m) / 9``, that is ``n / 4``, of the other's difference at most.  The order puts those first that few
+    texts of a group differ in: rare ones that are added, then frequent ones that are removed.
+    """
+
+    def rank(own):
+        if not len(frequent):
+            return np.full(len(own), -1, np.int64)
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        return np.where(frequent[at] == own, ranks[at], -1)
+
+    more, less, top = rank(added), rank(removed), len(frequent)
+    # rare added ones; frequent removed ones, the most frequent first; frequent added ones, the rarest first; rare removed ones
+    order = np.concatenate([np.where(more < 0, 0, 1 + top + more), np.where(less < 0, 1 + 2 * top, top - less)])
+    own = np.concatenate([added, removed])
+    return own[np.lexsort((own, order))[: n // 4 + 1]]
+
+
+def differences(rows: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Links of the nodes of ``token, node`` with the centres of their groups, and ``token, node, n, d, at`` of the first shingles of their differences.
+
+    Two near copies of a group are both linked with its centre, or they share one of these at which :func:`room` holds.  If neither set's difference had a shingle of the other's, the two
+    would differ in the sum of both, and as sets that differ by ``(n + m) / 9`` at most they would both be as near to the centre.
+    """
+    frequent, ranks, _ = common
+    centre = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(-1)), "node"))["node"].alias("b"))
+    pairs = stage(rows.join(centre.hint("merge"), "token").select(F.col("node").alias("a"), "b").distinct(), "centres")
+    size = F.size("x").alias("n")
+    apart = with_sets(pairs, texts).select("a", "b", size, F.size("y").alias("m"), F.array_except("x", "y").alias("added"), F.array_except("y", "x").alias("removed"))
+    apart = apart.withColumn("d", F.size("added") + F.size("removed"))
+
+    def run(batches):
+        for batch in batches:
+            added, removed, sizes = batch.column("added"), batch.column("removed"), batch.column("n").to_pylist()
+            first = [difference_prefix(added[i].values.to_numpy(), removed[i].values.to_numpy(), n, frequent, ranks) for i, n in enumerate(sizes)]
+            own = {k: batch.column(k) for k in ("a", "b", "n", "m", "d")}
+            yield pa.RecordBatch.from_pydict(own | {"first": pa.array(first, pa.list_(pa.int64()))})
+
+    cut = stage(apart.mapInArrow(run, "a bigint, b bigint, n int, m int, d int, first array<bigint>"), "differences")
+    forget(pairs)
+    linked = cut.where("a <> b AND 9 * d <= n + m").select("a", "b")
+    return linked, cut.select("b", F.col("a").alias("node"), "n", "d", F.posexplode("first").alias("at", "s")).select(F.xxhash64("b", "s").alias("token"), "node", "n", "d", "at")
+
+
+def room() -> F.Column:
+    """Can the first shingle that two differences of ``d`` and ``e`` share stand at ``at`` and ``there``, if sets of ``n`` and ``m`` are near copies?  What comes before it is missing in the other."""
+    both, more = F.col("n") + F.col("m"), 9 * (F.col("d") - F.col("e"))
+    return (18 * F.col("at") <= both + more) & (18 * F.col("there") <= both - more)
+
+
+def differences_met(rows: DataFrame, others: DataFrame, apart) -> DataFrame:
+    """``a, b, shared`` of the pairs (``token, node, n, d, at, root`` of ``rows`` and ``token, other, m, e, there, far`` of ``others``) that may be near copies."""
+    sizes = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    met = rows.join(others.hint("merge"), "token").where(sizes & room() & apart)
+    return met.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def crowds(rows: DataFrame, edges: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """More ``edges``, and the open pairs ``a, b, shared`` of the crowded groups ``token, node``."""
+    linked, firsts = differences(rows, texts, common)
+    edges = stage(edges.union(linked), "links")
+
+    def rooted():
+        roots = components(edges).hint("merge")
+        named = stage(firsts.join(roots, "node", "left").select("token", "node", "n", "d", "at", F.coalesce("root", "node").alias("root")), "named-differences")
+        several = named.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token")
+        return named.join(several.hint("merge"), "token", "left_semi")
+
+    names = {"node": "other", "n": "m", "d": "e", "at": "there", "root": "far"}
+    own = F.struct(F.xxhash64("node", F.lit(-2)).alias("h"), *(F.col(k).alias(v) for k, v in names.items()))
+    named = rooted()
+    heads = named.groupBy("token").agg(F.min(own).alias("head")).select("token", *(f"head.{v}" for v in names.values()))
+    edges = stage(edges.union(similar(differences_met(named, heads, F.col("root") != F.col("far")).select("a", "b"), texts)), "links")
+    named = rooted()
+    return edges, differences_met(named, named.withColumnsRenamed(names), (F.col("node") < F.col("other")) & (F.col("root") != F.col("far")))
+
+
 def strongest_first(met: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
     """``edges`` and what all of ``met`` (``a, b, shared``) adds: first each text is compared with the one that shares most with it, and
     only pairs that this hasn't joined are compared then.  Every pair is compared or joined."""
@@ -227,7 +315,7 @@ def strongest_first(met: DataFrame, edges: DataFrame, texts: DataFrame) -> DataF
     return edges.union(similar(met.select("a", "b"), texts))
 
 
-def links(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+def links(shared: DataFrame, found: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """Edges ``a, b`` that connect the texts of each group; ``found`` are candidates by fingerprint."""
     edges, before = similar(found, texts), float("inf")
     for turn in range(ROUNDS + 1):
@@ -237,16 +325,22 @@ def links(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
         named = shared.join(roots.hint("merge"), "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         named = stage(named, "named-prefixes")
         groups = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        groups = stage(groups.select("token", F.expr("k * k - kk").alias("open")).where("open > 0"), "open-groups")
-        open_ = stage(named.join(groups.select("token").hint("merge"), "token", "left_semi"), "open-prefixes")
-        left, rows = groups.agg(F.sum(F.col("open").cast("double"))).first()[0] or 0.0, open_.count()
+        groups = stage(groups.select("token", F.expr("k * k - kk").alias("open"), (F.expr("k * k - kk") > CROWD * F.col("k")).alias("crowded")).where("open > 0"), "open-groups")
+        open_ = stage(named.join(groups.select("token", "crowded").hint("merge"), "token"), "open-prefixes")
+        left, crowded = groups.agg(F.coalesce(F.sum(F.col("open").cast("double")), F.lit(0.0)), F.count_if("crowded")).first()
+        rows = open_.count()
         forget(named, groups)
         if not rows:
             return edges
         if left / 2 <= PAIRS * rows or left > 0.7 * before or turn == ROUNDS:
-            other = open_.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("far"))
-            met = pairs_met(open_, other, (F.col("node") < F.col("other")) & (F.col("root") != F.col("far")))
-            return strongest_first(stage(met.where(may_be_near()).select("a", "b", "shared"), "open-pairs"), edges, texts)
+            few = open_.where("NOT crowded")
+            other = few.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("far"))
+            met = pairs_met(few, other, (F.col("node") < F.col("other")) & (F.col("root") != F.col("far")))
+            met = met.where(may_be_near()).select("a", "b", "shared")
+            if crowded:
+                edges, more = crowds(open_.where("crowded").select("token", "node"), edges, texts, common)
+                met = met.union(more).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+            return strongest_first(stage(met, "open-pairs"), edges, texts)
         edges = stage(edges.union(similar(leader_pairs(open_, LEADERS * turn), texts)), "links")
         forget(open_)
         before = left
@@ -256,9 +350,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, node, root`` of each row: the hash of its text, and the hash that names its group."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_hash(docs[text_col]).alias("node"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = stage(texts.select("doc_id", "node"), "text-hashes")
-    signed = stage(signatures(texts), "signatures")
+    common = frequent_shingles(texts)
+    signed = stage(signatures(texts, common), "signatures")
     found = fingerprint_pairs(signed.where("n = 0").select(F.col("token").alias("fp"), "node"))
-    roots = components(links(signed.where("n > 0"), found, texts)).hint("merge")
+    roots = components(links(signed.where("n > 0"), found, texts, common)).hint("merge")
     return rows.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from cardloom.llm import near_copies, simhash
 
@@ -89,3 +91,53 @@ def test_null_and_repeated_ids(spark):
     for keep, bits in ((near_copies.keep_one, ()), (simhash.keep_one, ("doc_id", "text", 5))):
         kept = sorted((r.kind, r.doc_id) for r in keep(docs, *bits).collect())
         assert kept == [("a", 1), ("b", None), ("c", 2), ("d", 5), ("e", kept[4][1]), ("f", 5)]
+
+
+def crowd(m, seed=5):
+    """Copies of one text with two to four of its 150 words changed: most of them are a little too different from each other."""
+    rng = random.Random(seed)
+    hub, rows = [f"h{i}" for i in range(150)], []
+    for d in range(m):
+        copy = list(hub)
+        for i in rng.sample(range(150), rng.choice((2, 3, 3, 4))):
+            copy[i] = f"n{rng.randrange(300)}"
+        rows.append((d, " ".join(copy)))
+    return rows
+
+
+def test_a_crowd_of_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rows, compared, similar = crowd(400), [], near_copies.similar
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    monkeypatch.setattr(near_copies, "SAMPLE", 4)
+    want = plain_kept(rows)
+    assert 100 < len(want) < 390
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == want
+    assert sum(compared) < 40 * len(rows)  # all pairs are 200 for each row
+
+
+def test_first_differences_meet_for_all_near_copies():
+    """Of two sets with similarity 0.8 or more, each cut at what its difference from a third allows, both are near the third or share one at which there is room."""
+    rng = np.random.default_rng(3)
+    frequent = np.arange(0, 150, 2)
+    ranks, met, far = rng.permutation(len(frequent)), 0, 0
+    for _ in range(400):
+        sets = []
+        for _ in range(3):
+            own = set(range(150)) - set(rng.choice(150, rng.integers(0, 30), replace=False).tolist())
+            sets.append(np.array(sorted(own | set(rng.choice(60, rng.integers(0, 20), replace=False) + 150))))
+        x, y, c = sets
+        d, e = (len(np.setxor1d(s, c)) for s in (x, y))
+        if 9 * len(np.setxor1d(x, y)) > len(x) + len(y):
+            far += 1
+        elif not (9 * d <= len(x) + len(c) and 9 * e <= len(y) + len(c)):
+            first = [near_copies.difference_prefix(np.setdiff1d(s, c), np.setdiff1d(c, s), len(s), frequent, ranks).tolist() for s in (x, y)]
+            both, more = len(x) + len(y), 9 * (d - e)
+            assert any(18 * first[0].index(s) <= both + more and 18 * first[1].index(s) <= both - more for s in set(first[0]) & set(first[1]))
+            met += 1
+    assert met > 10 and far > 100
