@@ -44,8 +44,8 @@ BITS = 3
 LEADERS, ROUNDS = 4, 6
 #: Rounds end when the pairs left are no more than so many for each row of a prefix group, or a round has joined few of them.
 PAIRS = 64
-#: A prefix group with more open partners than so many for each of its texts is met by differences from its centre.
-CROWD = 16
+#: A prefix group with more open partners than so many for each of its texts is met by differences from its centre; the others hold half as many pairs for each row at most.
+CROWD = 4 * PAIRS
 #: Times that each text is compared with its strongest partner before all pairs that are left.
 STRONGEST = 1
 #: One text in so many is read for the frequent shingles; as many of these are set last at most.

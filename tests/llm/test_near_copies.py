@@ -114,6 +114,7 @@ def test_a_crowd_of_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
 
     monkeypatch.setattr(near_copies, "similar", counted)
     monkeypatch.setattr(near_copies, "SAMPLE", 4)
+    monkeypatch.setattr(near_copies, "CROWD", 16)
     want = plain_kept(rows)
     assert 100 < len(want) < 390
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
