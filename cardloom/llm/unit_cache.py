@@ -43,6 +43,44 @@ SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
 LETTERS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
+#: The marks that may end a simple unit.
+MARKS = ".,;:!?#$%&*|"
+
+
+class Met(Known):
+    """Ids of units met so far: a simple one that is new is looked up by its word when it is asked for.  Others are a KeyError."""
+
+    def __init__(self, own: UnitIds):
+        self.words, self.merge, self.marks = own.words, own.tokenizer.model.tokenize, {"": b""}
+        self.library = own
+
+    def __missing__(self, unit: str) -> bytes:
+        word = unit.rstrip(MARKS)
+        if not (word.isalpha() and word.isascii()):
+            m = SIMPLE.fullmatch(unit)
+            if not m:
+                raise KeyError(unit)
+            word = m[1]
+        end, low = unit[len(word) :], word.lower()
+        ids = self.words.get(low)
+        if ids is None:
+            ids = array("I", [t.id for t in self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            if len(low) <= LONG:
+                self.words[low] = ids
+                self.words.taken += len(low) + len(ids) + ENTRY
+        if end:
+            if end not in self.marks:
+                own = next(iter(self.library._library([end])))
+                if len(end) > LONG or len(self.marks) > 10_000:
+                    return ids + own
+                self.marks[end] = own
+            ids += self.marks[end]
+        if len(unit) <= LONG:
+            self[unit] = ids
+            self.taken += len(unit) + len(ids) + ENTRY
+        return ids
+
+
 class UnitIds:
     """Encoder of one tokenizer file."""
 
@@ -61,6 +99,8 @@ class UnitIds:
         own = ["a", "z", "the", "abcdefghijklmnopqrstuvwxyz", "qzxjkvbpyg", *"ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"]
         self.plain = True
         self.plain = self._words(own) == dict(zip(own, self._library(own), strict=True))
+        if self.plain:
+            self.known = Met(self)
 
     def _library(self, units: list[str]) -> Iterable[bytes]:
         for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
@@ -106,9 +146,16 @@ class UnitIds:
         self.words.trim()
         self.known[""] = b""
         get = self.known.get
+        at_once = self.known.__getitem__ if self.plain else None
         out, later, new = [], [], set()
         for t in texts:  # each unit is looked up once
             units = (t or "").replace("\n", " ").split(" ")
+            if at_once:
+                try:
+                    out.append(b"".join(map(at_once, units)))
+                    continue
+                except KeyError:  # some need the library
+                    pass
             ids = list(map(get, units))
             try:
                 out.append(b"".join(ids))

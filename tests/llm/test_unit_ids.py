@@ -20,3 +20,13 @@ def test_ids_are_the_librarys_and_known_words_are_not_asked_again():
     own._library = lambda units: asked.extend(units) or library(units)
     own.encode_batch(["Grüße### neueswort, another$$$"])
     assert set(asked) <= {"", "###", ",", "$$$"}
+
+
+def test_simple_units_are_looked_up_as_they_are_met():
+    own = UnitIds(public_tokenizers.path("word_bpe_49k.json"))
+    later, learn = [], own._learn
+    own._learn = lambda units: later.extend(units) or learn(units)
+    texts = ["The THE the, qzxj Qzxj. Grüße###\nÉté the", "a b. c", None, "x-1 the newword"]
+    assert own.encode_batch(texts) == [b"" if t is None else x for t, x in zip(texts, own._library([t or "" for t in texts]), strict=True)]
+    assert later and "x-1" in later and not {"The", "the,", "qzxj", "Qzxj.", "Grüße###", "Été", "b."} & set(later)
+    assert {"qzxj", "grüße", "été"} <= set(own.words) and own.known["Qzxj."] == next(iter(own._library(["Qzxj."])))
