@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.bpe import blocks
-from cardloom.llm.scratch import stage
+from cardloom.llm.scratch import arrow_rows, stage
 from cardloom.llm.unit_cache import unit_ids
 
 LENGTH = 2048
@@ -47,14 +47,16 @@ TURNS, DISSOLVED = 30, 0.7
 PART = 100_000
 #: Offsets of parts that are broadcast at most, 24 MB; beyond that they are merged.
 MOST_OFFSETS = 1_000_000
+#: Texts that a task takes at once.
+TEXTS = 1000
 END = (0).to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of each piece and, if asked for, its ``ids`` (little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, known: int | None = None) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` of each piece and, if asked for, its ``ids`` (little-endian unsigned 32-bit); ``known`` bounds the bytes of each of the encoder's tables."""
 
     def run(batches):
-        own = unit_ids(tokenizer)
+        own = unit_ids(tokenizer, known)
         for batch in batches:
             for at, texts in blocks(batch, "text"):
                 row, number, start, size, crc, kept = [], [], [], [], [], []
@@ -343,9 +345,11 @@ def pack(items: DataFrame, length: int = LENGTH, groups: tuple[int, ...] = GROUP
     return everything.withColumn("offset", F.sum("length").over(line) - F.col("length")).unionByName(full.withColumn("offset", F.lit(0).cast("long")))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = public_tokenizers.path("word_bpe_49k.json"), length: int = LENGTH) -> DataFrame:
-    """Pieces of all documents with their places."""
-    made = pack(stage(pieces(docs, tokenizer, length), "pieces"), length)
+def pack_documents(docs: DataFrame, tokenizer: str = public_tokenizers.path("word_bpe_49k.json"), length: int = LENGTH, known: int | None = None) -> DataFrame:
+    """Pieces of all documents with their places; ``known`` bounds the encoder's tables and changes no row."""
+    with arrow_rows(docs.sparkSession, TEXTS):
+        made = stage(pieces(docs, tokenizer, length, known=known), "pieces")
+    made = pack(made, length)
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

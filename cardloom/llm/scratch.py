@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside gets so many rows at most in an Arrow batch, which the executor and its Python worker hold whole; the session's own setting returns after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    spark.conf.set(name, min(own, rows) if own > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)

@@ -32,8 +32,8 @@ class Known(dict):
         self.taken += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
         self.update(kept)
 
-    def trim(self) -> None:
-        if self.taken > CACHE_BYTES:
+    def trim(self, most: int | None = None) -> None:
+        if self.taken > (CACHE_BYTES if most is None else most):
             self.clear()
             self.taken = 0
 
@@ -84,6 +84,9 @@ class Met(Known):
 class UnitIds:
     """Encoder of one tokenizer file."""
 
+    #: Bytes that each of its two tables may take at the start of a batch, where they aren't ``CACHE_BYTES``.
+    most: int | None = None
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
@@ -142,8 +145,8 @@ class UnitIds:
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        self.known.trim()
-        self.words.trim()
+        self.known.trim(self.most)
+        self.words.trim(self.most)
         self.known[""] = b""
         get = self.known.get
         at_once = self.known.__getitem__ if self.plain else None
@@ -176,8 +179,9 @@ class UnitIds:
 _ENCODERS: dict[str, UnitIds] = {}
 
 
-def unit_ids(path: str) -> UnitIds:
-    """The encoder of a file, one for each Python worker."""
+def unit_ids(path: str, most: int | None = None) -> UnitIds:
+    """The encoder of a file, one for each Python worker, with tables of ``most`` bytes each."""
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitIds(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]

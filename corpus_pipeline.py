@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cardloom.llm import best_fit, exact_dedup, near_copies, quality_rules
 from cardloom.llm.scratch import stage
 
+#: Bytes of each of the encoder's two tables in a worker: the executors still hold what earlier stages have left.
+KNOWN = 16 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
@@ -29,7 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, with their places in sequences of 2048 tokens."""
-    return best_fit.pack_documents(docs)
+    return best_fit.pack_documents(docs, known=KNOWN)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("packing", packing)]
