@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -66,6 +67,24 @@ def test_plan_of_a_large_lexicon_has_no_word_list(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 5, 4), (2, 0, 0), (3, 0, 0)]
 
 
+@pytest.mark.parametrize("least,sample", [(20, 64), (3, 1), (1 << 40, 1)])
+def test_texts_are_cut_once_and_their_words_counted_wherever_they_are_met(spark, monkeypatch, least, sample):
+    rng = random.Random(11)
+    monkeypatch.setattr(lexicon_join, "BITS", 1 << 15)
+    monkeypatch.setattr(lexicon_join, "LEAST", least)
+    monkeypatch.setattr(lexicon_join, "SAMPLE", sample)
+    spell = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    texts = [" ".join(rng.choice(["The", "OF", spell(rng.randrange(4000)), "12", "é"]) for _ in range(rng.randrange(60))) for _ in range(200)] + [None, "", "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    own = {r[0] for r in docs.select(F.xxhash64("doc_id").cast("string")).collect()}
+    lexicon = {"the", *map(spell, range(0, 4000, 3))} | own
+    got = lexicon_join.lexicon_counts(docs, "doc_id", "text", spark.createDataFrame([(w,) for w in [*lexicon, "the", None]], "w string"), "w")
+    words = [re.findall("[A-Za-z]+", t or "") for t in texts]
+    assert sorted(map(tuple, got.collect())) == [(i, len(w), sum(x.lower() in lexicon for x in w)) for i, w in enumerate(words)]
+    # once for the counts, once for the sample
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
 @pytest.mark.parametrize("buckets,small", [(4, 3), (5, 1), (1024, 4096)])
 def test_medians_are_exact(spark, buckets, small):
     rng = random.Random(7)
